@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from marlstone.llm import quality
+from marlstone.llm import decontaminate, pii, quality
 from marlstone.session import table
 
 QUERIES = {
     "op5_quality_rules": lambda spark, d: quality.digest(table(spark, d, "documents")),
+    "op7_decontaminate": lambda spark, d: decontaminate.digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op8_pii": lambda spark, d: pii.digest(table(spark, d, "documents")),
 }
 
-ORACLES: dict = {}
+ORACLES: dict = {"op7_decontaminate": decontaminate.ORACLE}
