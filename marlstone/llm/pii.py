@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.columns import let, whole
+from marlstone.llm.store import cut
 
 KEY = "surrogate-key-1"
 MAX_ATTEMPTS = 32
@@ -200,7 +201,7 @@ def exceptions(docs: DataFrame, key: str = KEY, max_attempts: int = MAX_ATTEMPTS
         if lost.isEmpty():
             return moved
         stay = lost if moved is None else moved.join(lost, "entity", "left_anti").unionByName(lost)
-        moved = stay.checkpoint()
+        moved = cut(stay)
     raise ValueError(f"surrogates still collide after {max_attempts} attempts")
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from marlstone.llm import decontaminate, pii, quality
+from marlstone.llm import dac, decontaminate, pieces, pii, quality, secrets, toxicity, urllists
 from marlstone.session import table
 
 QUERIES = {
+    "op1_secret_scan": lambda spark, d: secrets.digest(table(spark, d, "documents")),
+    "op2_toxicity": lambda spark, d: toxicity.digest(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op3_url_lists": lambda spark, d: urllists.digest(table(spark, d, "pages")),
     "op5_quality_rules": lambda spark, d: quality.digest(table(spark, d, "documents")),
+    "op6_pieces": lambda spark, d: pieces.digest(table(spark, d, "documents")),
     "op7_decontaminate": lambda spark, d: decontaminate.digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op8_pii": lambda spark, d: pii.digest(table(spark, d, "documents")),
+    "op9_dac": lambda spark, d: dac.digest(table(spark, d, "documents")),
 }
 
-ORACLES: dict = {"op7_decontaminate": decontaminate.ORACLE}
+ORACLES: dict = {"op3_url_lists": urllists.ORACLE, "op7_decontaminate": decontaminate.ORACLE}

@@ -1,0 +1,152 @@
+"""Secret scan: fixed patterns, then zstandard novelty of candidate strings in sensitive contexts.
+
+A candidate is a long unbroken string behind a sensitive word. Its marginal cost is the compressed size of its
+surroundings with the candidate less the size without it, both under a dictionary of the surroundings and of common
+identifiers: a name or path that the code around it explains costs little, a random key costs nearly its entropy.
+Candidates that cost ``min_ratio`` bytes for each of their characters, or more, are reported as kind ``novel``.
+
+Defined results: null and empty texts have no spans; repeated rows are scanned one by one; spans are code points of
+the whole text, end exclusive; an empty table gives an empty result; other columns pass through ``scan``.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from marlstone.session import ship
+
+#: The kinds in the order that breaks ties of their starts.
+KINDS = ("assign", "access", "hex", "novel")
+ASSIGN = re.compile(
+    r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+)
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]{24,}")  # the same spans as runs of [0-9a-f]+ of that length
+
+#: Words that make what follows them sensitive, and identifiers that are no news.
+CONTEXT = re.compile(
+    r"(?:auth|bearer|credential|private|pwd|passphrase|signature|session|cookie|access|key|pass(?:word|wd)?|secret|token|salt|licen[cs]e)[A-Za-z_]{0,12}"
+    r"""["']?[\x20\t]*(?:[:=]|=>|\x20is\x20)?[\x20\t]*["']?([A-Za-z0-9+/_=-]{16,})""",
+    re.ASCII | re.IGNORECASE,
+)
+IDENTIFIERS = (
+    "password passwd secret token api_key apikey access_key secret_key private_key public_key client_id client_secret "
+    "authorization bearer basic credentials username user_name login session_id cookie signature certificate "
+    "get_token set_password generate_key create_session request response headers content_type application_json "
+    "config settings environment production development staging default example placeholder changeme localhost "
+    "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0123456789abcdef"
+).encode()
+
+REACH = 1024
+MIN_RATIO = 0.75
+#: A candidate has both: plain words run together are names.
+LETTER, DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
+
+
+def _size(data: bytes, dictionary: bytes) -> int:
+    d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return len(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False).compress(data))
+
+
+def marginal_ratio(text: str, start: int, end: int, reach: int = REACH) -> float:
+    """Bytes that text[start:end] adds to its compressed surroundings, for each of its own bytes."""
+    left = text[max(0, start - reach) : start].encode()
+    right = text[end : end + reach].encode()
+    own = text[start:end].encode()
+    dictionary = IDENTIFIERS + left + right
+    near = left[-64:]
+    return (_size(near + own, dictionary) - _size(near, dictionary)) / max(1, len(own))
+
+
+def spans(text: str | None, min_ratio: float = MIN_RATIO) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) of every span of a text, sorted."""
+    if not text:
+        return []
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+    found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
+    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    taken: list[list[int]] = []
+    for s, _, e in sorted(found):
+        if taken and s < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    i = 0
+    for m in CONTEXT.finditer(text):
+        s, e = m.span(1)
+        while i < len(taken) and taken[i][1] <= s:
+            i += 1
+        if i < len(taken) and taken[i][0] < e:
+            continue
+        if LETTER.search(m[1]) and DIGIT.search(m[1]) and marginal_ratio(text, s, e) >= min_ratio:
+            found.append((s, 3, e))
+    return sorted(found)
+
+
+def _told(found: list[tuple[int, int, int]]) -> str:
+    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in found)
+
+
+def scan(docs: DataFrame, text: str = "text", min_ratio: float = MIN_RATIO) -> DataFrame:
+    """``docs`` with ``secrets``: an array of (kind, start, end) for each text, as it is read, without a shuffle."""
+    ship(docs.sparkSession)
+    kept = [c for c in docs.columns if c != "secrets"]
+    docs = docs.select(*(F.col(f"`{c}`") for c in kept))
+    one = T.StructType().add("kind", "string").add("start", "long").add("end", "long")
+    schema = T.StructType(list(docs.schema.fields)).add("secrets", T.ArrayType(one))
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [
+                [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans(t.as_py(), min_ratio)] for t in b.column(text)
+            ]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, kind)], [*b.schema.names, "secrets"])
+
+    return docs.mapInArrow(run, schema)
+
+
+def digest(docs: DataFrame) -> DataFrame:
+    """The contract's columns, and the number of novel spans."""
+    s = scan(docs.select("doc_id", "text")).select("doc_id", "secrets")
+    count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
+    told = lambda a: F.array_join(
+        F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ","
+    )
+    return s.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(told(F.filter("secrets", lambda x: x["kind"] != "novel")), 256).alias("base_sha256"),
+        told(F.col("secrets")).alias("spans"),
+        count("novel").alias("n_novel"),
+    )
+
+
+def mask(docs: DataFrame, text: str = "text", by: str = "*") -> DataFrame:
+    """``docs`` with every character of every span replaced by ``by``."""
+    s = scan(docs, text)
+    cut = F.aggregate(
+        "secrets",
+        F.struct(F.lit("").alias("done"), F.lit(0).cast("bigint").alias("at")),
+        lambda a, x: F.when(x["end"] <= a["at"], a).otherwise(
+            F.struct(
+                F.concat(
+                    a["done"],
+                    F.substring(F.col(text), (a["at"] + 1).cast("int"), F.greatest(F.lit(0), x["start"] - a["at"]).cast("int")),
+                    F.repeat(F.lit(by), (x["end"] - F.greatest(x["start"], a["at"])).cast("int")),
+                ).alias("done"),
+                x["end"].alias("at"),
+            )
+        ),
+        lambda a: F.concat(a["done"], F.substring(F.col(text), (a["at"] + 1).cast("int"), F.length(F.col(text)))),
+    )
+    return s.select(*((F.when(F.size("secrets") > 0, cut).otherwise(F.col(text)).alias(text)) if c == text else F.col(f"`{c}`") for c in docs.columns))
