@@ -30,3 +30,24 @@ def get_session(app: str = "marlstone", master: str | None = None, **conf: str)
 def table(spark: SparkSession, sf_dir: str, name: str):
     """The named table below ``sf_dir``; any path that Spark itself can read."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the package to the executors of this session, once; their Python need not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        import tempfile
+        import zipfile
+        from pathlib import Path
+
+        root = Path(__file__).resolve().parent
+        at = Path(tempfile.mkdtemp(prefix="marlstone-")) / "marlstone.zip"
+        with zipfile.ZipFile(at, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(at))
+        _shipped.add(app)
+    return spark
