@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import dac, decontaminate, pieces, pii, quality, secrets, toxicity, urllists
+from marlstone.llm import dac, decontaminate, pieces, pii, quality, secrets, setjoin, toxicity, urllists
 from marlstone.session import table
 
 QUERIES = {
@@ -14,6 +14,11 @@ QUERIES = {
     "op7_decontaminate": lambda spark, d: decontaminate.digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op8_pii": lambda spark, d: pii.digest(table(spark, d, "documents")),
     "op9_dac": lambda spark, d: dac.digest(table(spark, d, "documents")),
+    "op10_jaccard_join": lambda spark, d: setjoin.digest(table(spark, d, "documents")),
 }
 
-ORACLES: dict = {"op3_url_lists": urllists.ORACLE, "op7_decontaminate": decontaminate.ORACLE}
+ORACLES: dict = {
+    "op3_url_lists": urllists.ORACLE,
+    "op7_decontaminate": decontaminate.ORACLE,
+    "op10_jaccard_join": setjoin.ORACLE,
+}
