@@ -34,13 +34,17 @@ SYLLABLES = ("ba", "de", "fi", "go", "hu", "ka", "le", "mi", "no", "pu", "ra", "
 CYRILLIC_SYLLABLES = ("ба", "де", "фи", "го", "ху", "ка", "ле", "ми", "но", "пу", "ра", "се", "ти", "во", "жу", "зан")
 
 TITLES = "|".join(FEMALE_TITLES + MALE_TITLES + NEUTRAL_TITLES)
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: Each pattern first looks at what lies before it, so that no place inside a word or number is tried in full.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9A-Za-z])(?:[0-9]{16}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3})(?![0-9A-Za-z])"
 PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9A-Za-z-])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
-NAME = rf"(?<!\p{{L}})(?:{TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
-ANY = f"{EMAIL}|{IP}|{CARD}|{PHONE}|{SSN}|{NAME}"
+FIRST = "".join(sorted({x[0] for x in FEMALE_TITLES + MALE_TITLES + NEUTRAL_TITLES}))
+NAME = rf"(?=[{FIRST}])(?<!\p{{L}})(?:{TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
+ANY = rf"(?<![A-Za-z0-9])(?:{EMAIL}|{IP}|{CARD}|{PHONE}|{SSN}|{NAME})"
+#: A text without a digit, an @ and a title has no entity; this is cheap to see.
+HINT = rf"[0-9@]|(?=[{FIRST}])(?<!\p{{L}})(?:{TITLES})\.? "
 KINDS = ("email", "ip", "card", "phone", "ssn", "name")
 
 
@@ -58,7 +62,9 @@ def kind_of(m: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """Every entity of a text, in order, repeats included."""
-    return F.regexp_extract_all(whole(text), F.lit(ANY), F.lit(0))
+    return F.when(whole(text).rlike(HINT), F.regexp_extract_all(whole(text), F.lit(ANY), F.lit(0))).otherwise(
+        F.array().cast("array<string>")
+    )
 
 
 def _number(digest: Column, i: Column | int, below: int) -> Column:
@@ -184,7 +190,7 @@ def exceptions(docs: DataFrame, key: str = KEY, max_attempts: int = MAX_ATTEMPTS
     the smallest of them; one that is itself an entity of the corpus stays with none.
     """
     known = docs.select(F.explode(entities(F.col("text"))).alias("entity")).distinct()
-    known = known.withColumn("kind", kind_of(F.col("entity")))
+    known = cut(known.withColumn("kind", kind_of(F.col("entity"))))
     moved = None
     for _ in range(max_attempts):
         now = known if moved is None else known.join(moved, "entity", "left")
