@@ -493,29 +493,35 @@ def links(docs: DataFrame, names: DataFrame, width: int = WIDTH, percent: int =
     return done.unionByName(_verified(more, classes, docs, width, percent))
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, th, n_shingles, component_id) of every row of ``docs``."""
+def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The named rows, and for each set (fp1) its component and the component's first row: least (no_id, id, th)."""
     names = named(docs, width)
     comp = components(links(docs, names, width, percent))
-    sets = names.where("n > 0").groupBy("fp1").agg(F.min("doc_id").alias("least"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "th")).alias("least")
+    sets = names.where("n > 0").groupBy("fp1").agg(first)
     tree = sets.join(comp, sets.fp1 == comp.node, "left").select("fp1", "least", F.coalesce("comp", "fp1").alias("comp"))
-    small = tree.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of = tree.join(small, "comp").select(F.col("fp1").alias("_f"), "component_id")
+    return names, tree.select("fp1", "comp").join(tree.groupBy("comp").agg(F.min("least").alias("least")), "comp")
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, th, n_shingles, component_id) of every row of ``docs``."""
+    names, of = _classes(docs, width, percent)
+    of = of.select(F.col("fp1").alias("_f"), F.col("least.id").alias("component_id"))
     out = names.join(of, (names.fp1 == of["_f"]) & (names.n > 0), "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def drop_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One document of each component stays, the one with the smallest id; columns as they are.
-
-    Rows without an id stay only where their component has none with an id."""
-    keep = near_duplicates(docs, width, percent)
-    keep = keep.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"))
-    keep = keep.dropDuplicates(["_d"])
-    with_hash = docs.select("*", F.xxhash64("text").alias("_th"))
-    out = with_hash.join(keep, with_hash.doc_id.eqNullSafe(keep["_d"]) & (F.col("_th") == keep["_t"]), "left_semi")
-    return out.dropDuplicates(["doc_id"]).drop("_th")
+    """One row of each component stays: that with the smallest id, then the smallest hash of its text.
+
+    Rows without a set all stay; a row without an id stays only if no row of its component has one."""
+    _, of = _classes(docs.select("doc_id", "text"), width, percent)
+    keep = of.select("least.*").distinct().select(F.col("id").alias("_d"), F.col("th").alias("_t"))
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(has_words).withColumn("_th", F.xxhash64("text"))
+    kept = rows.join(keep, rows.doc_id.eqNullSafe(keep["_d"]) & (F.col("_th") == keep["_t"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_th"]).drop("_th").unionByName(docs.where(~has_words))
 
 
 def digest(docs: DataFrame) -> DataFrame:
