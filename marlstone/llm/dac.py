@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import textkit
+from marlstone.llm.bytebpe import Encoder
 from marlstone.llm.store import written
 from marlstone.session import ship
 
@@ -111,15 +112,10 @@ class Codes:
 _loaded: dict = {}
 
 
-def _tokenizer(path: str):
-    """One tokenizer for each worker process; the file lies on every machine."""
+def _encoder(path: str) -> Encoder:
+    """One encoder for each worker process; the tokenizer's file lies on every machine."""
     if path not in _loaded:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _loaded[path] = Tokenizer.from_file(path)
+        _loaded[path] = Encoder(path)
     return _loaded[path]
 
 
@@ -146,7 +142,7 @@ def write(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, bit
     ordered = ordered.sortWithinPartitions("doc_id", "th").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(_resolve(tokenizer))
+        t = _encoder(_resolve(tokenizer))
         part, seq, first, held = TaskContext.get().partitionId(), 0, 0, 0
         names, pieces, ends = [], [], []
 
@@ -158,8 +154,8 @@ def write(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, bit
         for b in batches:
             for i, j in textkit.slices(b):
                 texts = [x or "" for x in b.column("text").slice(i, j - i).to_pylist()]
-                for name, e in zip(b.column("doc_id").slice(i, j - i).to_pylist(), t.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                    pieces.append(np.array([*e.ids, end_id], np.uint32))
+                for name, e in zip(b.column("doc_id").slice(i, j - i).to_pylist(), t.encode(texts), strict=True):
+                    pieces.append(np.append(e, np.uint32(end_id)))
                     held += len(pieces[-1])
                     names.append(name)
                     ends.append(held)
