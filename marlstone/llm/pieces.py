@@ -17,6 +17,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ from marlstone.session import ship
 MODEL = "piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 20240501
-STREAMS = 8
-CACHE_RUNS = 300_000
+STREAMS = 4
+CACHE_RUNS = 600_000
+#: Longer runs are merged alone with a heap, so that no text costs the square of its length.
+SHORT_RUN = 48
 
 SPACE = "▁"
 _RUN = re.compile(r" *[^ ]+| +")
@@ -45,6 +48,16 @@ def _keyed(seed: int, stream: int, place: int, piece: int) -> int:
     return x ^ x >> 31
 
 
+def _keyed_many(seed: int, stream: np.ndarray, place: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """The same hash for many candidates."""
+    u = np.uint64
+    with np.errstate(over="ignore"):
+        x = u(seed & _M) ^ stream * u(0x9E3779B97F4A7C15) ^ place.astype(u) * u(0xC2B2AE3D27D4EB4F) ^ piece.astype(u) * u(0x165667B19E3779F9)
+        x = (x ^ x >> u(30)) * u(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> u(27)) * u(0x94D049BB133111EB)
+        return x ^ x >> u(31)
+
+
 class Pieces:
     """The vocabulary of a BPE model file, with encoding and decoding of single texts."""
 
@@ -62,6 +75,7 @@ class Pieces:
         self.rank = {i: -sp.get_score(i) for i in plain}
         self.raw = [x.replace(SPACE, " ").encode() for x in self.text]
         self.cache: dict[tuple[int, str], tuple[int, ...]] = {}
+        self.merges: tuple[np.ndarray, ...] | None = None
 
     def _merge(self, run: str, dropout: float, seed: int, stream: int) -> tuple[int, ...]:
         part: list[str | None] = [SPACE if c == " " else c for c in run]
@@ -109,24 +123,97 @@ class Pieces:
                 out.append(piece)
         return tuple(out)
 
-    def encode(self, text: str, dropout: float = DROPOUT, seed: int = SEED, streams: int = STREAMS) -> list[int]:
-        if not text:
-            return []
-        out: list[int] = []
-        draw = zlib.crc32(text.encode()) ^ seed & 0xFFFFFFFF
-        cache = self.cache
-        for k, run in enumerate(_RUN.findall(" " + text)):
-            stream = ((draw + k) * 2654435761 >> 7) % streams if dropout else 0
-            got = cache.get((stream, run))
-            if got is None:
-                got = self._merge(run, dropout, seed, stream)
-                if len(run) <= 64:
-                    if len(cache) >= CACHE_RUNS:
-                        cache.clear()
-                    cache[stream, run] = got
-            out += got
+    def _table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted keys (left id, right id) of all merges, with their pieces and the order of those pieces' scores."""
+        if self.merges is None:
+            n, found = len(self.text), []
+            order = {v: k for k, v in enumerate(sorted(set(self.rank.values())))}
+            for x, i in self.id.items():
+                for k in range(1, len(x)):
+                    left, right = self.id.get(x[:k]), self.id.get(x[k:])
+                    if left is not None and right is not None:
+                        found.append((left * n + right, i, order[self.rank[i]]))
+            found.sort()
+            self.merges = tuple(np.array(c, np.int64) for c in zip(*found, strict=True))
+        return self.merges
+
+    def _merge_many(self, runs: list[tuple[int, str]], dropout: float, seed: int) -> None:
+        """Fills the cache for many short runs: every round takes each run's best candidate that is not skipped."""
+        keys, made, order = self._table()
+        n = len(self.text)
+        limit = np.uint64(min(int(dropout * 2.0**64), _M))
+        first = [[self.id.get(SPACE if c == " " else c, -1) if c != SPACE else -1 for c in run] for _, run in runs]
+        size = np.array([len(x) for x in first], np.int64)
+        symbol = np.array([x for y in first for x in y], np.int64)
+        owner = np.repeat(np.arange(len(runs)), size)
+        place = np.arange(len(symbol)) - np.repeat(np.cumsum(size) - size, size)
+        stream = np.array([x for x, _ in runs], np.uint64)
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        worst = np.iinfo(np.int64).max
+        while len(symbol):
+            pair = np.r_[symbol[:-1] * n + symbol[1:], -1]
+            pair[np.r_[(owner[1:] != owner[:-1]) | (symbol[1:] < 0) | (symbol[:-1] < 0), True]] = -1
+            at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == pair)
+            piece = made[at[hit]]
+            if dropout:
+                keep = _keyed_many(seed, stream[owner[hit]], place[hit], piece) >= limit
+                hit, piece = hit[keep], piece[keep]
+            value = np.full(len(symbol), worst)
+            value[hit] = (order[at[hit]] << 24) | place[hit]
+            start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            best = np.minimum.reduceat(value, start)
+            length = np.diff(np.r_[start, len(owner)])
+            chosen = hit[value[hit] == np.repeat(best, length)[hit]]
+            symbol[chosen] = made[at[chosen]]
+            open_ = np.repeat(best < worst, length)
+            if not open_.all():
+                done.append((owner[~open_], place[~open_], symbol[~open_]))
+            open_[chosen + 1] = False
+            symbol, owner, place = symbol[open_], owner[open_], place[open_]
+        owner, place, symbol = (np.concatenate(x) for x in zip(*done, strict=True))
+        sort = np.lexsort((place, owner))
+        owner, place, symbol = owner[sort], place[sort].tolist(), symbol[sort]
+        ids, cuts = symbol.tolist(), np.searchsorted(owner, np.arange(len(runs) + 1)).tolist()
+        odd = np.unique(owner[symbol < 0])
+        for k, key in enumerate(runs):
+            self.cache[key] = tuple(ids[cuts[k] : cuts[k + 1]])
+        for k in odd.tolist():
+            run, out = runs[k][1], []
+            for i in range(cuts[k], cuts[k + 1]):
+                out += [ids[i]] if ids[i] >= 0 else [self.of_byte[b] for b in run[place[i]].encode()]
+            self.cache[runs[k]] = tuple(out)
+
+    def encode_many(self, texts: list[str], dropout: float = DROPOUT, seed: int = SEED, streams: int = STREAMS) -> list[list[int]]:
+        """The ids of each text; runs that the cache lacks are merged together."""
+        if len(self.cache) >= CACHE_RUNS:
+            self.cache.clear()
+        asked: list[list[tuple[int, str]]] = []
+        for text in texts:
+            runs = _RUN.findall(" " + text) if text else []
+            if dropout and runs:
+                draw = np.uint64(zlib.crc32(text.encode()) ^ seed & 0xFFFFFFFF)
+                drawn = ((np.arange(len(runs), dtype=np.uint64) + draw) * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(streams)
+                asked.append(list(zip(drawn.tolist(), runs, strict=True)))
+            else:
+                asked.append([(0, x) for x in runs])
+        new = {x for y in asked for x in y if x not in self.cache}
+        short = [x for x in new if len(x[1]) <= SHORT_RUN]
+        for i in range(0, len(short), 20_000):
+            self._merge_many(short[i : i + 20_000], dropout, seed)
+        for x in new:
+            if len(x[1]) > SHORT_RUN:
+                self.cache[x] = self._merge(x[1], dropout, seed, x[0])
+        get = self.cache.__getitem__
+        out = [list(chain.from_iterable(map(get, x))) for x in asked]
+        for x in new:
+            if len(x[1]) > SHORT_RUN:
+                del self.cache[x]
         return out
 
+    def encode(self, text: str, dropout: float = DROPOUT, seed: int = SEED, streams: int = STREAMS) -> list[int]:
+        return self.encode_many([text], dropout, seed, streams)[0]
+
     def decode(self, ids) -> str:
         if not len(ids):
             return ""
@@ -161,7 +248,9 @@ def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed:
         for whole in batches:
             for i in range(0, whole.num_rows, batch_rows):
                 b = whole.slice(i, batch_rows)
-                ids = [None if t is None else np.asarray(p.encode(t, dropout, seed, streams), np.int32) for t in b.column("text").to_pylist()]
+                texts = b.column("text").to_pylist()
+                coded = p.encode_many([t or "" for t in texts], dropout, seed, streams)
+                ids = [None if t is None else np.asarray(x, np.int32) for t, x in zip(texts, coded, strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*b.schema.names, "ids"])
 
     return docs.mapInArrow(run, schema)
