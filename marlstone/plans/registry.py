@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from marlstone.operators.filters import changed
 from marlstone.plans import mapping as M
 from marlstone.plans import marts
 from marlstone.plans import oracles as O
-from marlstone.session import table
+from marlstone.session import shared_dir, table
 from marlstone.streaming import campaigns, orders
 
 QUERIES: dict = {}
@@ -260,15 +262,12 @@ def _(spark, d):
 
 @query("stm07_running_counters", O.RUNNING)
 def _(spark, d):
-    """Orders as a file stream, counted by customer in complete mode until the stream is drained."""
-    from marlstone.session import ship  # noqa: F401  the stream needs no Python on executors
-    import uuid
-
-    name = f"counters_{uuid.uuid4().hex}"
-    raw = spark.readStream.schema("o_orderkey bigint, o_custkey bigint").option("recursiveFileLookup", "true").parquet(f"{d.rstrip('/')}/orders.parque[t]")
-    q = orders.running_counts(raw, ["o_custkey"]).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    """Orders as a file stream, added batch by batch to a keyed counter table until the stream is drained."""
+    at = f"{shared_dir(spark)}/counters-{uuid.uuid4().hex}"
+    raw = spark.readStream.schema("o_custkey bigint").option("recursiveFileLookup", "true").parquet(f"{d.rstrip('/')}/orders.parque[t]")
+    write = orders.counter_writer(f"{at}/table", ["o_custkey"])
+    raw.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/marks").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/table").drop("batch_id")
 
 
 @query("ids_uuid3", O.UUID3)

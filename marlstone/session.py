@@ -51,3 +51,14 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(at))
         _shipped.add(app)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, a temporary one only where it is unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        import tempfile
+
+        at = tempfile.mkdtemp(prefix="spark-checkpoints-")
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
