@@ -322,13 +322,6 @@ def _lists(index: DataFrame, percent: int, short: int) -> DataFrame:
                 i = i[_possible(n[i], n[i + k], place[i], place[i + k], percent)]
                 got_a.append(name[i])
                 got_b.append(name[i + k])
-            for s, c in zip(first[size > short].tolist(), size[size > short].tolist(), strict=True):
-                block = slice(s, s + c)
-                # the first set of the block that is large enough for each one
-                lead = np.searchsorted(n[block], _ceil(percent * n[block], 100))
-                other = lead < np.arange(c)
-                got_a.append(name[block][lead[other]])
-                got_b.append(name[block][other])
             if got_a:
                 yield _found(0, *_pairs_of(np.concatenate(got_a), np.concatenate(got_b)))
             long = ~brief
@@ -339,6 +332,26 @@ def _lists(index: DataFrame, percent: int, short: int) -> DataFrame:
     return index.mapInArrow(run, FOUND)
 
 
+def _stars(long: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b): each set of a long list with the list's leader, and with that of its sets of like size.
+
+    The leader is the set with the most entries in long lists: the one that differs least from the others of a group
+    of near copies, as few of its rarest shingles are its own. Degrees and leaders are aggregates, so hot lists are
+    combined before they are shuffled.
+    """
+    e = long.join(long.groupBy("a").agg(F.count("*").alias("degree")), "a")
+    kind = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))
+    out = None
+    for keys in (["list"], ["list", "kind"]):
+        x = e.withColumn("kind", kind)
+        lead = x.groupBy(*keys).agg(F.max(F.struct("degree", (-F.col("a")).alias("r"), "a", "n")).alias("lead"))
+        x = x.join(lead.select(*keys, F.col("lead.a").alias("b"), F.col("lead.n").alias("m")), keys)
+        x = x.where((F.col("a") != F.col("b")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+        x = x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        out = x if out is None else out.unionByName(x)
+    return out.distinct()
+
+
 def _second_round(entries: DataFrame, percent: int, every: bool) -> DataFrame:
     """Candidate pairs of long lists whose components differ (or all, with ``every``); entries: list, a, n, place, comp."""
 
@@ -480,16 +493,17 @@ def links(docs: DataFrame, names: DataFrame, width: int = WIDTH, percent: int =
     hot = spark.sparkContext.broadcast(frequent(docs, width, bits))
     found = cut(_lists(_entries(docs, width, percent, bits, hot), percent, SHORT))
     first = found.where("kind = 0").select("a", "b")
-    done = _verified(first, classes, docs, width, percent)
     long = found.where("kind = 1").select("list", "a", "n", "place")
     if long.isEmpty():
-        return done
+        return _verified(first, classes, docs, width, percent)
+    first = cut(first.unionByName(_stars(long, percent)).distinct())
+    done = _verified(first, classes, docs, width, percent)
     comp = components(done).withColumnRenamed("node", "a")
     labelled = long.join(comp, "a", "left").select("list", "a", "n", "place", F.coalesce("comp", "a").alias("comp"))
     if not every:
         mixed = labelled.groupBy("list").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("list")
         labelled = labelled.join(mixed, "list", "left_semi")
-    more = _second_round(labelled, percent, every).distinct().join(first.distinct(), ["a", "b"], "left_anti")
+    more = _second_round(labelled, percent, every).distinct().join(first, ["a", "b"], "left_anti")
     return done.unionByName(_verified(more, classes, docs, width, percent))
 
 
