@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from marlstone.llm import dac, decontaminate, pieces, pii, quality, secrets, setjoin, substrings, toxicity, urllists
+from marlstone.llm import dac, decontaminate, pieces, pii, quality, secretscan, setjoin, substrings, toxicity, urllists
 from marlstone.session import table
 
 QUERIES = {
-    "op1_secret_scan": lambda spark, d: secrets.digest(table(spark, d, "documents")),
+    "op1_secret_scan": lambda spark, d: secretscan.digest(table(spark, d, "documents")),
     "op2_toxicity": lambda spark, d: toxicity.digest(table(spark, d, "documents"), table(spark, d, "labels")),
     "op3_url_lists": lambda spark, d: urllists.digest(table(spark, d, "pages")),
     "op4_substrings": lambda spark, d: substrings.digest(table(spark, d, "documents")),

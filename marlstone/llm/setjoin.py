@@ -353,42 +353,59 @@ def _stars(long: DataFrame, percent: int) -> DataFrame:
 
 
 def _second_round(entries: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Candidate pairs of long lists whose components differ (or all, with ``every``); entries: list, a, n, place, comp."""
+    """Candidate pairs of long lists whose components differ (or all, with ``every``), if their bitmaps leave room.
+
+    ``entries``: list, a, n, place, comp, bitmap. The list's most frequent component needs no pairs within it, so the
+    work grows with the other sets' number times the length of their blocks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[tuple] = []
 
         def work() -> Iterator[pa.RecordBatch]:
-            name, n, place, comp = (np.concatenate(x) for x in zip(*held, strict=True))
+            name, n, place, comp = (np.array([r[k] for r in held], np.int64) for k in range(4))
             order = np.lexsort((name, n))
             name, n, place, comp = name[order], n[order], place[order], comp[order]
+            maps = [np.frombuffer(held[k][4], np.uint8) for k in order.tolist()]
+            width = np.array([len(x) for x in maps])
+            folded: dict[int, np.ndarray] = {}
+
+            def of(w: int) -> np.ndarray:
+                """All bitmaps that are no shorter, on ``w`` bytes."""
+                if w not in folded:
+                    folded[w] = np.stack([_fold(x, w) if len(x) >= w else np.zeros(w, np.uint8) for x in maps])
+                return folded[w]
+
             _, inverse, sizes = np.unique(comp, return_inverse=True, return_counts=True)
             odd = np.arange(len(n)) if every else np.flatnonzero(inverse != sizes.argmax())
             low = np.searchsorted(n, _ceil(percent * n, 100))
             high = np.searchsorted(n, n * 100 // percent, side="right")
             got_a, got_b = [], []
             for i in odd.tolist():
-                for j in (np.arange(low[i], i), np.arange(i + 1, high[i])):
-                    a, b = (j, np.full(len(j), i)) if len(j) and j[0] < i else (np.full(len(j), i), j)
-                    ok = _possible(n[a], n[b], place[a], place[b], percent)
-                    if not every:
-                        ok &= comp[a] != comp[b]
-                    got_a.append(name[a[ok]])
-                    got_b.append(name[b[ok]])
+                j = np.r_[np.arange(low[i], i), np.arange(i + 1, high[i])]
+                small, large = np.minimum(i, j), np.maximum(i, j)
+                ok = _possible(n[small], n[large], place[small], place[large], percent)
+                if not every:
+                    ok &= comp[j] != comp[i]
+                j = j[ok]
+                for w in np.unique(np.minimum(width[j], width[i])).tolist():
+                    k = j[np.minimum(width[j], width[i]) == w]
+                    m = of(w)
+                    apart = np.bitwise_count(m[k] ^ m[i]).sum(axis=1, dtype=np.int64)
+                    k = k[apart <= n[k] + n[i] - 2 * least_overlap(n[k], n[i], percent)]
+                    got_a.append(name[k])
+                    got_b.append(np.full(len(k), name[i]))
             if got_a:
                 yield _found(0, *_pairs_of(np.concatenate(got_a), np.concatenate(got_b)))
 
         now = None
-        for b in batches:
-            key = b.column(0).to_numpy()
-            cols = [b.column(k).to_numpy().astype(np.int64) for k in (1, 2, 3, 4)]
-            edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-            for s, e in zip(edges, np.r_[edges[1:], len(key)], strict=True):
-                if key[s] != now and held:
+        for batch in batches:
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                if key != now and held:
                     yield from work()
                     held = []
-                now = key[s]
-                held.append([c[s:e] for c in cols])
+                now = key
+                held.append(row)
         if held:
             yield from work()
 
@@ -503,6 +520,7 @@ def links(docs: DataFrame, names: DataFrame, width: int = WIDTH, percent: int =
     if not every:
         mixed = labelled.groupBy("list").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("list")
         labelled = labelled.join(mixed, "list", "left_semi")
+    labelled = labelled.join(classes.select(F.col("fp1").alias("a"), "bitmap"), "a").select("list", "a", "n", "place", "comp", "bitmap")
     more = _second_round(labelled, percent, every).distinct().join(first, ["a", "b"], "left_anti")
     return done.unionByName(_verified(more, classes, docs, width, percent))
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import bytebpe, dac, pieces, secrets, setjoin, substrings, suffixes, toxicity
+from marlstone.llm import bytebpe, dac, pieces, secretscan, setjoin, substrings, suffixes, toxicity
 
 
 def brute_spans(t):
@@ -34,16 +34,16 @@ SECRETS = [
 
 def test_secrets(spark, edge, empty):
     df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(SECRETS)], "doc_id bigint, text string, secrets string")
-    got = {r.doc_id: r for r in secrets.digest(df).collect()}
+    got = {r.doc_id: r for r in secretscan.digest(df).collect()}
     for i, t in enumerate(SECRETS):
         want = brute_spans(t)
         assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest(), t
         assert set(filter(None, want.split(","))) <= set(got[i].spans.split(","))
     assert got[10].n_novel == 1 and got[11].n_novel == 0
-    masked = {r.doc_id: r.text for r in secrets.mask(df.drop("secrets")).collect()}
+    masked = {r.doc_id: r.text for r in secretscan.mask(df.drop("secrets")).collect()}
     assert masked[2] == "é *****************"[: len(SECRETS[2])] or "abcdef" not in masked[2]
     assert len(masked[9]) == len(SECRETS[9]) and masked[0] is None
-    assert secrets.digest(empty).count() == 0 and secrets.digest(edge).count() == edge.count()
+    assert secretscan.digest(empty).count() == 0 and secretscan.digest(edge).count() == edge.count()
 
 
 def test_segments_are_all_maximal():
