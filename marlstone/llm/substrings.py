@@ -169,10 +169,18 @@ def _common(a: bytes, b: bytes) -> int:
     return int(d.argmax())
 
 
-def _edges(sides: list[bytes]) -> list[int]:
-    """0, and every distance at which two of these strings can part: those of neighbours in sorted order."""
-    s = sorted(sides)
-    return sorted({0, *(_common(x, y) for x, y in zip(s, s[1:], strict=False))})
+def _reach(sides: list[bytes]) -> tuple[list[int], list[int]]:
+    """For each string, the most that it shares with another; and 0 with every distance at which any two can part.
+
+    Both come from neighbours in sorted order: what two strings share is the least that neighbours between them share.
+    """
+    order = sorted(range(len(sides)), key=sides.__getitem__)
+    most, edges = [0] * len(sides), {0}
+    for i, j in zip(order, order[1:], strict=False):
+        n = _common(sides[i], sides[j])
+        most[i], most[j] = max(most[i], n), max(most[j], n)
+        edges.add(n)
+    return most, sorted(edges)
 
 
 class Blocks:
@@ -189,22 +197,32 @@ class Blocks:
         """(copies, owner, place, before, behind) of each instance of one anchor."""
         g, ids = self.groups, self.ids
         self.groups += 1
-        back = [r[3][::-1] for r in rows]
-        left, right = _edges(back), _edges([r[4] for r in rows])
-        for (copies, owner, place, _, behind), b in zip(rows, back, strict=True):
+        # whoever shares too little on both sides together has no repeat here, nor is part of another's
+        while True:
+            back = [r[3][::-1] for r in rows]
+            (left, left_edges), (right, right_edges) = _reach(back), _reach([r[4] for r in rows])
+            some = [a + b >= self.length for a, b in zip(left, right, strict=True)]
+            if all(some):
+                break
+            rows = [r for r, x in zip(rows, some, strict=True) if x]
+        if len(rows) < 2:
+            return
+        edges = [left_edges, right_edges]
+        for (copies, owner, place, _, behind), b, *most in zip(rows, back, left, right, strict=True):
             string: list[int] = []
-            for side, data, edges in ((0, b, left), (1, behind, right)):
+            depth = 0
+            for side, data in ((0, b), (1, behind)):
                 part = []
-                for t in range(1, len(edges)):
-                    x = data[edges[t - 1] : edges[t]]
-                    if len(x) < edges[t] - edges[t - 1]:
+                for t in range(1, len(edges[side])):
+                    # blocks beyond all that it shares cannot be part of a repeat
+                    if edges[side][t] > most[side]:
                         break
-                    part.append(ids.setdefault((g, side, t, x), len(ids)))
+                    part.append(ids.setdefault((g, side, t, data[edges[side][t - 1] : edges[side][t]]), len(ids)))
                 if side == 0:
                     part.reverse()
                     depth = len(part)
                 string += part
-            self.strings.append((copies, place, left, right, depth, (owner, string)))
+            self.strings.append((copies, place, edges[0], edges[1], depth, (owner, string)))
             self.symbols += len(string) + 1
 
     def regions(self) -> Iterator[tuple]:
