@@ -106,6 +106,30 @@ def test_substrings(edge, edge_rows, empty, split, monkeypatch):
     assert substrings.digest(empty).count() == 0
 
 
+def test_blocks_of_one_anchor():
+    """Surroundings of an anchor beside all pairs of them."""
+    rnd = random.Random(2)
+    ends = lambda x, y: next((i for i, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+    some = lambda n: bytes(rnd.choice(b"ab") for _ in range(rnd.randint(0, n)))
+    for _ in range(400):
+        length = rnd.randint(3, 12)
+        blocks, want = substrings.Blocks(length), {}
+        for g in range(rnd.randint(1, 3)):
+            rows = [(rnd.choice([1, 1, 2]), (g, i), 100, some(length), some(length)) for i in range(rnd.randint(2, 7))]
+            blocks.add(rows)
+            for c, o, p, left, right in rows:
+                if c == 1:
+                    want[o] = set()
+                    for _, o2, _, left2, right2 in rows:
+                        a, b = ends(left[::-1], left2[::-1]), ends(right, right2)
+                        if o2 != o and a + b >= length:
+                            want[o] |= set(range(p - a, p + b))
+        got = {o: set() for o in want}
+        for o, a, b in blocks.regions():
+            got[o] |= set(range(a, b))
+        assert got == want
+
+
 def test_suffix_arrays():
     rnd = random.Random(1)
     for _ in range(800):
