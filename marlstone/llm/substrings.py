@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import suffixes, textkit
-from marlstone.llm.store import cut
+from marlstone.llm.store import cut, written
 from marlstone.session import ship
 
 LENGTH = 400
@@ -69,14 +69,14 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(b: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = ANCHOR):
-    """Places of the anchors in a buffer of several texts, and hashes of each, of what is before and of what is behind.
+    """Places of the anchors in a buffer of several texts, and hashes of each and of all that is around it.
 
     Texts beyond 2**24 bytes are taken in overlapping parts, so that places fit beside the hashes.
     """
     n = len(b)
     if n < length:
         none = np.zeros(0, np.int64)
-        return none, *(np.zeros(0, _U),) * 3
+        return none, *(np.zeros(0, _U),) * 2
     up, down = _tables_of(n)
     with np.errstate(over="ignore"):
         total = np.r_[_U(0), np.cumsum(textkit._BYTE[b] * up[:n], dtype=_U)]
@@ -103,10 +103,10 @@ def anchors(b: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = A
     text = np.searchsorted(offsets, place, side="right")
     before = np.maximum(offsets[text - 1], place - (length - k))
     behind = np.minimum(offsets[text], place + length)
-    return place, h[place], piece(before, place), piece(place, behind)
+    return place, h[place], textkit.mix(piece(before, place) + textkit.mix(piece(place, behind)))
 
 
-ANCHORS = "doc_id bigint, th bigint, place bigint, anchor bigint, before bigint, behind bigint"
+ANCHORS = "doc_id bigint, th bigint, place bigint, anchor bigint, around bigint"
 
 
 def _anchored(docs: DataFrame, length: int, k: int) -> DataFrame:
@@ -115,12 +115,12 @@ def _anchored(docs: DataFrame, length: int, k: int) -> DataFrame:
             for i, j in textkit.slices(batch):
                 part = batch.slice(i, j - i)
                 b, offsets = textkit.buffer(part.column("text"))
-                place, h, before, behind = anchors(b, offsets, length, k)
+                place, h, around = anchors(b, offsets, length, k)
                 text = np.searchsorted(offsets, place, side="right") - 1
                 index = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").take(index), part.column("th").take(index), pa.array(place - offsets[text])]
-                    + [pa.array(x.astype(np.int64)) for x in (h, before, behind)],
+                    + [pa.array(x.astype(np.int64)) for x in (h, around)],
                     names=[f.split()[0] for f in ANCHORS.split(", ")],
                 )
 
@@ -283,11 +283,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, split_over:
     ``docs`` has doc_id, text and th, a hash of the text.
     """
     ship(docs.sparkSession)
-    found = cut(_anchored(docs, length, k))
-    kinds = found.groupBy("anchor", "before", "behind").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "place")).alias("one"))
+    found = written(_anchored(docs, length, k), "anchors")
+    kinds = found.groupBy("anchor", "around").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "place")).alias("one"))
     total = kinds.groupBy("anchor").agg(F.sum("copies").alias("all"), F.count("*").alias("kinds")).where(F.col("all") > 1)
     kinds = cut(kinds.join(total, "anchor"))
-    whole = found.join(kinds.where("copies > 1").select("anchor", "before", "behind"), ["anchor", "before", "behind"], "left_semi")
+    whole = found.join(kinds.where("copies > 1").select("anchor", "around"), ["anchor", "around"], "left_semi")
     whole = whole.select("doc_id", "th", (F.col("place") - (length - k)).alias("start"), (F.col("place") + length).alias("end"))
     asked = kinds.where("kinds > 1").select("anchor", "copies", "kinds", "one.*")
     asked = asked.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(
