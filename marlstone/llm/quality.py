@@ -161,3 +161,20 @@ def judge(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFra
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns, and the number of stop words."""
     return judge(docs.select("doc_id", "text")).select("doc_id", *RAW, "n_stop", "base_failed", "kept")
+
+
+_SHARE = "CASE WHEN {b} > 0 THEN {a} / {b}::DOUBLE ELSE 0 END"
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 2], ' ')) AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM g WHERE c > 1) GROUP BY doc_id),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(list_filter(w, lambda x: x IN ({", ".join(f"'{x}'" for x in CASED)})))::BIGINT AS n_stop,
+  len(l) AS n_lines, length(regexp_replace(t, '[^!]+', '', 'g')) AS n_shouts FROM d LEFT JOIN r USING (doc_id)),
+x AS (SELECT *, {_SHARE.format(a="word_chars", b="n_words")} AS mean_word, {_SHARE.format(a="n_symbols", b="n_words")} AS symbol_ratio, {_SHARE.format(a="n_shouts", b="n_words")} AS shout_ratio,
+  {_SHARE.format(a="n_stop", b="n_words")} AS stop_ratio, {_SHARE.format(a="n_dup_lines", b="n_lines")} AS dup_line_ratio, {_SHARE.format(a="n_repeat_words", b="n_words")} AS repeat_ratio,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stop, base_failed, NOT base_failed AND n_words >= 50 AND mean_word BETWEEN 1.5 AND 14 AND symbol_ratio <= 0.25
+  AND shout_ratio <= 0.5 AND stop_ratio >= 0.01 AND dup_line_ratio <= 0.5 AND repeat_ratio <= 0.5 AS kept FROM x
+"""

@@ -20,6 +20,7 @@ QUERIES = {
 
 ORACLES: dict = {
     "op3_url_lists": urllists.ORACLE,
+    "op5_quality_rules": quality.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op10_jaccard_join": setjoin.ORACLE,
 }
