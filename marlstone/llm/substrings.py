@@ -7,8 +7,9 @@ counting, combined before the shuffle. Where instances of an anchor agree only i
 together, cut into blocks where any two of them part, and the blocks' strings are put in suffix order (linear grouping,
 see ``suffixes``); each one's longest common prefix with its neighbours gives to the byte how far a repeat reaches.
 
-An anchor with very many different surroundings is split by the nearer half of either side: any repeated stretch agrees
-on one of those halves, so each part is complete in itself for its stretches.
+An anchor with very many different surroundings is split by where a stretch begins: any repeated stretch agrees on all
+that the stretches of its part have in common, so each part is complete in itself. Instances that agree on all that a
+part reaches are settled by counting; parts that are still too large are split again, down to a single stretch.
 
 Defined results: null texts are empty; texts shorter than ``length`` lose nothing; matches never cross documents;
 repeated rows are repeats of each other; rows that share an id but not a text are apart; an empty table gives an
@@ -31,8 +32,10 @@ from marlstone.session import ship
 
 LENGTH = 400
 ANCHOR = 32
-#: Anchors with more different surroundings than this are split by the nearer halves of their sides.
+#: Anchors with more different surroundings than this are split by the windows that hold them, until no group has more.
 SPLIT_OVER = 2_000
+#: Parts into which the windows of a group are split at a time.
+WAYS = 8
 #: Block symbols that are put in suffix order at a time (more if one anchor has more).
 SYMBOLS = 50_000
 _U = np.uint64
@@ -127,40 +130,110 @@ def _anchored(docs: DataFrame, length: int, k: int) -> DataFrame:
     return docs.mapInArrow(run, ANCHORS)
 
 
-SIDES = "grp bigint, copies bigint, doc_id bigint, th bigint, place bigint, before binary, behind binary"
+#: Rows of a group: windows that begin ``least`` to ``least + room`` bytes before the anchor are open, all members agree
+#: on what every such window holds, and ``before`` and ``behind`` are the bytes beyond that (``room`` at most).
+SIDES = "grp bigint, kind bigint, copies bigint, doc_id bigint, th bigint, place bigint, least int, room int, before binary, behind binary"
 REGIONS = "doc_id bigint, th bigint, start bigint, end bigint"
 
 
-def _sides(asked: DataFrame, length: int, k: int, split_over: int) -> DataFrame:
+def _hash(*parts: bytes) -> int:
+    d = hashlib.blake2b(digest_size=8)
+    for x in parts:
+        d.update(len(x).to_bytes(4, "little"))
+        d.update(x)
+    return int.from_bytes(d.digest(), "little", signed=True)
+
+
+def _rows(rows: list[list]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 6 + [pa.int32()] * 2 + [pa.binary()] * 2
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names=[f.split()[0] for f in SIDES.split(", ")])
+
+
+def _sides(asked: DataFrame, length: int, k: int) -> DataFrame:
     """The bytes around each asked anchor; ``asked`` has the text of its document and an array of anchors in it."""
-    near = (length - k) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in textkit.slices(batch):
-                rows: list[list] = [[] for _ in range(7)]
+                rows: list[list] = [[] for _ in range(10)]
                 part = batch.slice(i, j - i)
                 for name, th, text, places in zip(*(part.column(c).to_pylist() for c in ("doc_id", "th", "text", "asked")), strict=True):
                     data = (text or "").encode()
                     for a in places:
                         p = a["place"]
-                        left, right = data[max(0, p - (length - k)) : p], data[p : p + length]
-                        groups = [a["anchor"]]
-                        if a["kinds"] > split_over:
-                            groups = []
-                            for tag, x in ((b"<", left[-near:]), (b">", right[: k + near])):
-                                if len(x) >= near:
-                                    d = hashlib.blake2b(tag + a["anchor"].to_bytes(8, "little", signed=True) + x, digest_size=8)
-                                    groups.append(int.from_bytes(d.digest(), "little", signed=True))
-                        for g in groups:
-                            for c, v in enumerate((g, a["copies"], name, th, p, left, right)):
-                                rows[c].append(v)
-                kinds = [pa.int64()] * 5 + [pa.binary()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names=[f.split()[0] for f in SIDES.split(", ")])
+                        left, right = data[max(0, p - (length - k)) : p], data[p + k : p + length]
+                        for c, v in enumerate((a["anchor"], 0, a["copies"], name, th, p, 0, length - k, left, right)):
+                            rows[c].append(v)
+                yield _rows(rows)
 
     return asked.mapInArrow(run, SIDES)
 
 
+def _parts(key: int, room: int, left: bytes, right: bytes) -> Iterator[tuple[int, int, int, int, bytes, bytes]]:
+    """(group, kind, least, room, before, behind) of each part of an instance's windows that it has a window in.
+
+    A window that begins ``x`` bytes further out holds x bytes of ``left`` and room - x of ``right``. The windows of a
+    part share what its widest and narrowest ends have in common: that is its group. Its kind is all that they reach.
+    """
+    step = -(-(room + 1) // WAYS)
+    tag = key.to_bytes(8, "little", signed=True)
+    for least in range(0, room + 1, step):
+        most = min(room, least + step - 1)
+        low, high = max(least, room - len(right)), min(most, len(left))
+        if low > high:
+            continue
+        a, b = len(left), room - most
+        group = _hash(tag, least.to_bytes(4, "little"), left[a - least :], right[:b])
+        before, behind = left[a - high : a - least], right[b : room - low]
+        yield group, _hash(before, behind), least, most - least, before, behind
+
+
+def _split(sides: DataFrame) -> DataFrame:
+    """Each instance once for each part of its windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                rows: list[list] = [[] for _ in range(10)]
+                for g, _, copies, name, th, place, least, room, left, right in zip(*(c.to_pylist() for c in batch.slice(i, 4096).columns), strict=True):
+                    for group, kind, more, rest, before, behind in _parts(g, room, left, right):
+                        for c, v in enumerate((group, kind, copies, name, th, place, least + more, rest, before, behind)):
+                            rows[c].append(v)
+                yield _rows(rows)
+
+    return sides.mapInArrow(run, SIDES)
+
+
+def _bounded(sides: DataFrame, length: int, split_over: int) -> tuple[DataFrame, DataFrame]:
+    """Regions (doc_id, th, start, end) and groups of ``split_over`` kinds at most, for instances of large anchors.
+
+    Instances of a group that agree on all that its windows reach are settled by counting, and one of them stays. A
+    group that still has too many is split again; parts end at a single window each, where all members agree.
+    """
+    regions, groups = None, None
+    while True:
+        rows = written(_split(sides), "parts")
+        kinds = rows.groupBy("grp", "kind").agg(F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "th", "place", "least", "room", "before", "behind")).alias("one"))
+        kinds = cut(kinds)
+        same = rows.where("copies = 1").join(kinds.where("copies > 1").select("grp", "kind"), ["grp", "kind"], "left_semi")
+        # an end that the text cuts short is cut short in all of them
+        same = same.select(
+            "doc_id",
+            "th",
+            (F.col("place") - F.col("least") - F.length("before")).alias("start"),
+            (F.col("place") + length - F.col("least") - F.col("room") + F.length("behind")).alias("end"),
+        )
+        total = kinds.groupBy("grp").agg(F.count("*").alias("kinds")).where("kinds > 1")
+        rest = cut(kinds.join(total, "grp").select("grp", "kind", "copies", "one.*", "kinds"))
+        names = [f.split()[0] for f in SIDES.split(", ")]
+        few = rest.where(F.col("kinds") <= split_over).select(names)
+        regions = same if regions is None else regions.unionByName(same)
+        groups = few if groups is None else groups.unionByName(few)
+        sides = rest.where(F.col("kinds") > split_over).select(names)
+        if sides.isEmpty():
+            return regions, groups
+
+
 def _common(a: bytes, b: bytes) -> int:
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
@@ -189,19 +262,20 @@ class Blocks:
     def __init__(self, length: int) -> None:
         self.length = length
         self.ids: dict = {}
-        self.strings: list[tuple[int, int, list[int], list[int], int, object]] = []
+        self.strings: list[tuple[int, int, list[int], list[int], int, object, int]] = []
         self.symbols = 0
         self.groups = 0
 
-    def add(self, rows: list[tuple]) -> None:
-        """(copies, owner, place, before, behind) of each instance of one anchor."""
+    def add(self, rows: list[tuple], length: int | None = None) -> None:
+        """(copies, owner, place, before, behind) of each instance of one anchor, and the length of its repeats."""
         g, ids = self.groups, self.ids
+        length = self.length if length is None else length
         self.groups += 1
         # whoever shares too little on both sides together has no repeat here, nor is part of another's
         while True:
             back = [r[3][::-1] for r in rows]
             (left, left_edges), (right, right_edges) = _reach(back), _reach([r[4] for r in rows])
-            some = [a + b >= self.length for a, b in zip(left, right, strict=True)]
+            some = [a + b >= length for a, b in zip(left, right, strict=True)]
             if all(some):
                 break
             rows = [r for r, x in zip(rows, some, strict=True) if x]
@@ -222,7 +296,7 @@ class Blocks:
                     part.reverse()
                     depth = len(part)
                 string += part
-            self.strings.append((copies, place, edges[0], edges[1], depth, (owner, string)))
+            self.strings.append((copies, place, edges[0], edges[1], depth, (owner, string), length))
             self.symbols += len(string) + 1
 
     def regions(self) -> Iterator[tuple]:
@@ -236,41 +310,42 @@ class Blocks:
             text.append(n - i)  # ends differ from each other and come before all blocks
         order, rank = suffixes.suffix_array(text)
         shared = suffixes.common_prefixes(text, order, rank)
-        for s, (copies, place, left, right, depth, (owner, _)) in zip(starts, self.strings, strict=True):
+        for s, (copies, place, left, right, depth, (owner, _), length) in zip(starts, self.strings, strict=True):
             if copies > 1:
                 continue
             for t in range(depth + 1):
                 # the suffix that begins t blocks before the anchor
                 k = rank[s + depth - t]
                 same = max(shared[k], shared[k + 1] if k + 1 < len(shared) else 0)
-                if same < t or left[t] + right[-1] < self.length:
+                if same < t or left[t] + right[-1] < length:
                     continue
                 reach = right[same - t]
-                if left[t] + reach >= self.length:
+                if left[t] + reach >= length:
                     yield owner, place - left[t], place + reach
 
 
 def _partial(sides: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, held, now = Blocks(length), [], None
+        blocks, held, now, room = Blocks(length), [], None, 0
 
         def flush() -> pa.RecordBatch:
             got = list(blocks.regions())
-            cols = [[x[0][0] for x in got], [x[0][1] for x in got], [x[1] for x in got], [x[2] for x in got]]
+            # what all members of a group agree on lies between
+            cols = [[x[0][0] for x in got], [x[0][1] for x in got], [x[1] - x[0][2] for x in got], [x[2] + length - x[0][2] - x[0][3] for x in got]]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "th", "start", "end"])
 
         for batch in batches:
-            for g, copies, name, th, place, before, behind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for g, _, copies, name, th, place, least, room_, before, behind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if g != now:
                     if len(held) > 1:
-                        blocks.add(held)
+                        blocks.add(held, room)
                         if blocks.symbols >= SYMBOLS:
                             yield flush()
                             blocks = Blocks(length)
-                    held, now = [], g
-                held.append((copies, (name, th), place, before, behind))
+                    held, now, room = [], g, room_
+                held.append((copies, (name, th, least, room_), place, before, behind))
         if len(held) > 1:
-            blocks.add(held)
+            blocks.add(held, room)
         if blocks.symbols:
             yield flush()
 
@@ -289,13 +364,21 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, split_over:
     kinds = cut(kinds.join(total, "anchor"))
     whole = found.join(kinds.where("copies > 1").select("anchor", "around"), ["anchor", "around"], "left_semi")
     whole = whole.select("doc_id", "th", (F.col("place") - (length - k)).alias("start"), (F.col("place") + length).alias("end"))
-    asked = kinds.where("kinds > 1").select("anchor", "copies", "kinds", "one.*")
-    asked = asked.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(
-        F.collect_list(F.struct("anchor", "copies", "kinds", "place")).alias("asked")
-    )
-    texts = docs.join(asked, docs.doc_id.eqNullSafe(asked["_d"]) & (docs.th == asked["_t"]))
-    texts = texts.select("doc_id", "th", "text", "asked").dropDuplicates(["doc_id", "th"])
-    part = _partial(_sides(texts, length, k, split_over), length)
+
+    def sides(some: DataFrame) -> DataFrame:
+        asked = some.select("anchor", "copies", "one.*").groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(
+            F.collect_list(F.struct("anchor", "copies", "place")).alias("asked")
+        )
+        texts = docs.join(asked, docs.doc_id.eqNullSafe(asked["_d"]) & (docs.th == asked["_t"]))
+        texts = texts.select("doc_id", "th", "text", "asked").dropDuplicates(["doc_id", "th"])
+        return _sides(texts, length, k)
+
+    groups = sides(kinds.where((F.col("kinds") > 1) & (F.col("kinds") <= split_over)))
+    large = kinds.where(F.col("kinds") > split_over)
+    if not large.isEmpty():
+        settled, bounded = _bounded(sides(large), length, split_over)
+        whole, groups = whole.unionByName(settled), groups.unionByName(bounded)
+    part = _partial(groups, length)
     return whole.unionByName(part).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("regions"))
 
 

@@ -106,6 +106,28 @@ def test_substrings(edge, edge_rows, empty, split, monkeypatch):
     assert substrings.digest(empty).count() == 0
 
 
+@pytest.mark.parametrize("words", [60, 90, 150])
+def test_substrings_of_a_hot_passage(spark, words, monkeypatch):
+    """A passage that many documents share in different contexts: no group has more rows than the limit."""
+    monkeypatch.setattr(substrings, "SPLIT_OVER", 8)
+    rnd = random.Random(words)
+    prose = lambda n: " ".join(f"{rnd.randrange(10**6):06d}" for _ in range(n))
+    passage, other, groups = prose(words), prose(62), []
+    texts = [prose(rnd.choice([0, 20, 60, 90])) + " " + passage + rnd.choice(["", " ", " 12", " 12345 "]) + prose(rnd.choice([0, 5, 70])) for _ in range(40)]
+    texts += [texts[0], passage[30:], "é" + other + passage[:200], other + passage[:210] + "é", passage[-300:] + other[:150], "x" + passage[-300:] + other[:140]]
+    partial = substrings._partial
+
+    def watched(sides, *a):
+        groups.append(sides.groupBy("grp").count().agg(F.max("count")).first()[0] or 0)
+        return partial(sides, *a)
+
+    monkeypatch.setattr(substrings, "_partial", watched)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    got = sorted(tuple(r) for r in substrings.digest(df).collect())
+    assert got == [(i, *x) for i, x in enumerate(brute_repeats(texts, 400))]
+    assert max(groups) <= 8
+
+
 def test_blocks_of_one_anchor():
     """Surroundings of an anchor beside all pairs of them."""
     rnd = random.Random(2)
