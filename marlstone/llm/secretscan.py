@@ -3,7 +3,9 @@
 A candidate is a long unbroken string behind a sensitive word. Its marginal cost is the compressed size of its
 surroundings with the candidate less the size without it, both under a dictionary of the surroundings and of common
 identifiers: a name or path that the code around it explains costs little, a random key costs nearly its entropy.
-Candidates that cost ``min_ratio`` bytes for each of their characters, or more, are reported as kind ``novel``.
+Candidates that cost ``min_ratio`` bytes for each of their characters, or nearly what a random string of their length
+and alphabet costs there, are reported as kind ``novel``. Zstandard codes short strings at a byte a character, so short
+candidates and those without letters or digits must also be no likelier, letter by letter, than a random draw.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned one by one; spans are code points of
 the whole text, end exclusive; an empty table gives an empty result; other columns pass through ``scan``.
@@ -11,8 +13,12 @@ the whole text, end exclusive; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -33,7 +39,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # the same spans as runs of [0-9a-f]+ of tha
 #: Words that make what follows them sensitive, and identifiers that are no news.
 CONTEXT = re.compile(
     r"(?:auth|bearer|credential|private|pwd|passphrase|signature|session|cookie|access|key|pass(?:word|wd)?|secret|token|salt|licen[cs]e)[A-Za-z_]{0,12}"
-    r"""["']?[\x20\t]*(?:[:=]|=>|\x20is\x20)?[\x20\t]*["']?([A-Za-z0-9+/_=-]{16,})""",
+    r"""["']?[\x20\t]*(?:[:=]|=>|\x20is\x20)?[\x20\t]*["']?([A-Za-z0-9+/_=-]{12,})""",
     re.ASCII | re.IGNORECASE,
 )
 IDENTIFIERS = (
@@ -46,8 +52,15 @@ IDENTIFIERS = (
 
 REACH = 1024
 MIN_RATIO = 0.75
-#: A candidate has both: plain words run together are names.
+#: Share of a random string's cost that makes a candidate novel, whatever its alphabet.
+OF_RANDOM = 0.9
+#: Shorter candidates, and those that lack one of the two, may be plain words: these are also held against letter pairs.
+LONG = 16
 LETTER, DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
+_DIGITS, _LOW = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+ALPHABETS = (_DIGITS, _DIGITS + "abcdef", _DIGITS + "ABCDEF", _LOW, _LOW.upper(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567=", _LOW + _LOW.upper())
+ALPHABETS += (_LOW + _DIGITS, _LOW.upper() + _DIGITS, _LOW + _LOW.upper() + _DIGITS, _LOW + _LOW.upper() + _DIGITS + "+/_=-")
+_SETS = [frozenset(x) for x in ALPHABETS]
 
 
 def _size(data: bytes, dictionary: bytes) -> int:
@@ -55,14 +68,54 @@ def _size(data: bytes, dictionary: bytes) -> int:
     return len(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False).compress(data))
 
 
-def marginal_ratio(text: str, start: int, end: int, reach: int = REACH) -> float:
-    """Bytes that text[start:end] adds to its compressed surroundings, for each of its own bytes."""
+def _costs(text: str, start: int, end: int, reach: int, *strings: bytes) -> list[int]:
+    """Bytes that each string adds to the compressed surroundings of text[start:end], in its place."""
     left = text[max(0, start - reach) : start].encode()
     right = text[end : end + reach].encode()
-    own = text[start:end].encode()
     dictionary = IDENTIFIERS + left + right
     near = left[-64:]
-    return (_size(near + own, dictionary) - _size(near, dictionary)) / max(1, len(own))
+    return [_size(near + x, dictionary) - _size(near, dictionary) for x in strings]
+
+
+def marginal_ratio(text: str, start: int, end: int, reach: int = REACH) -> float:
+    """Bytes that text[start:end] adds to its compressed surroundings, for each of its own bytes."""
+    own = text[start:end].encode()
+    return _costs(text, start, end, reach, own)[0] / max(1, len(own))
+
+
+def _alphabet(own: str) -> str:
+    """The smallest of the alphabets that hold all of a string."""
+    return ALPHABETS[next((k for k, x in enumerate(_SETS) if x.issuperset(own)), -1)]
+
+
+@lru_cache(10_000)
+def _random(alphabet: str, n: int) -> bytes:
+    """A fixed random string."""
+    return "".join(alphabet[x % len(alphabet)] for x in memoryview(hashlib.shake_128(f"{alphabet}:{n}".encode()).digest(4 * n)).cast("I")).encode()
+
+
+def _unlikely(text: str, start: int, end: int, reach: int = REACH) -> bool:
+    """Letter pairs of the surroundings and identifiers explain text[start:end] no better than a draw from its alphabet."""
+    around = (IDENTIFIERS.decode() + " " + text[max(0, start - reach) : start] + " " + text[end : end + reach]).lower()
+    own = text[start:end]
+    pairs, one = Counter(zip(around, around[1:], strict=False)), Counter(around)
+    cost, before = 0.0, " "
+    for c in own.lower():
+        single = (one[c] + 0.5) / (len(around) + 48)
+        cost -= math.log2((pairs[before, c] + 4 * single) / (one[before] + 4))
+        before = c
+    return cost >= len(own) * math.log2(len(set(_alphabet(own).lower())))
+
+
+def novel(text: str, start: int, end: int, min_ratio: float = MIN_RATIO, reach: int = REACH) -> bool:
+    """text[start:end] is news to its surroundings."""
+    own = text[start:end]
+    if (len(own) < LONG or not (LETTER.search(own) and DIGIT.search(own))) and not _unlikely(text, start, end, reach):
+        return False
+    cost = marginal_ratio(text, start, end, reach) * len(own)
+    if cost >= min_ratio * len(own):
+        return True
+    return cost >= OF_RANDOM * _costs(text, start, end, reach, _random(_alphabet(own), len(own)))[0]
 
 
 def spans(text: str | None, min_ratio: float = MIN_RATIO) -> list[tuple[int, int, int]]:
@@ -85,7 +138,7 @@ def spans(text: str | None, min_ratio: float = MIN_RATIO) -> list[tuple[int, int
             i += 1
         if i < len(taken) and taken[i][0] < e:
             continue
-        if LETTER.search(m[1]) and DIGIT.search(m[1]) and marginal_ratio(text, s, e) >= min_ratio:
+        if novel(text, s, e, min_ratio):
             found.append((s, 3, e))
     return sorted(found)
 

@@ -46,6 +46,22 @@ def test_secrets(spark, edge, empty):
     assert secretscan.digest(empty).count() == 0 and secretscan.digest(edge).count() == edge.count()
 
 
+def test_secrets_of_any_alphabet_and_length():
+    rnd = random.Random(8)
+    low = "abcdefghijklmnopqrstuvwxyz"
+    prose = "The server reads its settings from a file when it starts, and logs what it has found there. "
+    kinds = ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", low, low + low.upper(), "0123456789", low + low.upper() + "0123456789"]
+    for alphabet in kinds:
+        for n in (12, 16, 20, 40, 64, 96, 128, 256):
+            found = 0
+            for _ in range(50):
+                t = prose + "private_key: " + "".join(rnd.choice(alphabet) for _ in range(n))
+                found += any(e == len(t) for _, _, e in secretscan.spans(t))
+            assert found >= 45, (alphabet, n, found)
+    for x in ("key is understanding", "session = authentication_settings", "license: internationalization", "key: file_settings_reader"):
+        assert not secretscan.spans(prose + x + " " + prose), x
+
+
 def test_segments_are_all_maximal():
     rnd = random.Random(3)
     for _ in range(300):
