@@ -2,8 +2,9 @@
 
 A text is cut where no piece of the vocabulary can reach across (a space begins a new run), and each run is merged by
 an agenda: candidate merges leave a heap by score, then by place. A candidate is skipped if a keyed hash of (seed,
-stream, its place, its piece) falls below ``dropout``; a run of a text draws one of ``streams`` hash streams by the
-text and its ordinal, so the same word is cut in varied ways while every run of the job gives the same ids. Without
+stream, its place, its piece) falls below ``dropout``; a run of a text has a hash stream of its own by the text and its
+ordinal, so every occurrence of a word is cut anew while every run of the job gives the same ids. What a word becomes
+depends on which of its possible candidates are skipped only: that set, as a bit mask, is the key of the cache. Without
 dropout the ids are those of the model's own encoder. Characters outside the vocabulary, and literal space markers, go
 to byte pieces, so decoding gives back every text exactly.
 
@@ -30,7 +31,8 @@ from marlstone.session import ship
 MODEL = "piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 20240501
-STREAMS = 4
+#: Hash streams of runs: as many as a text's checksum can tell apart and more.
+STREAMS = 1 << 48
 CACHE_RUNS = 600_000
 #: Longer runs are merged alone with a heap, so that no text costs the square of its length.
 SHORT_RUN = 48
@@ -74,9 +76,41 @@ class Pieces:
         self.id = {self.text[i]: i for i in plain}
         self.rank = {i: -sp.get_score(i) for i in plain}
         self.raw = [x.replace(SPACE, " ").encode() for x in self.text]
-        self.cache: dict[tuple[int, str], tuple[int, ...]] = {}
+        self.cache: dict[tuple[int, int], tuple[int, ...]] = {}
+        self.longest = max(map(len, self.id))
+        self.forget()
         self.merges: tuple[np.ndarray, ...] | None = None
 
+    def forget(self) -> None:
+        """Empties the cache of runs."""
+        self.cache.clear()
+        self.words: dict[str, int] = {}
+        self.spots: list[np.ndarray] = []
+
+    def _word(self, run: str) -> int:
+        """The number of a run, whose possible candidates (place << 32 | piece) are kept."""
+        n = self.words.get(run)
+        if n is None:
+            n = self.words[run] = len(self.spots)
+            x = run.replace(" ", SPACE)
+            found = (i << 32 | self.id[y] for i in range(len(x)) for j in range(i + 2, min(len(x), i + self.longest) + 1) if (y := x[i:j]) in self.id)
+            self.spots.append(np.fromiter(found, np.int64))
+        return n
+
+    def _skipped(self, word: list[int], stream: np.ndarray, dropout: float, seed: int) -> list[int]:
+        """The set of skipped candidates of each run, as a bit mask; -1 for runs with too many of them."""
+        spots = [self.spots[x] for x in word]
+        size = np.fromiter(map(len, spots), np.int64, len(spots))
+        spot = np.concatenate(spots)
+        first = np.cumsum(size) - size
+        low = _keyed_many(seed, np.repeat(stream, size), spot >> 32, spot & 0xFFFFFFFF) < np.uint64(min(int(dropout * 2.0**64), _M))
+        at = np.flatnonzero(low)
+        owner = np.searchsorted(first + size, at, side="right")
+        mask = np.zeros(len(word), np.int64)
+        np.bitwise_or.at(mask, owner, np.int64(1) << np.minimum(at - first[owner], 62))
+        mask[size > 62] = -1
+        return mask.tolist()
+
     def _merge(self, run: str, dropout: float, seed: int, stream: int) -> tuple[int, ...]:
         part: list[str | None] = [SPACE if c == " " else c for c in run]
         fixed = [c == SPACE for c in run]  # a literal marker never merges
@@ -137,8 +171,8 @@ class Pieces:
             self.merges = tuple(np.array(c, np.int64) for c in zip(*found, strict=True))
         return self.merges
 
-    def _merge_many(self, runs: list[tuple[int, str]], dropout: float, seed: int) -> None:
-        """Fills the cache for many short runs: every round takes each run's best candidate that is not skipped."""
+    def _merge_many(self, runs: list[tuple[int, str]], dropout: float, seed: int) -> list[tuple[int, ...]]:
+        """The ids of many short runs: every round takes each run's best candidate that is not skipped."""
         keys, made, order = self._table()
         n = len(self.text)
         limit = np.uint64(min(int(dropout * 2.0**64), _M))
@@ -176,39 +210,61 @@ class Pieces:
         owner, place, symbol = owner[sort], place[sort].tolist(), symbol[sort]
         ids, cuts = symbol.tolist(), np.searchsorted(owner, np.arange(len(runs) + 1)).tolist()
         odd = np.unique(owner[symbol < 0])
-        for k, key in enumerate(runs):
-            self.cache[key] = tuple(ids[cuts[k] : cuts[k + 1]])
+        made_of = [tuple(ids[cuts[k] : cuts[k + 1]]) for k in range(len(runs))]
         for k in odd.tolist():
             run, out = runs[k][1], []
             for i in range(cuts[k], cuts[k + 1]):
                 out += [ids[i]] if ids[i] >= 0 else [self.of_byte[b] for b in run[place[i]].encode()]
-            self.cache[runs[k]] = tuple(out)
+            made_of[k] = tuple(out)
+        return made_of
 
     def encode_many(self, texts: list[str], dropout: float = DROPOUT, seed: int = SEED, streams: int = STREAMS) -> list[list[int]]:
         """The ids of each text; runs that the cache lacks are merged together."""
-        if len(self.cache) >= CACHE_RUNS:
-            self.cache.clear()
-        asked: list[list[tuple[int, str]]] = []
-        for text in texts:
-            runs = _RUN.findall(" " + text) if text else []
-            if dropout and runs:
+        if len(self.cache) >= CACHE_RUNS or len(self.words) >= CACHE_RUNS:
+            self.forget()
+        asked = [_RUN.findall(" " + text) if text else [] for text in texts]
+        flat = list(chain.from_iterable(asked))
+        if not flat:
+            return [[] for _ in texts]
+        stream = np.zeros(len(flat), np.uint64)
+        if dropout:
+            drawn = []
+            for text, runs in zip(texts, asked, strict=True):
                 draw = np.uint64(zlib.crc32(text.encode()) ^ seed & 0xFFFFFFFF)
-                drawn = ((np.arange(len(runs), dtype=np.uint64) + draw) * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(streams)
-                asked.append(list(zip(drawn.tolist(), runs, strict=True)))
-            else:
-                asked.append([(0, x) for x in runs])
-        new = {x for y in asked for x in y if x not in self.cache}
-        short = [x for x in new if len(x[1]) <= SHORT_RUN]
-        for i in range(0, len(short), 20_000):
-            self._merge_many(short[i : i + 20_000], dropout, seed)
-        for x in new:
-            if len(x[1]) > SHORT_RUN:
-                self.cache[x] = self._merge(x[1], dropout, seed, x[0])
-        get = self.cache.__getitem__
-        out = [list(chain.from_iterable(map(get, x))) for x in asked]
-        for x in new:
-            if len(x[1]) > SHORT_RUN:
-                del self.cache[x]
+                drawn.append(((np.arange(len(runs), dtype=np.uint64) + draw) * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(streams))
+            stream = np.concatenate(drawn)
+        get, number = self.words.get, self._word
+        word = [-1 if len(x) > SHORT_RUN else number(x) if (n := get(x)) is None else n for x in flat]
+        short = [k for k, n in enumerate(word) if n >= 0]
+        keys: list[tuple[int, int] | None] = [None] * len(flat)
+        if short:
+            numbers = [word[k] for k in short]
+            masks = self._skipped(numbers, stream[short], dropout, seed) if dropout else [0] * len(short)
+            for k, key in zip(short, zip(numbers, masks, strict=True), strict=True):
+                keys[k] = key
+        got = list(map(self.cache.get, keys))
+        # of the runs that the cache lacks, one for each key; runs without a mask one by one
+        new: dict = {}
+        for k, x in enumerate(got):
+            if x is None:
+                key = keys[k]
+                new.setdefault(key if key is not None and key[1] >= 0 else k, []).append(k)
+        fresh = [v[0] for v in new.values() if word[v[0]] >= 0]
+        for i in range(0, len(fresh), 20_000):
+            part = fresh[i : i + 20_000]
+            for k, ids in zip(part, self._merge_many([(int(stream[k]), flat[k]) for k in part], dropout, seed), strict=True):
+                got[k] = ids
+        for key, ks in new.items():
+            if word[ks[0]] < 0:
+                got[ks[0]] = self._merge(flat[ks[0]], dropout, seed, int(stream[ks[0]]))
+            elif isinstance(key, tuple):
+                self.cache[key] = got[ks[0]]
+                for k in ks[1:]:
+                    got[k] = got[ks[0]]
+        out, at = [], 0
+        for runs in asked:
+            out.append(list(chain.from_iterable(got[at : at + len(runs)])))
+            at += len(runs)
         return out
 
     def encode(self, text: str, dropout: float = DROPOUT, seed: int = SEED, streams: int = STREAMS) -> list[int]:

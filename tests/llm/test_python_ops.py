@@ -204,6 +204,18 @@ def test_pieces_follow_the_agenda():
     assert len(varied) > 1
 
 
+def test_pieces_vary_at_every_occurrence():
+    """The same word in many texts is cut in many ways, at the rate of the dropout, and as the agenda cuts it."""
+    p = pieces.Pieces(pieces_path())
+    whole = tuple(p.encode("segmentation", 0.0))
+    texts = [f"segmentation {i}" for i in range(2000)]
+    coded = p.encode_many(texts)
+    cuts = [tuple(p._merge(" segmentation", pieces.DROPOUT, pieces.SEED, (zlib.crc32(t.encode()) ^ pieces.SEED) * 2654435761 % 2**64 // 128 % pieces.STREAMS)) for t in texts]
+    assert all(tuple(x[: len(c)]) == c for x, c in zip(coded, cuts, strict=True))
+    assert len(set(cuts)) > 10 and 0.2 < sum(c != whole for c in cuts) / len(cuts) < 0.9
+    assert coded == [p.encode(t) for t in texts]
+
+
 def pieces_path():
     import public_tokenizers
 
