@@ -3,10 +3,14 @@
 A text is cut where no piece of the vocabulary can reach across (a space begins a new run), and each run is merged by
 an agenda: candidate merges leave a heap by score, then by place. A candidate is skipped if a keyed hash of (seed,
 stream, its place, its piece) falls below ``dropout``; a run of a text has a hash stream of its own by the text and its
-ordinal, so every occurrence of a word is cut anew while every run of the job gives the same ids. What a word becomes
-depends on which of its possible candidates are skipped only: that set, as a bit mask, is the key of the cache. Without
-dropout the ids are those of the model's own encoder. Characters outside the vocabulary, and literal space markers, go
-to byte pieces, so decoding gives back every text exactly.
+ordinal, so every occurrence of a word is cut anew while every run of the job gives the same ids. Without dropout the
+ids are those of the model's own encoder. Characters outside the vocabulary, and literal space markers, go to byte
+pieces, so decoding gives back every text exactly.
+
+What a run becomes depends only on which of the candidates that its agenda pops are skipped. Each word keeps these
+outcomes as a tree: a node is the next candidate, its two branches are taken and skipped, a leaf holds the ids. A batch
+of runs walks down its trees together by their own hashes; where a branch is new, the runs are merged together and the
+rest of their way is added. The trees are bounded by bytes (``TREE_BYTES``) and begin anew beyond that.
 
 Defined results: a null text gets null ids, an empty text none; null ids decode to null; repeated rows get equal ids;
 other columns pass through; an empty table gives an empty result.
@@ -18,7 +22,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.llm import textkit
 from marlstone.session import ship
 
 MODEL = "piece_bpe_32k.model"
@@ -33,12 +37,15 @@ DROPOUT = 0.1
 SEED = 20240501
 #: Hash streams of runs: as many as a text's checksum can tell apart and more.
 STREAMS = 1 << 48
-CACHE_RUNS = 600_000
+TREE_BYTES = 240_000_000
+#: Texts are cut into runs in parts of about so many characters.
+PART = 1_000_000
 #: Longer runs are merged alone with a heap, so that no text costs the square of its length.
 SHORT_RUN = 48
 
 SPACE = "▁"
 _RUN = re.compile(r" *[^ ]+| +")
+_CUT = re.compile(r"(?<=[^ ])(?= )")
 _M = (1 << 64) - 1
 
 
@@ -60,8 +67,33 @@ def _keyed_many(seed: int, stream: np.ndarray, place: np.ndarray, piece: np.ndar
         return x ^ x >> u(31)
 
 
+class Grown:
+    """A numpy array that grows at its end."""
+
+    def __init__(self, kind) -> None:
+        self.room = np.empty(1 << 12, kind)
+        self.size = 0
+
+    def add(self, x: np.ndarray) -> int:
+        """Appends ``x``; returns where it begins."""
+        at = self.size
+        if at + len(x) > len(self.room):
+            room = np.empty(max(2 * len(self.room), at + len(x)), self.room.dtype)
+            room[:at] = self.room[:at]
+            self.room = room
+        self.room[at : at + len(x)] = x
+        self.size = at + len(x)
+        return at
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one range after the other."""
+    first = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(start - first, size)
+
+
 class Pieces:
-    """The vocabulary of a BPE model file, with encoding and decoding of single texts."""
+    """The vocabulary of a BPE model file, with encoding and decoding."""
 
     def __init__(self, path: str) -> None:
         from sentencepiece import SentencePieceProcessor
@@ -75,41 +107,31 @@ class Pieces:
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.id = {self.text[i]: i for i in plain}
         self.rank = {i: -sp.get_score(i) for i in plain}
-        self.raw = [x.replace(SPACE, " ").encode() for x in self.text]
-        self.cache: dict[tuple[int, int], tuple[int, ...]] = {}
-        self.longest = max(map(len, self.id))
-        self.forget()
+        self.raw = [bytes((self.byte[i],)) if i in self.byte else x.replace(SPACE, " ").encode() for i, x in enumerate(self.text)]
+        self.raw_size = np.array([len(x) for x in self.raw])
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
+        # of each character; unknown ones, and the literal marker, are negative
+        self.first = -1 - np.arange(0x110000, dtype=np.int32)
+        for x, i in self.id.items():
+            if len(x) == 1 and x != SPACE:
+                self.first[ord(x)] = i
+        self.first[ord(" ")] = self.id.get(SPACE, -1 - ord(" "))
         self.merges: tuple[np.ndarray, ...] | None = None
+        self.forget()
 
     def forget(self) -> None:
-        """Empties the cache of runs."""
-        self.cache.clear()
-        self.words: dict[str, int] = {}
-        self.spots: list[np.ndarray] = []
-
-    def _word(self, run: str) -> int:
-        """The number of a run, whose possible candidates (place << 32 | piece) are kept."""
-        n = self.words.get(run)
-        if n is None:
-            n = self.words[run] = len(self.spots)
-            x = run.replace(" ", SPACE)
-            found = (i << 32 | self.id[y] for i in range(len(x)) for j in range(i + 2, min(len(x), i + self.longest) + 1) if (y := x[i:j]) in self.id)
-            self.spots.append(np.fromiter(found, np.int64))
-        return n
-
-    def _skipped(self, word: list[int], stream: np.ndarray, dropout: float, seed: int) -> list[int]:
-        """The set of skipped candidates of each run, as a bit mask; -1 for runs with too many of them."""
-        spots = [self.spots[x] for x in word]
-        size = np.fromiter(map(len, spots), np.int64, len(spots))
-        spot = np.concatenate(spots)
-        first = np.cumsum(size) - size
-        low = _keyed_many(seed, np.repeat(stream, size), spot >> 32, spot & 0xFFFFFFFF) < np.uint64(min(int(dropout * 2.0**64), _M))
-        at = np.flatnonzero(low)
-        owner = np.searchsorted(first + size, at, side="right")
-        mask = np.zeros(len(word), np.int64)
-        np.bitwise_or.at(mask, owner, np.int64(1) << np.minimum(at - first[owner], 62))
-        mask[size > 62] = -1
-        return mask.tolist()
+        """Empties the trees."""
+        self.words: dict[str, int] = {}  # the slot of each word
+        self.slots = Grown(np.int64)  # a node, or -2 - a leaf, or -1 if that way is new
+        self.spots = Grown(np.int64)  # of each node, its candidate: place << 32 | piece
+        self.ways = Grown(np.int64)  # of each node, the first of its two slots: taken and skipped
+        self.ids = Grown(np.int32)
+        self.leaves = Grown(np.int64)  # where each leaf's ids begin
+        self.sizes = Grown(np.int64)
+
+    def _held(self) -> int:
+        return 130 * len(self.words) + sum(x.size * x.room.itemsize for x in (self.slots, self.spots, self.ways, self.ids, self.leaves, self.sizes))
 
     def _merge(self, run: str, dropout: float, seed: int, stream: int) -> tuple[int, ...]:
         part: list[str | None] = [SPACE if c == " " else c for c in run]
@@ -171,109 +193,214 @@ class Pieces:
             self.merges = tuple(np.array(c, np.int64) for c in zip(*found, strict=True))
         return self.merges
 
-    def _merge_many(self, runs: list[tuple[int, str]], dropout: float, seed: int) -> list[tuple[int, ...]]:
-        """The ids of many short runs: every round takes each run's best candidate that is not skipped."""
+    def _merge_many(self, runs: list[str], stream: np.ndarray, dropout: float, seed: int):
+        """The ids of many short runs, and the candidates that their agendas pop.
+
+        Every round takes each run's best candidate, to merge it or to skip it. Returns ids and their number for each
+        run, then candidates, whether each is skipped, and their number for each run.
+        """
         keys, made, order = self._table()
-        n = len(self.text)
+        n, worst = len(self.text), np.iinfo(np.int64).max
         limit = np.uint64(min(int(dropout * 2.0**64), _M))
-        first = [[self.id.get(SPACE if c == " " else c, -1) if c != SPACE else -1 for c in run] for _, run in runs]
-        size = np.array([len(x) for x in first], np.int64)
-        symbol = np.array([x for y in first for x in y], np.int64)
+        size = np.fromiter(map(len, runs), np.int64, len(runs))
+        symbol = self.first[np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
         owner = np.repeat(np.arange(len(runs)), size)
         place = np.arange(len(symbol)) - np.repeat(np.cumsum(size) - size, size)
-        stream = np.array([x for x, _ in runs], np.uint64)
-        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        worst = np.iinfo(np.int64).max
-        while len(symbol):
-            pair = np.r_[symbol[:-1] * n + symbol[1:], -1]
-            pair[np.r_[(owner[1:] != owner[:-1]) | (symbol[1:] < 0) | (symbol[:-1] < 0), True]] = -1
+        value, piece = np.full(len(symbol), worst), np.zeros(len(symbol), np.int64)
+
+        def look(i: np.ndarray) -> None:
+            """The candidate of each of these symbols with the one behind it."""
+            value[i] = worst
+            i = i[i + 1 < len(symbol)]
+            i = i[(owner[i] == owner[i + 1]) & (symbol[i] >= 0) & (symbol[i + 1] >= 0)]
+            pair = symbol[i] * n + symbol[i + 1]
             at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-            hit = np.flatnonzero(keys[at] == pair)
-            piece = made[at[hit]]
-            if dropout:
-                keep = _keyed_many(seed, stream[owner[hit]], place[hit], piece) >= limit
-                hit, piece = hit[keep], piece[keep]
-            value = np.full(len(symbol), worst)
-            value[hit] = (order[at[hit]] << 24) | place[hit]
+            hit = keys[at] == pair
+            i, at = i[hit], at[hit]
+            piece[i] = made[at]
+            value[i] = (order[at] << 24) | place[i]
+
+        look(np.arange(len(symbol)))
+        done: list[tuple[np.ndarray, ...]] = []
+        met: list[tuple[np.ndarray, ...]] = []
+        while len(symbol):
             start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             best = np.minimum.reduceat(value, start)
             length = np.diff(np.r_[start, len(owner)])
-            chosen = hit[value[hit] == np.repeat(best, length)[hit]]
-            symbol[chosen] = made[at[chosen]]
-            open_ = np.repeat(best < worst, length)
-            if not open_.all():
-                done.append((owner[~open_], place[~open_], symbol[~open_]))
-            open_[chosen + 1] = False
-            symbol, owner, place = symbol[open_], owner[open_], place[open_]
+            over = best == worst
+            if over.any():
+                out = np.repeat(over, length)
+                done.append((owner[out], place[out], symbol[out]))
+                symbol, owner, place, value, piece = (x[~out] for x in (symbol, owner, place, value, piece))
+                best, length = best[~over], length[~over]
+                if not len(symbol):
+                    break
+            at = np.flatnonzero(value == np.repeat(best, length))
+            if dropout:
+                skip = _keyed_many(seed, stream[owner[at]], place[at], piece[at]) < limit
+            else:
+                skip = np.zeros(len(at), bool)
+            met.append((owner[at], place[at] << 32 | piece[at], skip))
+            value[at[skip]] = worst
+            at = at[~skip]
+            if len(at):
+                symbol[at] = piece[at]
+                stay = np.ones(len(symbol), bool)
+                stay[at + 1] = False
+                at -= np.arange(len(at))  # one symbol has gone for each merge before
+                symbol, owner, place, value, piece = (x[stay] for x in (symbol, owner, place, value, piece))
+                before = at[at > 0] - 1
+                look(np.concatenate([at, before[owner[before] == owner[before + 1]]]))
         owner, place, symbol = (np.concatenate(x) for x in zip(*done, strict=True))
         sort = np.lexsort((place, owner))
-        owner, place, symbol = owner[sort], place[sort].tolist(), symbol[sort]
-        ids, cuts = symbol.tolist(), np.searchsorted(owner, np.arange(len(runs) + 1)).tolist()
-        odd = np.unique(owner[symbol < 0])
-        made_of = [tuple(ids[cuts[k] : cuts[k + 1]]) for k in range(len(runs))]
-        for k in odd.tolist():
-            run, out = runs[k][1], []
-            for i in range(cuts[k], cuts[k + 1]):
-                out += [ids[i]] if ids[i] >= 0 else [self.of_byte[b] for b in run[place[i]].encode()]
-            made_of[k] = tuple(out)
-        return made_of
+        owner, symbol = owner[sort], symbol[sort]
+        if (symbol < 0).any():
+            odd = [[self.of_byte[b] for b in chr(-1 - x).encode("utf-8", "surrogatepass")] for x in symbol[symbol < 0].tolist()]
+            count = np.ones(len(symbol), np.int64)
+            count[symbol < 0] = [len(x) for x in odd]
+            owner, symbol = np.repeat(owner, count), np.repeat(symbol, count)
+            symbol[symbol < 0] = [y for x in odd for y in x]
+        if met:
+            who, spot, skip = (np.concatenate(x) for x in zip(*met, strict=True))
+            sort = np.argsort(who, kind="stable")
+            who, spot, skip = who[sort], spot[sort], skip[sort]
+        else:
+            who, spot, skip = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return symbol.astype(np.int32), np.bincount(owner, minlength=len(runs)), spot, skip, np.bincount(who, minlength=len(runs))
+
+    def _grow(self, slot: np.ndarray, depth: np.ndarray, merged) -> np.ndarray:
+        """Adds the ways of merged runs, each new from its slot at its depth on; returns their leaves."""
+        ids, size, spot, skip, popped = merged
+        leaf = self.leaves.add(self.ids.add(ids) + np.cumsum(size) - size) + np.arange(len(slot))
+        self.sizes.add(size)
+        more = popped - depth
+        take = _ranges(np.cumsum(popped) - popped + depth, more)
+        way = self.slots.size + 2 * np.arange(len(take))
+        self.slots.add(np.full(2 * len(take), -1, np.int64))
+        node = self.spots.add(spot[take]) + np.arange(len(take))
+        self.ways.add(way)
+        table, first = self.slots.room, np.cumsum(more) - more
+        some = more > 0
+        table[slot] = -2 - leaf
+        table[slot[some]] = node[first[some]]
+        behind = way + skip[take]
+        last = (first + more - 1)[some]
+        inner = np.ones(len(take), bool)
+        inner[last] = False
+        table[behind[inner]] = node[inner] + 1
+        table[behind[last]] = -2 - leaf[some]
+        return leaf
+
+    def _leaves(self, runs: list[str], stream: np.ndarray, dropout: float, seed: int) -> np.ndarray:
+        """The leaf of each run; runs over ``SHORT_RUN`` get one of their own."""
+        limit = np.uint64(min(int(dropout * 2.0**64), _M))
+        get, words = self.words.get, self.words
+        slot = list(map(get, runs))
+        new: dict[str, int] = {}
+        long = []
+        if None in slot:
+            free = self.slots.size
+            for k, s in enumerate(slot):
+                if s is None:
+                    x = runs[k]
+                    if len(x) > SHORT_RUN:
+                        slot[k] = -1
+                        long.append(k)
+                    else:
+                        slot[k] = new.setdefault(x, free + len(new))
+            words.update(new)
+            self.slots.add(np.full(len(new), -1, np.int64))
+        at = np.array(slot, np.int64)
+        leaf, depth = np.full(len(runs), -1, np.int64), np.zeros(len(runs), np.int64)
+        left = np.flatnonzero(at >= 0)
+        for turn in range(1 << 30):
+            live = left
+            while len(live):
+                to = self.slots.room[at[live]]
+                leaf[live] = -2 - to  # -1 where the way is new
+                live, to = live[to >= 0], to[to >= 0]
+                spot = self.spots.room[to]
+                skip = _keyed_many(seed, stream[live], spot >> 32, spot & 0xFFFFFFFF) < limit if dropout else 0
+                at[live] = self.ways.room[to] + skip
+                depth[live] += 1
+            left = left[leaf[left] < 0]
+            if not len(left):
+                break
+            # one run for each new way, since others often go the same way on; later all that are left
+            one = left[np.unique(at[left], return_index=True)[1]]
+            for k in range(0, len(one), 20_000):
+                part = one[k : k + 20_000]
+                leaf[part] = self._grow(at[part], depth[part], self._merge_many([runs[i] for i in part.tolist()], stream[part], dropout, seed))
+            left = left[leaf[left] < 0]
+        for k in long:
+            ids = np.array(self._merge(runs[k], dropout, seed, int(stream[k])), np.int32)
+            leaf[k] = self.leaves.add(np.array([self.ids.add(ids)], np.int64))
+            self.sizes.add(np.array([len(ids)]))
+        return leaf
+
+    def encode_flat(self, texts: list[str], dropout: float = DROPOUT, seed: int = SEED, streams: int = STREAMS) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and the number of ids of each text."""
+        out: list[np.ndarray] = []
+        size = np.zeros(len(texts), np.int64)
+        runs: list[str] = []
+        owner: list[tuple[int, int]] = []
+        drawn: list[np.ndarray] = []
+        total = 0
+
+        def work() -> None:
+            nonlocal runs, owner, drawn, total
+            if not runs:
+                return
+            if self._held() > TREE_BYTES:
+                self.forget()
+            leaf = self._leaves(runs, np.concatenate(drawn), dropout, seed)
+            count = self.sizes.room[leaf]
+            out.append(self.ids.room[_ranges(self.leaves.room[leaf], count)])
+            edges = np.cumsum([n for _, n in owner])
+            each = np.diff(np.r_[0, np.cumsum(count)[edges - 1]])
+            np.add.at(size, [k for k, _ in owner], each)
+            runs, owner, drawn, total = [], [], [], 0
+
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            draw = np.uint64(zlib.crc32(text.encode()) ^ seed & 0xFFFFFFFF)
+            text, i, ordinal = " " + text, 0, 0
+            while i < len(text):
+                m = _CUT.search(text, i + PART)
+                j = m.start() if m else len(text)
+                found = _RUN.findall(text, i, j)
+                runs += found
+                owner.append((k, len(found)))
+                place = np.arange(ordinal, ordinal + len(found), dtype=np.uint64)
+                drawn.append(((place + draw) * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(streams))
+                ordinal += len(found)
+                total += j - i
+                i = j
+                if total >= PART:
+                    work()
+        work()
+        return np.concatenate(out) if out else np.zeros(0, np.int32), size
 
     def encode_many(self, texts: list[str], dropout: float = DROPOUT, seed: int = SEED, streams: int = STREAMS) -> list[list[int]]:
-        """The ids of each text; runs that the cache lacks are merged together."""
-        if len(self.cache) >= CACHE_RUNS or len(self.words) >= CACHE_RUNS:
-            self.forget()
-        asked = [_RUN.findall(" " + text) if text else [] for text in texts]
-        flat = list(chain.from_iterable(asked))
-        if not flat:
-            return [[] for _ in texts]
-        stream = np.zeros(len(flat), np.uint64)
-        if dropout:
-            drawn = []
-            for text, runs in zip(texts, asked, strict=True):
-                draw = np.uint64(zlib.crc32(text.encode()) ^ seed & 0xFFFFFFFF)
-                drawn.append(((np.arange(len(runs), dtype=np.uint64) + draw) * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(streams))
-            stream = np.concatenate(drawn)
-        get, number = self.words.get, self._word
-        word = [-1 if len(x) > SHORT_RUN else number(x) if (n := get(x)) is None else n for x in flat]
-        short = [k for k, n in enumerate(word) if n >= 0]
-        keys: list[tuple[int, int] | None] = [None] * len(flat)
-        if short:
-            numbers = [word[k] for k in short]
-            masks = self._skipped(numbers, stream[short], dropout, seed) if dropout else [0] * len(short)
-            for k, key in zip(short, zip(numbers, masks, strict=True), strict=True):
-                keys[k] = key
-        got = list(map(self.cache.get, keys))
-        # of the runs that the cache lacks, one for each key; runs without a mask one by one
-        new: dict = {}
-        for k, x in enumerate(got):
-            if x is None:
-                key = keys[k]
-                new.setdefault(key if key is not None and key[1] >= 0 else k, []).append(k)
-        fresh = [v[0] for v in new.values() if word[v[0]] >= 0]
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            for k, ids in zip(part, self._merge_many([(int(stream[k]), flat[k]) for k in part], dropout, seed), strict=True):
-                got[k] = ids
-        for key, ks in new.items():
-            if word[ks[0]] < 0:
-                got[ks[0]] = self._merge(flat[ks[0]], dropout, seed, int(stream[ks[0]]))
-            elif isinstance(key, tuple):
-                self.cache[key] = got[ks[0]]
-                for k in ks[1:]:
-                    got[k] = got[ks[0]]
-        out, at = [], 0
-        for runs in asked:
-            out.append(list(chain.from_iterable(got[at : at + len(runs)])))
-            at += len(runs)
-        return out
+        """The ids of each text."""
+        ids, size = self.encode_flat(texts, dropout, seed, streams)
+        return [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] if texts else []
 
     def encode(self, text: str, dropout: float = DROPOUT, seed: int = SEED, streams: int = STREAMS) -> list[int]:
         return self.encode_many([text], dropout, seed, streams)[0]
 
+    def decode_flat(self, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The UTF-8 bytes of all texts in one array, and the number of bytes of each, from ids and their numbers."""
+        n = self.raw_size[ids]
+        data = self.raw_bytes[_ranges(self.raw_start[ids], n)]
+        ends = np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(size)]]
+        length = np.diff(ends)
+        # the space that every text begins with goes
+        return np.delete(data, ends[:-1][length > 0]), np.maximum(length - 1, 0)
+
     def decode(self, ids) -> str:
-        if not len(ids):
-            return ""
-        return b"".join(bytes((self.byte[i],)) if i in self.byte else self.raw[i] for i in ids)[1:].decode()
+        return b"".join(self.raw[i] for i in ids)[1:].decode()
 
 
 _loaded: dict = {}
@@ -293,7 +420,7 @@ def pieces(model: str = MODEL, dropout: float = 0.0, seed: int = 0) -> Pieces:
     return _loaded[key]
 
 
-def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, streams: int = STREAMS, batch_rows: int = 256) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, streams: int = STREAMS, batch_bytes: int = 2_000_000) -> DataFrame:
     """``docs`` with ``ids``, as they are read, without a shuffle."""
     ship(docs.sparkSession)
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != "ids"))
@@ -302,12 +429,12 @@ def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model, dropout, seed)
         for whole in batches:
-            for i in range(0, whole.num_rows, batch_rows):
-                b = whole.slice(i, batch_rows)
+            for i, j in textkit.slices(whole, "text", batch_bytes):
+                b = whole.slice(i, j - i)
                 texts = b.column("text").to_pylist()
-                coded = p.encode_many([t or "" for t in texts], dropout, seed, streams)
-                ids = [None if t is None else np.asarray(x, np.int32) for t, x in zip(texts, coded, strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*b.schema.names, "ids"])
+                ids, size = p.encode_flat(texts, dropout, seed, streams)
+                at = pa.array(np.r_[0, np.cumsum(size)].astype(np.int32), mask=np.array([*(t is None for t in texts), False]))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(at, pa.array(ids))], names=[*b.schema.names, "ids"])
 
     return docs.mapInArrow(run, schema)
 
@@ -323,8 +450,14 @@ def decode(coded: DataFrame, model: str = MODEL, batch_rows: int = 256) -> DataF
         for whole in batches:
             for i in range(0, whole.num_rows, batch_rows):
                 b = whole.slice(i, batch_rows)
-                out = [None if x is None else p.decode(x) for x in b.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "decoded"])
+                ids = b.column("ids").cast(pa.large_list(pa.int64()))
+                none = np.asarray(ids.is_null())
+                data, size = p.decode_flat(np.asarray(ids.flatten()), np.asarray(ids.value_lengths().fill_null(0)))
+                at = np.r_[0, np.cumsum(size)].astype(np.int64)
+                mask = pa.py_buffer(np.packbits(~none, bitorder="little").tobytes())
+                out = pa.Array.from_buffers(pa.large_string(), len(none), [mask, pa.py_buffer(at), pa.py_buffer(data)])
+                out.validate(full=True)
+                yield pa.RecordBatch.from_arrays([*b.columns, out.cast(pa.string())], names=[*b.schema.names, "decoded"])
 
     return coded.mapInArrow(run, schema)
 

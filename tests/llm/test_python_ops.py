@@ -193,13 +193,13 @@ def test_pieces_follow_the_agenda():
     lib = sentencepiece.SentencePieceProcessor(model_file=pieces_path())
     texts = ["Hello world, this is a test of merging.", "  two  spaces ", "tab\tand\nline", "x" * 200, "naïve 😀 日本"]
     assert [p.encode(t, 0.0) for t in texts] == [lib.encode(t) for t in texts]
-    p.cache.clear()
+    p.forget()
     for t in [*texts, "▁ literal ▁marker"]:
         want = []
         for k, run in enumerate(pieces._RUN.findall(" " + t)):
             want += p._merge(run, 0.5, 7, ((zlib.crc32(t.encode()) ^ 7) + k) * 2654435761 % 2**64 // 128 % 4)
         assert p.encode(t, 0.5, 7, 4) == want and p.decode(want) == t
-        p.cache.clear()
+        p.forget()
     varied = {tuple(p.encode(f"segmentation {i}", 0.3)) [:4] for i in range(40)}
     assert len(varied) > 1
 
@@ -216,6 +216,19 @@ def test_pieces_vary_at_every_occurrence():
     assert coded == [p.encode(t) for t in texts]
 
 
+def test_pieces_trees_begin_anew(monkeypatch, edge_rows):
+    """Neither the bound of the trees nor the cuts of long texts change any ids."""
+    texts = [r[1] or "" for r in edge_rows] + ["ab  cd " * 300, " " * 70, "x" * 100 + " \ud7ff" * 30]
+    want = pieces.Pieces(pieces_path()).encode_many(texts, 0.2)
+    monkeypatch.setattr(pieces, "TREE_BYTES", 2_000)
+    monkeypatch.setattr(pieces, "PART", 150)
+    p = pieces.Pieces(pieces_path())
+    assert p.encode_many(texts, 0.2) == want and p.encode_many([], 0.2) == []
+    assert [p.decode(x) for x in want] == texts
+    data, size = p.decode_flat(np.array([i for x in want for i in x], int), np.array([len(x) for x in want]))
+    assert data.tobytes() == "".join(texts).encode() and size.tolist() == [len(x.encode()) for x in texts]
+
+
 def pieces_path():
     import public_tokenizers
 
