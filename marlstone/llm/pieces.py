@@ -37,7 +37,7 @@ DROPOUT = 0.1
 SEED = 20240501
 #: Hash streams of runs: as many as a text's checksum can tell apart and more.
 STREAMS = 1 << 48
-TREE_BYTES = 240_000_000
+TREE_BYTES = 100_000_000
 #: Texts are cut into runs in parts of about so many characters.
 PART = 1_000_000
 #: Longer runs are merged alone with a heap, so that no text costs the square of its length.
@@ -131,7 +131,7 @@ class Pieces:
         self.sizes = Grown(np.int64)
 
     def _held(self) -> int:
-        return 130 * len(self.words) + sum(x.size * x.room.itemsize for x in (self.slots, self.spots, self.ways, self.ids, self.leaves, self.sizes))
+        return 200 * len(self.words) + sum(x.room.nbytes for x in (self.slots, self.spots, self.ways, self.ids, self.leaves, self.sizes))
 
     def _merge(self, run: str, dropout: float, seed: int, stream: int) -> tuple[int, ...]:
         part: list[str | None] = [SPACE if c == " " else c for c in run]
