@@ -19,6 +19,7 @@ empty result. Offsets are bytes of UTF-8; cut texts are binary, since a cut may
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,9 @@ ANCHOR = 32
 #: Anchors with more different surroundings than this are split by the windows that hold them, until no group has more.
 SPLIT_OVER = 2_000
 #: Parts into which the windows of a group are split at a time.
-WAYS = 8
+WAYS = 4
+#: Up to so many anchors with many surroundings (some 60 bytes each) go to the texts by broadcast.
+BROADCAST_ANCHORS = 100_000
 #: Block symbols that are put in suffix order at a time (more if one anchor has more).
 SYMBOLS = 50_000
 _U = np.uint64
@@ -242,18 +245,20 @@ def _common(a: bytes, b: bytes) -> int:
     return int(d.argmax())
 
 
-def _reach(sides: list[bytes]) -> tuple[list[int], list[int]]:
-    """For each string, the most that it shares with another; and 0 with every distance at which any two can part.
+def _reach(sides: list[bytes]) -> tuple[list[int], list[int], list[int]]:
+    """The order of strings, what each shares with the one before it in that order, and the most that it shares with any.
 
-    Both come from neighbours in sorted order: what two strings share is the least that neighbours between them share.
+    What two strings share is the least that neighbours between them share.
     """
     order = sorted(range(len(sides)), key=sides.__getitem__)
-    most, edges = [0] * len(sides), {0}
+    most, shared = [0] * len(sides), [0] * len(sides)
     for i, j in zip(order, order[1:], strict=False):
-        n = _common(sides[i], sides[j])
-        most[i], most[j] = max(most[i], n), max(most[j], n)
-        edges.add(n)
-    return most, sorted(edges)
+        n = shared[j] = _common(sides[i], sides[j])
+        if n > most[i]:
+            most[i] = n
+        if n > most[j]:
+            most[j] = n
+    return order, shared, most
 
 
 class Blocks:
@@ -261,67 +266,71 @@ class Blocks:
 
     def __init__(self, length: int) -> None:
         self.length = length
-        self.ids: dict = {}
-        self.strings: list[tuple[int, int, list[int], list[int], int, object, int]] = []
-        self.symbols = 0
-        self.groups = 0
+        self.last = 0
+        self.text: list[int] = []
+        #: of each instance: owner, place, whether it is one copy, where its anchor stands in the text, its blocks before
+        #: the anchor, the distances at which blocks part on both sides, the length of its repeats
+        self.strings: list[tuple] = []
+
+    @property
+    def symbols(self) -> int:
+        return len(self.text)
+
+    def _side(self, order: list[int], shared: list[int], most: list[int]) -> tuple[list[list[int]], np.ndarray]:
+        """The blocks of each string, nearest first, and the distances at which any two strings part, from 0.
+
+        A string has the blocks of the one before it in order as far as they agree, and new ones from there on; blocks
+        beyond all that it shares cannot be part of a repeat and are left out.
+        """
+        edges = sorted({0, *shared})
+        out: list[list[int]] = [[]] * len(order)
+        before: list[int] = []
+        for i in order:
+            n, k = bisect_right(edges, most[i]) - 1, bisect_right(edges, shared[i]) - 1
+            before = out[i] = before[:k] + list(range(self.last + 1, self.last + 1 + n - k))
+            self.last += n - k
+        return out, np.array(edges)
 
     def add(self, rows: list[tuple], length: int | None = None) -> None:
         """(copies, owner, place, before, behind) of each instance of one anchor, and the length of its repeats."""
-        g, ids = self.groups, self.ids
         length = self.length if length is None else length
-        self.groups += 1
         # whoever shares too little on both sides together has no repeat here, nor is part of another's
         while True:
-            back = [r[3][::-1] for r in rows]
-            (left, left_edges), (right, right_edges) = _reach(back), _reach([r[4] for r in rows])
-            some = [a + b >= length for a, b in zip(left, right, strict=True)]
+            left, right = _reach([r[3][::-1] for r in rows]), _reach([r[4] for r in rows])
+            some = [a + b >= length for a, b in zip(left[2], right[2], strict=True)]
             if all(some):
                 break
             rows = [r for r, x in zip(rows, some, strict=True) if x]
         if len(rows) < 2:
             return
-        edges = [left_edges, right_edges]
-        for (copies, owner, place, _, behind), b, *most in zip(rows, back, left, right, strict=True):
-            string: list[int] = []
-            depth = 0
-            for side, data in ((0, b), (1, behind)):
-                part = []
-                for t in range(1, len(edges[side])):
-                    # blocks beyond all that it shares cannot be part of a repeat
-                    if edges[side][t] > most[side]:
-                        break
-                    part.append(ids.setdefault((g, side, t, data[edges[side][t - 1] : edges[side][t]]), len(ids)))
-                if side == 0:
-                    part.reverse()
-                    depth = len(part)
-                string += part
-            self.strings.append((copies, place, edges[0], edges[1], depth, (owner, string), length))
-            self.symbols += len(string) + 1
+        (outer, left_edges), (inner, right_edges) = self._side(*left), self._side(*right)
+        for (copies, owner, place, _, _), a, b in zip(rows, outer, inner, strict=True):
+            self.text += a[::-1]
+            self.strings.append((owner, place, copies == 1, len(self.text), len(a), left_edges, right_edges, length))
+            self.text += b
+            self.text.append(-len(self.strings))  # ends differ from each other and come before all blocks
 
     def regions(self) -> Iterator[tuple]:
-        """(owner, start, end) of the stretches that repeat, for instances that have no full copy."""
-        text: list[int] = []
-        starts = []
-        n = len(self.strings)
-        for i, row in enumerate(self.strings):
-            starts.append(len(text))
-            text += [x + n + 1 for x in row[5][1]]
-            text.append(n - i)  # ends differ from each other and come before all blocks
-        order, rank = suffixes.suffix_array(text)
-        shared = suffixes.common_prefixes(text, order, rank)
-        for s, (copies, place, left, right, depth, (owner, _), length) in zip(starts, self.strings, strict=True):
-            if copies > 1:
+        """(owner, start, end) of the stretch that repeats, for instances that have no full copy.
+
+        All repeats of an instance hold its anchor, so together they are one stretch.
+        """
+        if not self.text:
+            return
+        order, rank = suffixes.suffix_array(self.text)
+        shared = np.array([*suffixes.common_prefixes(self.text, order, rank), 0])
+        rank = np.array(rank)
+        same = np.maximum(shared[rank], shared[rank + 1])
+        for owner, place, single, at, depth, left, right, length in self.strings:
+            if not single:
                 continue
-            for t in range(depth + 1):
-                # the suffix that begins t blocks before the anchor
-                k = rank[s + depth - t]
-                same = max(shared[k], shared[k + 1] if k + 1 < len(shared) else 0)
-                if same < t or left[t] + right[-1] < length:
-                    continue
-                reach = right[same - t]
-                if left[t] + reach >= length:
-                    yield owner, place - left[t], place + reach
+            # the suffix that begins t blocks before the anchor
+            t = np.arange(depth + 1)
+            reach = same[at - t] - t
+            t, reach = t[reach >= 0], reach[reach >= 0]
+            ok = left[t] + right[reach] >= length
+            if ok.any():
+                yield owner, place - int(left[t[ok]].max()), place + int(right[reach[ok]].max())
 
 
 def _partial(sides: DataFrame, length: int) -> DataFrame:
@@ -352,10 +361,18 @@ def _partial(sides: DataFrame, length: int) -> DataFrame:
     return sides.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, REGIONS)
 
 
+#: A row by its id and text; ids may be null.
+KEY = ("_d", "_n", "_t")
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    return df.select("*", F.coalesce("doc_id", F.lit(0)).alias("_d"), F.col("doc_id").isNull().alias("_n"), F.col("th").alias("_t"))
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, split_over: int = SPLIT_OVER) -> DataFrame:
-    """(doc_id, th, regions): the repeated stretches of each text that has any, as (start, end), possibly overlapping.
+    """(doc_id, th, regions): the repeated stretches of each text that has any, as start << 32 | end, possibly overlapping.
 
-    ``docs`` has doc_id, text and th, a hash of the text.
+    ``docs`` has doc_id, text and th, a hash of the text. An end may lie beyond the text's.
     """
     ship(docs.sparkSession)
     found = written(_anchored(docs, length, k), "anchors")
@@ -365,58 +382,67 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, split_over:
     whole = found.join(kinds.where("copies > 1").select("anchor", "around"), ["anchor", "around"], "left_semi")
     whole = whole.select("doc_id", "th", (F.col("place") - (length - k)).alias("start"), (F.col("place") + length).alias("end"))
 
-    def sides(some: DataFrame) -> DataFrame:
-        asked = some.select("anchor", "copies", "one.*").groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(
-            F.collect_list(F.struct("anchor", "copies", "place")).alias("asked")
-        )
-        texts = docs.join(asked, docs.doc_id.eqNullSafe(asked["_d"]) & (docs.th == asked["_t"]))
-        texts = texts.select("doc_id", "th", "text", "asked").dropDuplicates(["doc_id", "th"])
+    def sides(some: DataFrame, few: bool) -> DataFrame:
+        """``few``: there are so few that they go to the texts; otherwise both are shuffled."""
+        asked = _keyed(some.select("anchor", "copies", "one.*")).groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "copies", "place")).alias("asked"))
+        texts = _keyed(docs).join(F.broadcast(asked) if few else asked, list(KEY))
+        texts = texts.dropDuplicates(list(KEY)).select("doc_id", "th", "text", "asked")
         return _sides(texts, length, k)
 
-    groups = sides(kinds.where((F.col("kinds") > 1) & (F.col("kinds") <= split_over)))
+    groups = sides(kinds.where((F.col("kinds") > 1) & (F.col("kinds") <= split_over)), False)
     large = kinds.where(F.col("kinds") > split_over)
-    if not large.isEmpty():
-        settled, bounded = _bounded(sides(large), length, split_over)
+    n = large.count()
+    if n:
+        settled, bounded = _bounded(sides(large, n <= BROADCAST_ANCHORS), length, split_over)
         whole, groups = whole.unionByName(settled), groups.unionByName(bounded)
     part = _partial(groups, length)
-    return whole.unionByName(part).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("regions"))
+    packed = F.shiftleft(F.greatest("start", F.lit(0)), 32).bitwiseOR(F.col("end"))
+    return whole.unionByName(part).groupBy("doc_id", "th").agg(F.collect_set(packed).alias("regions"))
 
 
-def _merge(regions, size: int) -> list[list[int]]:
-    """Maximal runs of the union, within the text."""
-    out: list[list[int]] = []
-    for s, e in sorted((max(0, r["start"]), min(size, r["end"])) for r in regions or ()):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return out
+def _runs(regions: np.ndarray, size: int) -> np.ndarray:
+    """Maximal runs (start, end) of the union, within the text."""
+    regions = np.sort(regions)
+    start, end = np.minimum(regions >> 32, size), np.maximum.accumulate(np.minimum(regions & 0xFFFFFFFF, size))
+    first = np.flatnonzero(np.r_[True, start[1:] > end[:-1]])
+    return np.stack([start[first], end[np.r_[first[1:] - 1, len(end) - 1]]], axis=1)
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, split_over: int = SPLIT_OVER) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept) of every row: the removed runs and the bytes that stay."""
-    return _applied(docs, length, k, split_over, "spans array<struct<start:bigint,end:bigint>>, kept binary", lambda runs, kept: (
-        [{"start": s, "end": e} for s, e in runs], kept), [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()])
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    of = lambda runs, kept: ([{"start": s, "end": e} for s, e in runs], b"".join(kept))
+    return _applied(docs, length, k, split_over, "spans array<struct<start:bigint,end:bigint>>, kept binary", of, [span, pa.binary()])
 
 
 def _applied(docs: DataFrame, length: int, k: int, split_over: int, columns: str, of, kinds) -> DataFrame:
+    """``of`` gives further columns from the removed runs of a text and the parts of it that stay."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    found = repeats(rows, length, k, split_over).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "regions")
-    joined = rows.join(found, rows.doc_id.eqNullSafe(found["_d"]) & (rows.th == found["_t"]), "left").select("doc_id", "text", "regions")
+    found = _keyed(repeats(rows, length, k, split_over)).select(*KEY, "regions")
+    # with th, so that both joins have the same columns of the texts and share one shuffle
+    joined = _keyed(rows).join(found, list(KEY), "left").select("doc_id", "th", "text", "regions")
     names = [f.split()[0] for f in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in textkit.slices(batch):
                 part = batch.slice(i, j - i)
+                b, at = textkit.buffer(part.column("text"))
+                data, at = memoryview(b), at.tolist()
+                regions = pa.concat_arrays([part.column("regions")])
+                values, edges = np.asarray(regions.flatten()), np.r_[0, np.cumsum(regions.value_lengths().fill_null(0))].tolist()
                 size, gone, extra = [], [], []
-                for text, regions in zip(part.column("text").to_pylist(), part.column("regions").to_pylist(), strict=True):
-                    data = (text or "").encode()
-                    runs = _merge(regions, len(data))
-                    size.append(len(data))
-                    gone.append(sum(e - s for s, e in runs))
-                    edges = [0, *(x for r in runs for x in r), len(data)]
-                    extra.append(of(runs, b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))))
+                for r in range(len(part)):
+                    lo, hi = at[r], at[r + 1]
+                    size.append(hi - lo)
+                    if edges[r] == edges[r + 1]:
+                        gone.append(0)
+                        extra.append(of([], [data[lo:hi]]))
+                        continue
+                    runs = _runs(values[edges[r] : edges[r + 1]], hi - lo)
+                    gone.append(int((runs[:, 1] - runs[:, 0]).sum()))
+                    stay = [0, *runs.ravel().tolist(), hi - lo]
+                    extra.append(of(runs.tolist(), [data[lo + x : lo + y] for x, y in zip(stay[::2], stay[1::2], strict=True)]))
                 cols = [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(gone, pa.int64())]
                 cols += [pa.array([x[c] for x in extra], kind) for c, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", *names])
@@ -426,5 +452,11 @@ def _applied(docs: DataFrame, length: int, k: int, split_over: int, columns: str
 
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
-    of = lambda runs, kept: (len(runs), hashlib.sha256(kept).hexdigest())
+
+    def of(runs: list, kept: list) -> tuple[int, str]:
+        d = hashlib.sha256()
+        for x in kept:
+            d.update(x)
+        return len(runs), d.hexdigest()
+
     return _applied(docs, LENGTH, ANCHOR, SPLIT_OVER, "n_spans bigint, kept_sha256 string", of, [pa.int64(), pa.string()])
