@@ -1,8 +1,8 @@
 """Suffix-array dedup: removes every byte covered by a string of ``length`` bytes that starts anywhere else too.
 
-Every stretch of ``length`` bytes holds an anchor: a short string whose hash is the least among the stretch's (winnowing),
-so two equal stretches hold the same anchor at the same place. Anchors carry hashes of what lies before and behind
-them, as far as such stretches reach. Instances that agree on both sides are repeated as a whole; that is settled by
+Every stretch of ``length`` bytes has an anchor: the short string in it whose hash is the least (winnowing), so two equal
+stretches have the same anchor at the same place. Anchors carry a hash of all that the stretches they are the anchor of
+reach. Instances that agree on both sides are repeated as a whole; that is settled by
 counting, combined before the shuffle. Where instances of an anchor agree only in part, their surroundings are brought
 together, cut into blocks where any two of them part, and the blocks' strings are put in suffix order (linear grouping,
 see ``suffixes``); each one's longest common prefix with its neighbours gives to the byte how far a repeat reaches.
@@ -75,14 +75,15 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(b: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = ANCHOR):
-    """Places of the anchors in a buffer of several texts, and hashes of each and of all that is around it.
+    """Places of the anchors in a buffer of several texts, where the stretches they are the anchor of begin and end, and
+    hashes of each anchor and of all that those stretches hold.
 
     Texts beyond 2**24 bytes are taken in overlapping parts, so that places fit beside the hashes.
     """
     n = len(b)
     if n < length:
         none = np.zeros(0, np.int64)
-        return none, *(np.zeros(0, _U),) * 2
+        return none, none, none, *(np.zeros(0, _U),) * 2
     up, down = _tables_of(n)
     with np.errstate(over="ignore"):
         total = np.r_[_U(0), np.cumsum(textkit._BYTE[b] * up[:n], dtype=_U)]
@@ -94,7 +95,7 @@ def anchors(b: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = A
         h = piece(at, at + k)
     w = length - k + 1
     limit = (1 << 24) - 1
-    found = []
+    found, starts = [], []
     for lo in range(0, n, limit - length + 1):
         part = h[lo : min(lo + limit - k + 1, len(h))]
         if len(part) < w:
@@ -103,16 +104,18 @@ def anchors(b: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = A
         least = (_window_min(packed, w) & _LOW).astype(np.int64) + lo
         # windows that lie within one text
         start = np.arange(lo, lo + len(least))
-        end = offsets[np.searchsorted(offsets, start, side="right")]
-        found.append(least[start + length <= end])
-    place = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    text = np.searchsorted(offsets, place, side="right")
-    before = np.maximum(offsets[text - 1], place - (length - k))
-    behind = np.minimum(offsets[text], place + length)
-    return place, h[place], textkit.mix(piece(before, place) + textkit.mix(piece(place, behind)))
+        some = start + length <= offsets[np.searchsorted(offsets, start, side="right")]
+        found.append(least[some])
+        starts.append(start[some])
+    place, start = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found, starts))
+    # the windows of an anchor follow each other
+    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.zeros(0, np.int64)
+    end = start[np.r_[first[1:], len(place)] - 1] + length if len(place) else start
+    place, start = place[first], start[first]
+    return place, start, end, h[place], textkit.mix(piece(start, place) + textkit.mix(piece(place, end)))
 
 
-ANCHORS = "doc_id bigint, th bigint, place bigint, anchor bigint, around bigint"
+ANCHORS = "doc_id bigint, th bigint, place bigint, start bigint, end bigint, anchor bigint, around bigint"
 
 
 def _anchored(docs: DataFrame, length: int, k: int) -> DataFrame:
@@ -121,11 +124,12 @@ def _anchored(docs: DataFrame, length: int, k: int) -> DataFrame:
             for i, j in textkit.slices(batch):
                 part = batch.slice(i, j - i)
                 b, offsets = textkit.buffer(part.column("text"))
-                place, h, around = anchors(b, offsets, length, k)
+                place, start, end, h, around = anchors(b, offsets, length, k)
                 text = np.searchsorted(offsets, place, side="right") - 1
                 index = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(index), part.column("th").take(index), pa.array(place - offsets[text])]
+                    [part.column("doc_id").take(index), part.column("th").take(index)]
+                    + [pa.array(x - offsets[text]) for x in (place, start, end)]
                     + [pa.array(x.astype(np.int64)) for x in (h, around)],
                     names=[f.split()[0] for f in ANCHORS.split(", ")],
                 )
@@ -164,7 +168,7 @@ def _sides(asked: DataFrame, length: int, k: int) -> DataFrame:
                     data = (text or "").encode()
                     for a in places:
                         p = a["place"]
-                        left, right = data[max(0, p - (length - k)) : p], data[p + k : p + length]
+                        left, right = data[a["start"] : p], data[p + k : a["end"]]
                         for c, v in enumerate((a["anchor"], 0, a["copies"], name, th, p, 0, length - k, left, right)):
                             rows[c].append(v)
                 yield _rows(rows)
@@ -175,7 +179,8 @@ def _sides(asked: DataFrame, length: int, k: int) -> DataFrame:
 def _parts(key: int, room: int, left: bytes, right: bytes) -> Iterator[tuple[int, int, int, int, bytes, bytes]]:
     """(group, kind, least, room, before, behind) of each part of an instance's windows that it has a window in.
 
-    A window that begins ``x`` bytes further out holds x bytes of ``left`` and room - x of ``right``. The windows of a
+    The instance's windows are those that ``left`` and ``right`` hold: its own, as far as the part above reaches. A window
+    that begins ``x`` bytes further out holds x bytes of ``left`` and room - x of ``right``. The windows of a
     part share what its widest and narrowest ends have in common: that is its group. Its kind is all that they reach.
     """
     step = -(-(room + 1) // WAYS)
@@ -372,19 +377,19 @@ def _keyed(df: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, split_over: int = SPLIT_OVER) -> DataFrame:
     """(doc_id, th, regions): the repeated stretches of each text that has any, as start << 32 | end, possibly overlapping.
 
-    ``docs`` has doc_id, text and th, a hash of the text. An end may lie beyond the text's.
+    ``docs`` has doc_id, text and th, a hash of the text.
     """
     ship(docs.sparkSession)
     found = written(_anchored(docs, length, k), "anchors")
-    kinds = found.groupBy("anchor", "around").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "place")).alias("one"))
+    kinds = found.groupBy("anchor", "around").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "place", "start", "end")).alias("one"))
     total = kinds.groupBy("anchor").agg(F.sum("copies").alias("all"), F.count("*").alias("kinds")).where(F.col("all") > 1)
     kinds = cut(kinds.join(total, "anchor"))
     whole = found.join(kinds.where("copies > 1").select("anchor", "around"), ["anchor", "around"], "left_semi")
-    whole = whole.select("doc_id", "th", (F.col("place") - (length - k)).alias("start"), (F.col("place") + length).alias("end"))
+    whole = whole.select("doc_id", "th", "start", "end")
 
     def sides(some: DataFrame, few: bool) -> DataFrame:
         """``few``: there are so few that they go to the texts; otherwise both are shuffled."""
-        asked = _keyed(some.select("anchor", "copies", "one.*")).groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "copies", "place")).alias("asked"))
+        asked = _keyed(some.select("anchor", "copies", "one.*")).groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "copies", "place", "start", "end")).alias("asked"))
         texts = _keyed(docs).join(F.broadcast(asked) if few else asked, list(KEY))
         texts = texts.dropDuplicates(list(KEY)).select("doc_id", "th", "text", "asked")
         return _sides(texts, length, k)
@@ -396,7 +401,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, split_over:
         settled, bounded = _bounded(sides(large, n <= BROADCAST_ANCHORS), length, split_over)
         whole, groups = whole.unionByName(settled), groups.unionByName(bounded)
     part = _partial(groups, length)
-    packed = F.shiftleft(F.greatest("start", F.lit(0)), 32).bitwiseOR(F.col("end"))
+    packed = F.shiftleft("start", 32).bitwiseOR(F.col("end"))
     return whole.unionByName(part).groupBy("doc_id", "th").agg(F.collect_set(packed).alias("regions"))
 
 
