@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space and word characters of the contracts, as Java patterns.
@@ -40,3 +40,15 @@ def cover(starts: Column, width: int) -> Column:
         lambda x, k: F.when(k == 0, F.lit(width)).otherwise(F.least(F.lit(width), x - F.get(starts, k - 1))),
     )
     return F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores added to those that are columns of ``df`` in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for x in names:
+        while x.lower() in taken:
+            x += "_"
+        taken.add(x.lower())
+        out.append(x)
+    return out

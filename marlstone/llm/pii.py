@@ -1,10 +1,16 @@
 """PII surrogates: every detected entity gets a keyed replacement of its own kind, format, script and gender.
 
-Detection is one pattern over the whole text; the replacement of an entity is a function of (key, kind, entity,
-attempt), so the same entity gets the same surrogate in every document (coreference) and no table of entities has
-to travel back to the texts. Distinct entities must keep distinct surrogates: the surrogates of all distinct entities
-are compared, also with all entities themselves, and those that collide move on to their next attempt until none
-is left. Only those exceptions are joined back to the documents. Only DataFrame functions run.
+Detection is one pattern over the whole text. A person is known by name, not by spelling: a title with or without a dot,
+a title with the family name of the one full name of a text that it fits, and the bare full name are mentions of the
+same person, who has one family and given name throughout; the given name follows the gender that any title in the
+text tells. The replacement of an entity is a function of (key, kind, entity, attempt), so the same entity gets the
+same surrogate in every document and no table of entities has to travel back to the texts.
+
+Distinct entities must keep distinct surrogates (persons: distinct family names): the surrogates of all distinct
+entities are compared, also with all entities themselves, and those that collide move on to their next attempt until
+none is left. From attempt ``GROW_FROM`` on surrogates grow, so that room is never used up: longer names and numbers, a
+wider private range and then IPv6 for addresses. Only those exceptions are joined back to the documents. Only DataFrame
+functions run.
 
 Defined results: a null text stays null and has no entities; an empty text stays empty; repeated rows get equal
 results; other columns pass through (those named n_email and so on are replaced); an empty table gives an empty result.
@@ -15,11 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.columns import let, whole
+from marlstone.llm.columns import let, unused, whole
 from marlstone.llm.store import cut
 
 KEY = "surrogate-key-1"
-MAX_ATTEMPTS = 32
+#: The first attempts keep an entity's shape; each further one is a character longer.
+GROW_FROM = 4
 
 #: Titles that tell a gender, and given names to put in.
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Госпожа")
@@ -60,11 +67,62 @@ def kind_of(m: Column) -> Column:
     )
 
 
+def _rest(m: Column) -> Column:
+    """A name without its title."""
+    return F.regexp_replace(m, rf"^(?:{TITLES})\.? ", "")
+
+
+def _last(person: Column) -> Column:
+    return F.substring_index(person, " ", -1)
+
+
+def _gender(m: Column) -> Column:
+    title = F.regexp_extract(m, rf"^({TITLES})\.? ", 1)
+    return F.when(title.isin(*FEMALE_TITLES), "f").when(title.isin(*MALE_TITLES), "m").otherwise("n")
+
+
+def _mention(m: Column, people: Column, fulls: Column) -> Column:
+    """What a match stands for: (m, kind, entity, gender); of names, the entity is the person."""
+
+    def person(r: Column) -> Column:
+        fits = F.filter(fulls, lambda x: _last(x) == r)
+        return F.when(r.contains(" "), r).otherwise(let(fits, lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0))).otherwise(r)))
+
+    def gender(p: Column) -> Column:
+        told = F.filter(people, lambda x: (x["gender"] != "n") & ((x["rest"] == p) | (x["rest"] == _last(p))))
+        return F.coalesce(F.get(told, F.lit(0))["gender"], F.lit("n"))
+
+    def named(p: Column) -> Column:
+        return F.struct(m.alias("m"), F.lit("name").alias("kind"), p.alias("entity"), gender(p).alias("gender"))
+
+    other = lambda k: F.struct(m.alias("m"), k.alias("kind"), m.alias("entity"), F.lit("n").alias("gender"))
+    return let(kind_of(m), lambda k: F.when(k == "name", let(person(_rest(m)), named)).otherwise(other(k)))
+
+
+def mentions(text: Column) -> Column:
+    """(pattern, found) of a text: the pattern that cuts it, and (m, kind, entity, gender) of each match in order.
+
+    Full names that follow a title are looked for everywhere else in that text too.
+    """
+
+    def of(people: Column) -> Column:
+        fulls = F.array_distinct(F.transform(F.filter(people, lambda x: x["rest"].contains(" ")), lambda x: x["rest"]))
+        return let(fulls, lambda f: let(_pattern(f), lambda p: F.struct(
+            p.alias("pattern"), F.transform(F.regexp_extract_all(whole(text), p, F.lit(0)), lambda m: _mention(m, people, f)).alias("found")
+        )))
+
+    def _pattern(f: Column) -> Column:
+        names = F.concat(F.lit(ANY + r"|(?=\p{Lu})(?<!\p{L})(?:"), F.array_join(f, "|"), F.lit(r")(?!\p{L})"))
+        return F.when(F.size(f) > 0, names).otherwise(F.lit(ANY))
+
+    titled = F.regexp_extract_all(whole(text), F.lit(NAME), F.lit(0))
+    people = F.array_distinct(F.transform(titled, lambda m: F.struct(_rest(m).alias("rest"), _gender(m).alias("gender"))))
+    return F.when(whole(text).rlike(HINT), let(people, of))
+
+
 def entities(text: Column) -> Column:
-    """Every entity of a text, in order, repeats included."""
-    return F.when(whole(text).rlike(HINT), F.regexp_extract_all(whole(text), F.lit(ANY), F.lit(0))).otherwise(
-        F.array().cast("array<string>")
-    )
+    """Every mention of an entity in a text, in order, repeats included."""
+    return F.coalesce(F.transform(mentions(text)["found"], lambda x: x["m"]), F.array().cast("array<string>"))
 
 
 def _number(digest: Column, i: Column | int, below: int) -> Column:
@@ -94,6 +152,13 @@ def _alike(m: Column, digest: Column) -> Column:
     return F.array_join(F.transform(F.split(m, ""), one), "")
 
 
+def _grown(attempt: Column, digest: Column, low: int, n: int) -> Column:
+    """The characters that a surrogate is longer by, drawn from the ``n`` from ``low`` on."""
+    some = F.lit("".join(map(chr, range(low, low + n))))
+    each = F.transform(F.sequence(F.lit(1), F.greatest(attempt - GROW_FROM + 1, F.lit(1))), lambda i: F.substring(some, _number(digest, i + 18, n) + 1, F.lit(1)))
+    return F.when(attempt >= GROW_FROM, F.array_join(each, "")).otherwise("")
+
+
 def _luhn(digits: Column, weight_first: int) -> Column:
     """The Luhn sum of a string of digits whose first digit counts ``weight_first`` times."""
     each = F.transform(
@@ -121,125 +186,131 @@ def _card(m: Column, digest: Column) -> Column:
     )
 
 
-def _ip(m: Column, digest: Column) -> Column:
-    """Four other numbers; an address of a private range stays in its range."""
+def _ip(m: Column, digest: Column, attempt: Column) -> Column:
+    """Four other numbers; an address of a private range stays in its range, or else in the widest one."""
     octet = lambda i: (_number(digest, i, 254) + 1).cast("string")
+    private = m.startswith("10.") | m.startswith("192.168.") | m.startswith("127.")
     kept = (
-        F.when(m.startswith("10."), "10.")
+        F.when(private & (attempt >= GROW_FROM), "10.")
+        .when(m.startswith("10."), "10.")
         .when(m.startswith("192.168."), "192.168.")
         .when(m.startswith("127."), "127.")
         .otherwise("")
     )
     size = F.length(F.regexp_replace(kept, r"[^.]", ""))
     rest = F.slice(F.array(octet(0), octet(1), octet(2), octet(3)), 1, 4 - size)
-    return F.concat(kept, F.array_join(rest, "."))
+    wide = F.concat_ws(":", F.lit("2001:db8"), *(F.substring(digest, 65 + 4 * i, 4) for i in range(6)))
+    return F.when(attempt >= 4 * GROW_FROM, wide).otherwise(F.concat(kept, F.array_join(rest, ".")))
 
 
-def _email(m: Column, digest: Column) -> Column:
+def _email(m: Column, digest: Column, attempt: Column) -> Column:
     """Another name and host of the same shape; the last label of the host stays."""
-    return F.concat(_alike(F.regexp_extract(m, r"^(.*)\.[^.]+$", 1), digest), F.regexp_extract(m, r"(\.[^.]+)$", 1))
+    shape = _alike(F.regexp_extract(m, r"^(.*)\.[^.]+$", 1), digest)
+    return F.concat(_grown(attempt, digest, 97, 26), shape, F.regexp_extract(m, r"(\.[^.]+)$", 1))
 
 
-def _name(m: Column, digest: Column) -> Column:
-    """The same title, then a given name of the title's gender, and a family name if there was one, in its script."""
-    title = F.regexp_extract(m, rf"^((?:{TITLES})\.?) ", 1)
-    bare = F.regexp_replace(title, r"\.$", "")
-    cyrillic = m.rlike(r" \p{IsCyrillic}")
-    female, male = bare.isin(*FEMALE_TITLES), bare.isin(*MALE_TITLES)
+def _person(person: Column, digest: Column, attempt: Column, gender: Column) -> Column:
+    """A given name of the gender, if there was one, and a family name in the person's script."""
+    cyrillic = person.rlike(r"\p{IsCyrillic}")
     given = (
-        F.when(cyrillic & female, _pick(CYRILLIC_FEMALE, digest, 0))
+        F.when(cyrillic & (gender == "f"), _pick(CYRILLIC_FEMALE, digest, 0))
         .when(cyrillic, _pick(CYRILLIC_MALE, digest, 0))
-        .when(female, _pick(FEMALE_NAMES, digest, 0))
-        .when(male, _pick(MALE_NAMES, digest, 0))
+        .when(gender == "f", _pick(FEMALE_NAMES, digest, 0))
+        .when(gender == "m", _pick(MALE_NAMES, digest, 0))
         .otherwise(_pick(NEUTRAL_NAMES, digest, 0))
     )
-    family = F.initcap(
-        F.when(cyrillic, F.concat(*(_pick(CYRILLIC_SYLLABLES, digest, i) for i in range(1, 6)))).otherwise(
-            F.concat(*(_pick(SYLLABLES, digest, i) for i in range(1, 6)))
-        )
-    )
-    two = m.rlike(r" \p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+$")
-    # a single name has the same room as a full one, so that distinct names can stay distinct
-    return F.concat(title, F.lit(" "), F.when(two, F.concat(given, F.lit(" "), family)).otherwise(F.concat(given, F.lower(family))))
+    places = F.sequence(F.lit(1), 5 + F.greatest(attempt - GROW_FROM + 1, F.lit(0)))
+    family = lambda values: F.array_join(F.transform(places, lambda i: _pick(values, digest, i)), "")
+    family = F.initcap(F.when(cyrillic, family(CYRILLIC_SYLLABLES)).otherwise(family(SYLLABLES)))
+    return F.when(person.contains(" "), F.concat(given, F.lit(" "), family)).otherwise(family)
 
 
-def _phone(m: Column, digest: Column) -> Column:
+def _phone(m: Column, digest: Column, attempt: Column) -> Column:
     """Other digits in the same format; the country code stays."""
     code = F.regexp_extract(m, r"^(\+[0-9]{1,3}(?=[ .(-])[ .-]?)", 1)
-    return F.concat(code, _alike(F.substring(m, F.length(code) + 1, F.length(m)), digest))
+    return F.concat(code, _alike(F.substring(m, F.length(code) + 1, F.length(m)), digest), _grown(attempt, digest, 48, 10))
 
 
-def surrogate(m: Column, kind: Column, attempt: Column, key: str = KEY) -> Column:
-    """The replacement of entity ``m`` on its so-manyth attempt."""
-    seed = F.sha2(F.concat_ws("\x00", F.lit(key), kind, m, attempt.cast("string")), 512)
+def surrogate(entity: Column, kind: Column, attempt: Column, key: str = KEY, gender: Column | None = None) -> Column:
+    """The replacement of an entity on its so-manyth attempt; a person's family name does not depend on the gender."""
+    seed = F.sha2(F.concat_ws("\x00", F.lit(key), kind, entity, attempt.cast("string")), 512)
     return let(
         seed,
-        lambda d: F.when(kind == "email", _email(m, d))
-        .when(kind == "ip", _ip(m, d))
-        .when(kind == "card", _card(m, d))
-        .when(kind == "phone", _phone(m, d))
-        .when(kind == "ssn", _alike(m, d))
-        .otherwise(_name(m, d)),
+        lambda d: F.when(kind == "email", _email(entity, d, attempt))
+        .when(kind == "ip", _ip(entity, d, attempt))
+        .when(kind == "card", _card(entity, d))
+        .when(kind == "phone", _phone(entity, d, attempt))
+        .when(kind == "ssn", F.concat(_alike(entity, d), _grown(attempt, d, 48, 10)))
+        .otherwise(_person(entity, d, attempt, F.lit("n") if gender is None else gender)),
     )
 
 
-def exceptions(docs: DataFrame, key: str = KEY, max_attempts: int = MAX_ATTEMPTS) -> DataFrame | None:
-    """(entity, attempt) of the entities whose first surrogate is taken; None if there are none.
+def exceptions(docs: DataFrame, key: str = KEY) -> DataFrame | None:
+    """(entity, kind, attempt) of the entities whose first surrogate is taken; None if there are none.
 
     Entities are made distinct map-side before they are shuffled. A surrogate that several entities share stays with
-    the smallest of them; one that is itself an entity of the corpus stays with none.
+    the smallest of them; one that is itself an entity of the corpus stays with none. Each round's losers grow, so the
+    rounds come to an end.
     """
-    known = docs.select(F.explode(entities(F.col("text"))).alias("entity")).distinct()
-    known = cut(known.withColumn("kind", kind_of(F.col("entity"))))
+    known = docs.select(F.explode(mentions(F.col("text"))["found"]).alias("x")).select("x.entity", "x.kind").distinct()
+    known = cut(known)
+    told = lambda x: F.when(F.col("kind") == "name", _last(x)).otherwise(x)
+    own = known.select(told(F.col("entity")).alias("s"), F.struct(F.lit(0).alias("own"), "entity", "kind").alias("by"))
     moved = None
-    for _ in range(max_attempts):
-        now = known if moved is None else known.join(moved, "entity", "left")
+    while True:
+        now = known if moved is None else known.join(moved, ["entity", "kind"], "left")
         tried = F.lit(0) if moved is None else F.coalesce("attempt", F.lit(0))
         now = now.select("entity", "kind", tried.alias("attempt"))
-        now = now.withColumn("s", surrogate(F.col("entity"), F.col("kind"), F.col("attempt"), key))
+        now = now.withColumn("s", told(surrogate(F.col("entity"), F.col("kind"), F.col("attempt"), key)))
         # an entity stands for itself as a taken surrogate, before all others
-        taken = now.select("s", F.struct(F.lit(1).alias("own"), "entity").alias("by")).unionByName(
-            known.select(F.col("entity").alias("s"), F.struct(F.lit(0).alias("own"), "entity").alias("by"))
-        )
+        taken = now.select("s", F.struct(F.lit(1).alias("own"), "entity", "kind").alias("by")).unionByName(own)
         first = taken.groupBy("s").agg(F.min("by").alias("first"), F.count("*").alias("n")).where("n > 1")
-        lost = now.join(first, "s").where((F.col("first.own") == 0) | (F.col("first.entity") != F.col("entity")))
-        lost = lost.select("entity", (F.col("attempt") + 1).alias("attempt"))
+        lost = now.join(first, "s").where(
+            (F.col("first.own") == 0) | (F.col("first.entity") != F.col("entity")) | (F.col("first.kind") != F.col("kind"))
+        )
+        lost = cut(lost.select("entity", "kind", (F.col("attempt") + 1).alias("attempt")))
         if lost.isEmpty():
             return moved
-        stay = lost if moved is None else moved.join(lost, "entity", "left_anti").unionByName(lost)
-        moved = cut(stay)
-    raise ValueError(f"surrogates still collide after {max_attempts} attempts")
+        moved = lost if moved is None else cut(moved.join(lost, ["entity", "kind"], "left_anti").unionByName(lost))
 
 
 def replace(docs: DataFrame, key: str = KEY, moved: DataFrame | None = None) -> DataFrame:
     """``docs`` with every entity replaced, and n_<kind> for each kind. ``moved``: what ``exceptions`` has returned."""
     counts = [f"n_{k}" for k in KINDS]
     rest = [c for c in docs.columns if c not in counts]
+    e, d, n, t, odd = unused(docs, "_e", "_d", "_n", "_t", "_tries")
+    told = lambda x: F.concat_ws("\x00", x["kind"], x["entity"])
     tries = F.create_map().cast("map<string,int>")
     if moved is not None:
-        keys = docs.select("doc_id", F.xxhash64("text").alias("th"), F.explode(F.array_distinct(entities(F.col("text")))).alias("entity"))
-        odd = keys.join(moved, "entity").dropDuplicates(["doc_id", "th", "entity"])
-        odd = odd.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(
-            F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("_tries")
-        )
-        docs = docs.join(odd, docs.doc_id.eqNullSafe(odd._d) & (F.xxhash64(docs.text) == odd._t), "left")
-        tries = F.coalesce("_tries", tries)
-
-    def one(m: Column) -> Column:
-        return let(
-            kind_of(m),
-            lambda k: F.struct(k.alias("k"), surrogate(m, k, F.coalesce(F.try_element_at(tries, m), F.lit(0)), key).alias("s")),
-        )
-
-    found = docs.select(*(F.col(f"`{c}`") for c in rest), F.explode(F.array(F.transform(entities(F.col("text")), one))).alias("_e"))
+        # rows are known by id, also without one, and text
+        keys = {d: F.coalesce(F.col("doc_id"), F.lit(0)), n: F.col("doc_id").isNull(), t: F.xxhash64("text")}
+        docs = docs.withColumns(keys)
+        asked = docs.select(*keys, F.explode(F.array_distinct(F.transform(mentions(F.col("text"))["found"], told))).alias("told"))
+        asked = asked.join(moved.select(told({k: F.col(k) for k in ("kind", "entity")}).alias("told"), "attempt"), "told").dropDuplicates([*keys, "told"])
+        asked = asked.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("told", "attempt"))).alias(odd))
+        docs = docs.join(asked, list(keys), "left")
+        tries = F.coalesce(F.col(odd), tries)
+
+    def put(x: Column, s: Column) -> Column:
+        """A mention's own title and as many names as it had, or the surrogate itself."""
+        title = F.regexp_extract(x["m"], rf"^((?:{TITLES})\.? )", 1)
+        name = F.concat(title, F.when(_rest(x["m"]).contains(" "), s).otherwise(_last(s)))
+        return F.when(x["kind"] == "name", name).otherwise(s)
+
+    def one(x: Column) -> Column:
+        s = surrogate(x["entity"], x["kind"], F.coalesce(F.try_element_at(tries, told(x)), F.lit(0)), key, x["gender"])
+        return let(s, lambda v: F.struct(x["kind"].alias("k"), put(x, v).alias("s")))
+
+    made = let(mentions(F.col("text")), lambda x: F.struct(x["pattern"].alias("p"), F.transform(x["found"], one).alias("x")))
+    found = docs.select(*(F.col(f"`{c}`") for c in rest), F.explode(F.array(made)).alias(e))
     # pieces between entities and surrogates alternate; the pattern never matches an empty string
     woven = F.zip_with(
-        F.split(F.col("text"), ANY, -1),
-        F.transform("_e", lambda x: x["s"]),
+        F.split(F.col("text"), F.col(e)["p"], -1),
+        F.transform(F.col(e)["x"], lambda x: x["s"]),
         lambda piece, s: F.concat(piece, F.coalesce(s, F.lit(""))),
     )
-    text = F.when(F.size("_e") > 0, F.array_join(woven, "")).otherwise(F.col("text"))
-    count = lambda kind: F.size(F.filter("_e", lambda x: x["k"] == kind)).cast("long")
+    text = F.when(F.size(F.col(e)["x"]) > 0, F.array_join(woven, "")).otherwise(F.col("text"))
+    count = lambda kind: F.coalesce(F.size(F.filter(F.col(e)["x"], lambda x: x["k"] == kind)), F.lit(0)).cast("long")
     return found.select(
         *(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in rest),
         *(count(k).alias(f"n_{k}") for k in KINDS),
