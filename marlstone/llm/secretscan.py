@@ -1,11 +1,13 @@
 """Secret scan: fixed patterns, then zstandard novelty of candidate strings in sensitive contexts.
 
 A candidate is a long unbroken string behind a sensitive word. Its marginal cost is the compressed size of its
-surroundings with the candidate less the size without it, both under a dictionary of the surroundings and of common
-identifiers: a name or path that the code around it explains costs little, a random key costs nearly its entropy.
+surroundings with the candidate less the size without it, both under a dictionary of the surroundings and of
+identifiers. These are learned first: the words that identifiers are made of are counted over all texts that have a
+sensitive context, and the ``DICTIONARY_WORDS`` most frequent join a few fixed ones. Only short runs of letters are
+words, so a key that many copies of a text repeat does not get in. A name or path that the code around it explains costs little, a random key costs nearly its entropy.
 Candidates that cost ``min_ratio`` bytes for each of their characters, or nearly what a random string of their length
-and alphabet costs there, are reported as kind ``novel``. Zstandard codes short strings at a byte a character, so short
-candidates and those without letters or digits must also be no likelier, letter by letter, than a random draw.
+and alphabet costs there, are reported as kind ``novel``. Zstandard codes short strings at a byte a character, so
+candidates must also be no likelier, letter by letter, than a random draw.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned one by one; spans are code points of
 the whole text, end exclusive; an empty table gives an empty result; other columns pass through ``scan``.
@@ -50,37 +52,50 @@ IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0123456789abcdef"
 ).encode()
 
+#: Words that the dictionary of identifiers learns at most (some 20 kB): the bound of what goes through the driver.
+DICTIONARY_WORDS = 2000
+#: The same contexts for the JVM, and the words that identifiers are made of: cut at case changes and other signs.
+HINT = r"(?i)(?:auth|bearer|credential|private|pwd|passphrase|signature|session|cookie|access|key|pass(?:word|wd)?|secret|token|salt|licen[cs]e)"
+WORD = r"(?<![A-Za-z])[A-Z]?[a-z]{3,15}(?![a-z])|(?<=[a-z])[A-Z][a-z]{3,15}(?![a-z])|(?<![A-Za-z])[A-Z]{4,15}(?![A-Za-z])"
+
 REACH = 1024
 MIN_RATIO = 0.75
 #: Share of a random string's cost that makes a candidate novel, whatever its alphabet.
 OF_RANDOM = 0.9
-#: Shorter candidates, and those that lack one of the two, may be plain words: these are also held against letter pairs.
-LONG = 16
-LETTER, DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
 _DIGITS, _LOW = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 ALPHABETS = (_DIGITS, _DIGITS + "abcdef", _DIGITS + "ABCDEF", _LOW, _LOW.upper(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567=", _LOW + _LOW.upper())
 ALPHABETS += (_LOW + _DIGITS, _LOW.upper() + _DIGITS, _LOW + _LOW.upper() + _DIGITS, _LOW + _LOW.upper() + _DIGITS + "+/_=-")
+#: What joins the words of an identifier counts as a space.
+_JOINTS = str.maketrans("_-/", "   ")
 _SETS = [frozenset(x) for x in ALPHABETS]
 
 
+def learn(docs: DataFrame, text: str = "text", most: int = DICTIONARY_WORDS) -> bytes:
+    """The most frequent words of identifiers in all texts that have a sensitive context; the commonest come last."""
+    near = docs.where(F.col(text).rlike(HINT + r"[A-Za-z_]{0,12}[\"']?[ \t]*(?:[:=]|=>| is )?[ \t]*[\"']?[A-Za-z0-9+/_=-]{12}"))
+    words = near.select(F.explode(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("w"))
+    top = words.groupBy("w").count().where("count > 1").orderBy(F.desc("count"), "w").limit(most).collect()
+    return " ".join(r.w for r in reversed(top)).encode()
+
+
 def _size(data: bytes, dictionary: bytes) -> int:
     d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return len(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False).compress(data))
 
 
-def _costs(text: str, start: int, end: int, reach: int, *strings: bytes) -> list[int]:
+def _costs(text: str, start: int, end: int, reach: int, learned: bytes, *strings: bytes) -> list[int]:
     """Bytes that each string adds to the compressed surroundings of text[start:end], in its place."""
     left = text[max(0, start - reach) : start].encode()
     right = text[end : end + reach].encode()
-    dictionary = IDENTIFIERS + left + right
+    dictionary = IDENTIFIERS + learned + left + right
     near = left[-64:]
     return [_size(near + x, dictionary) - _size(near, dictionary) for x in strings]
 
 
-def marginal_ratio(text: str, start: int, end: int, reach: int = REACH) -> float:
+def marginal_ratio(text: str, start: int, end: int, reach: int = REACH, learned: bytes = b"") -> float:
     """Bytes that text[start:end] adds to its compressed surroundings, for each of its own bytes."""
     own = text[start:end].encode()
-    return _costs(text, start, end, reach, own)[0] / max(1, len(own))
+    return _costs(text, start, end, reach, learned, own)[0] / max(1, len(own))
 
 
 def _alphabet(own: str) -> str:
@@ -94,31 +109,40 @@ def _random(alphabet: str, n: int) -> bytes:
     return "".join(alphabet[x % len(alphabet)] for x in memoryview(hashlib.shake_128(f"{alphabet}:{n}".encode()).digest(4 * n)).cast("I")).encode()
 
 
-def _unlikely(text: str, start: int, end: int, reach: int = REACH) -> bool:
+@lru_cache(4)
+def _letters(data: bytes) -> tuple[Counter, Counter, int]:
+    """Letter pairs, letters and size of a dictionary."""
+    t = data.decode().lower().translate(_JOINTS)
+    return Counter(zip(t, t[1:], strict=False)), Counter(t), len(t)
+
+
+def _unlikely(text: str, start: int, end: int, reach: int = REACH, learned: bytes = b"") -> bool:
     """Letter pairs of the surroundings and identifiers explain text[start:end] no better than a draw from its alphabet."""
-    around = (IDENTIFIERS.decode() + " " + text[max(0, start - reach) : start] + " " + text[end : end + reach]).lower()
+    known_pairs, known_one, size = _letters(IDENTIFIERS + b" " + learned + b" ")
+    around = (text[max(0, start - reach) : start] + " " + text[end : end + reach]).lower().translate(_JOINTS)
     own = text[start:end]
-    pairs, one = Counter(zip(around, around[1:], strict=False)), Counter(around)
+    pairs, one = known_pairs + Counter(zip(around, around[1:], strict=False)), known_one + Counter(around)
+    size += len(around)
     cost, before = 0.0, " "
-    for c in own.lower():
-        single = (one[c] + 0.5) / (len(around) + 48)
+    for c in own.lower().translate(_JOINTS):
+        single = (one[c] + 0.5) / (size + 48)
         cost -= math.log2((pairs[before, c] + 4 * single) / (one[before] + 4))
         before = c
     return cost >= len(own) * math.log2(len(set(_alphabet(own).lower())))
 
 
-def novel(text: str, start: int, end: int, min_ratio: float = MIN_RATIO, reach: int = REACH) -> bool:
+def novel(text: str, start: int, end: int, min_ratio: float = MIN_RATIO, reach: int = REACH, learned: bytes = b"") -> bool:
     """text[start:end] is news to its surroundings."""
     own = text[start:end]
-    if (len(own) < LONG or not (LETTER.search(own) and DIGIT.search(own))) and not _unlikely(text, start, end, reach):
+    if not _unlikely(text, start, end, reach, learned):
         return False
-    cost = marginal_ratio(text, start, end, reach) * len(own)
+    cost = marginal_ratio(text, start, end, reach, learned) * len(own)
     if cost >= min_ratio * len(own):
         return True
-    return cost >= OF_RANDOM * _costs(text, start, end, reach, _random(_alphabet(own), len(own)))[0]
+    return cost >= OF_RANDOM * _costs(text, start, end, reach, learned, _random(_alphabet(own), len(own)))[0]
 
 
-def spans(text: str | None, min_ratio: float = MIN_RATIO) -> list[tuple[int, int, int]]:
+def spans(text: str | None, min_ratio: float = MIN_RATIO, learned: bytes = b"") -> list[tuple[int, int, int]]:
     """(start, kind number, end) of every span of a text, sorted."""
     if not text:
         return []
@@ -138,7 +162,7 @@ def spans(text: str | None, min_ratio: float = MIN_RATIO) -> list[tuple[int, int
             i += 1
         if i < len(taken) and taken[i][0] < e:
             continue
-        if novel(text, s, e, min_ratio):
+        if novel(text, s, e, min_ratio, learned=learned):
             found.append((s, 3, e))
     return sorted(found)
 
@@ -147,9 +171,13 @@ def _told(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in found)
 
 
-def scan(docs: DataFrame, text: str = "text", min_ratio: float = MIN_RATIO) -> DataFrame:
-    """``docs`` with ``secrets``: an array of (kind, start, end) for each text, as it is read, without a shuffle."""
+def scan(docs: DataFrame, text: str = "text", min_ratio: float = MIN_RATIO, learned: bytes | None = None) -> DataFrame:
+    """``docs`` with ``secrets``: an array of (kind, start, end) for each text, as it is read, without a shuffle.
+
+    ``learned``: what ``learn`` has returned; by default it is learned from ``docs``.
+    """
     ship(docs.sparkSession)
+    learned = learn(docs, text) if learned is None else learned
     kept = [c for c in docs.columns if c != "secrets"]
     docs = docs.select(*(F.col(f"`{c}`") for c in kept))
     one = T.StructType().add("kind", "string").add("start", "long").add("end", "long")
@@ -159,7 +187,7 @@ def scan(docs: DataFrame, text: str = "text", min_ratio: float = MIN_RATIO) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [
-                [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans(t.as_py(), min_ratio)] for t in b.column(text)
+                [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans(t.as_py(), min_ratio, learned)] for t in b.column(text)
             ]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, kind)], [*b.schema.names, "secrets"])
 
