@@ -4,8 +4,9 @@ A document is the set of its distinct shingles. Equal sets become one class firs
 rarest part of its shingles (prefix filter, by a global order of frequency), so that any two linked sets meet in some
 index list. Two relations between sets are used to skip work there:
 
-* within the index: each list is sorted by size; the sets that can still reach the threshold with a given one form a
-  block found by two searches, and places in the prefixes bound the overlap, so the rest of the list is skipped;
+* within the index: each list is sorted by size and place; the sizes that can still reach the threshold with a given
+  set form a block, and of each size only the places that leave room for a link are looked at: both are found by
+  search, the rest of the list is skipped;
 * between answers: in a long list the sets are held against one set of like size first. Those that are highly similar
   share its component, and in the second round only pairs whose components still differ are computed.
 
@@ -26,11 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import textkit
+from marlstone.llm.columns import unused
 from marlstone.llm.store import cut
 from marlstone.session import ship
 
@@ -42,6 +45,8 @@ HOT_FROM = 4
 #: Lists up to this length give all their pairs in the first round.
 SHORT = 12
 CHUNK = 1_000_000
+#: Names of sets that a task remembers so as to send equal sets once (some 25 MB); the index drops the repeats that are left.
+SEEN = 250_000
 _U = np.uint64
 
 
@@ -73,12 +78,13 @@ def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
         yield np.unique(textkit.shingles(h[at[i] : at[i + 1]], width))
 
 
-def _name(s: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit names of a set."""
+def _name(s: np.ndarray, shared: frozenset = frozenset()) -> tuple[int, int]:
+    """Two 64-bit names of a set; a first name that different sets share is mixed with the second one."""
     with np.errstate(over="ignore"):
         a = textkit.mix(s).sum(dtype=_U)
         b = textkit.mix(s ^ _U(0x5DEECE66D)).sum(dtype=_U)
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
+    a, b = int(a.astype(np.int64)), int(b.astype(np.int64))
+    return (a ^ b if a in shared else a), b
 
 
 def _bitmap(s: np.ndarray) -> bytes:
@@ -123,17 +129,17 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _distinct(column: pa.Array, width: int, seen: set) -> Iterator[tuple[int, np.ndarray]]:
+def _distinct(column: pa.Array, width: int, seen: set, shared: frozenset = frozenset()) -> Iterator[tuple[int, np.ndarray]]:
     """(name, set) of each set that this task has not met yet; the memory of names is bounded."""
     for s in _sets(column, width):
         if not len(s):
             continue
-        name = _name(s)[0]
-        if name in seen:
+        name, second = _name(s, shared)
+        if (name, second) in seen:
             continue
-        if len(seen) >= CHUNK:
+        if len(seen) >= SEEN:
             seen.clear()
-        seen.add(name)
+        seen.add((name, second))
         yield name, s
 
 
@@ -211,7 +217,7 @@ def frequent(docs: DataFrame, width: int, bits: int, hot_keys: int = HOT_KEYS) -
     return hot["key"].to_numpy(np.int64).astype(_U), hot["level"].to_numpy(np.uint8)
 
 
-def _entries(docs: DataFrame, width: int, percent: int, bits: int, hot) -> DataFrame:
+def _entries(docs: DataFrame, width: int, percent: int, bits: int, hot, shared: frozenset) -> DataFrame:
     """The index: for each chunk of sets and bucket, packed (key, set, place) and the sets' names and sizes."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +246,7 @@ def _entries(docs: DataFrame, width: int, percent: int, bits: int, hot) -> DataF
         total = 0
         for batch in batches:
             for i, j in textkit.slices(batch):
-                for name, s in _distinct(batch.column("text").slice(i, j - i), width, seen):
+                for name, s in _distinct(batch.column("text").slice(i, j - i), width, seen, shared):
                     n = len(s)
                     if len(keys):
                         k = s >> _U(32 - bits)
@@ -359,55 +365,77 @@ def _second_round(entries: DataFrame, percent: int, every: bool) -> DataFrame:
     work grows with the other sets' number times the length of their blocks.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def work() -> Iterator[pa.RecordBatch]:
-            name, n, place, comp = (np.array([r[k] for r in held], np.int64) for k in range(4))
-            order = np.lexsort((name, n))
-            name, n, place, comp = name[order], n[order], place[order], comp[order]
-            maps = [np.frombuffer(held[k][4], np.uint8) for k in order.tolist()]
-            width = np.array([len(x) for x in maps])
-            folded: dict[int, np.ndarray] = {}
-
-            def of(w: int) -> np.ndarray:
-                """All bitmaps that are no shorter, on ``w`` bytes."""
-                if w not in folded:
-                    folded[w] = np.stack([_fold(x, w) if len(x) >= w else np.zeros(w, np.uint8) for x in maps])
-                return folded[w]
-
-            _, inverse, sizes = np.unique(comp, return_inverse=True, return_counts=True)
-            odd = np.arange(len(n)) if every else np.flatnonzero(inverse != sizes.argmax())
-            low = np.searchsorted(n, _ceil(percent * n, 100))
-            high = np.searchsorted(n, n * 100 // percent, side="right")
-            got_a, got_b = [], []
-            for i in odd.tolist():
-                j = np.r_[np.arange(low[i], i), np.arange(i + 1, high[i])]
-                small, large = np.minimum(i, j), np.maximum(i, j)
-                ok = _possible(n[small], n[large], place[small], place[large], percent)
-                if not every:
-                    ok &= comp[j] != comp[i]
-                j = j[ok]
-                for w in np.unique(np.minimum(width[j], width[i])).tolist():
-                    k = j[np.minimum(width[j], width[i]) == w]
-                    m = of(w)
-                    apart = np.bitwise_count(m[k] ^ m[i]).sum(axis=1, dtype=np.int64)
-                    k = k[apart <= n[k] + n[i] - 2 * least_overlap(n[k], n[i], percent)]
-                    got_a.append(name[k])
-                    got_b.append(np.full(len(k), name[i]))
-            if got_a:
+    def work(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, n, place, comp = (np.concatenate([np.asarray(b.column(c)) for b in parts]).astype(np.int64) for c in ("a", "n", "place", "comp"))
+        maps = pa.chunked_array([b.column("bitmap") for b in parts])
+        order = np.lexsort((name, place, n))
+        name, n, place, comp = name[order], n[order], place[order], comp[order]
+        width = np.asarray(pc.binary_length(maps).combine_chunks())[order]
+        # the bitmaps of each width, later also on fewer bytes: sets of a block differ by few widths
+        row, folded = np.zeros(len(n), np.int64), {}
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            row[at] = np.arange(len(at))
+            folded[w, w] = np.stack([np.frombuffer(maps[k].as_buffer(), np.uint8) for k in order[at].tolist()])
+
+        def on(w: int, fewer: int) -> np.ndarray:
+            if (w, fewer) not in folded:
+                x = folded[w, w]
+                folded[w, fewer] = np.bitwise_xor.reduce(x.reshape(len(x), -1, fewer), axis=1)
+            return folded[w, fewer]
+
+        _, inverse, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+        odd = np.arange(len(n)) if every else np.flatnonzero(inverse != sizes.argmax())
+        size, start = np.unique(n, return_index=True)
+        at_place = (n << 32) | place  # sorted
+        got_a: list[np.ndarray] = []
+        got_b: list[np.ndarray] = []
+        held = 0
+        for i in odd.tolist():
+            m = size[np.searchsorted(size, _ceil(percent * n[i], 100)) : np.searchsorted(size, n[i] * 100 // percent, side="right")]
+            # of each size, only the places that leave room for a link are looked at
+            need = least_overlap(n[i], m, percent)
+            low = np.searchsorted(at_place, (m << 32) | np.maximum(need - n[i] + place[i], 0))
+            high = np.searchsorted(at_place, (m << 32) | np.clip(place[i] + m - need, -1, (1 << 32) - 2) + 1)
+            count = np.maximum(high - low, 0)
+            j = np.arange(int(count.sum())) + np.repeat(low - (np.cumsum(count) - count), count)
+            j = j[j != i]
+            small, large = np.minimum(i, j), np.maximum(i, j)
+            ok = _possible(n[small], n[large], place[small], place[large], percent)
+            if not every:
+                ok &= comp[j] != comp[i]
+            j = j[ok]
+            for w in np.unique(width[j]).tolist():
+                k = j[width[j] == w]
+                own = int(width[i])
+                fewer = min(w, own)
+                apart = np.bitwise_count(on(w, fewer)[row[k]] ^ on(own, fewer)[row[i]]).sum(axis=1, dtype=np.int64)
+                k = k[apart <= n[k] + n[i] - 2 * least_overlap(n[k], n[i], percent)]
+                got_a.append(name[k])
+                got_b.append(np.full(len(k), name[i]))
+                held += len(k)
+            if held >= CHUNK:
                 yield _found(0, *_pairs_of(np.concatenate(got_a), np.concatenate(got_b)))
+                got_a, got_b, held = [], [], 0
+        if got_a:
+            yield _found(0, *_pairs_of(np.concatenate(got_a), np.concatenate(got_b)))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         now = None
         for batch in batches:
-            for key, *row in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
-                if key != now and held:
-                    yield from work()
+            key = np.asarray(batch.column("list"))
+            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if i == j:
+                    continue
+                if key[i] != now and held:
+                    yield from work(held)
                     held = []
-                now = key
-                held.append(row)
+                now = key[i]
+                held.append(batch.slice(i, j - i))
         if held:
-            yield from work()
+            yield from work(held)
 
     return entries.repartition("list").sortWithinPartitions("list").mapInArrow(run, FOUND).select("a", "b")
 
@@ -500,15 +528,32 @@ def named(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return cut(rows.mapInArrow(run, "doc_id bigint, th bigint, n bigint, fp1 bigint, fp2 bigint, bitmap binary"))
 
 
-def links(docs: DataFrame, names: DataFrame, width: int = WIDTH, percent: int = PERCENT, every: bool = False) -> DataFrame:
-    """Links (a, b, overlap) between classes, named by fp1: enough to connect every component, or ``every`` one."""
+def _unmixed(names: DataFrame) -> tuple[DataFrame, frozenset]:
+    """``names`` in which different sets have different first names, and the first names that had to change.
+
+    Of n sets about n * n / 2**65 share one by chance (three of 10**10): so many come to the driver.
+    """
+    second = F.struct("fp2", "n")
+    both = names.where("n > 0").groupBy("fp1").agg(F.min(second).alias("p"), F.max(second).alias("q")).where("p <> q")
+    shared = frozenset(r.fp1 for r in both.select("fp1").collect())
+    if shared:
+        names = names.withColumn("fp1", F.when((F.col("n") > 0) & F.col("fp1").isin(*shared), F.col("fp1").bitwiseXOR(F.col("fp2"))).otherwise(F.col("fp1")))
+    return names, shared
+
+
+def links(docs: DataFrame, names: DataFrame, width: int = WIDTH, percent: int = PERCENT, every: bool = False, shared: frozenset | None = None) -> DataFrame:
+    """Links (a, b, overlap) between classes, named by fp1: enough to connect every component, or ``every`` one.
+
+    ``names``: what ``named`` has returned, or, with ``shared``, what ``_unmixed`` has."""
     spark = ship(docs.sparkSession)
     bits = max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     bits = min(bits, 16)
+    if shared is None:
+        names, shared = _unmixed(names)
     some = names.where("n > 0").groupBy("fp1", "fp2", "n")
     classes = some.agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("bitmap").alias("bitmap"))
     hot = spark.sparkContext.broadcast(frequent(docs, width, bits))
-    found = cut(_lists(_entries(docs, width, percent, bits, hot), percent, SHORT))
+    found = cut(_lists(_entries(docs, width, percent, bits, hot, shared), percent, SHORT))
     first = found.where("kind = 0").select("a", "b")
     long = found.where("kind = 1").select("list", "a", "n", "place")
     if long.isEmpty():
@@ -527,8 +572,8 @@ def links(docs: DataFrame, names: DataFrame, width: int = WIDTH, percent: int =
 
 def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The named rows, and for each set (fp1) its component and the component's first row: least (no_id, id, th)."""
-    names = named(docs, width)
-    comp = components(links(docs, names, width, percent))
+    names, shared = _unmixed(named(docs, width))
+    comp = components(links(docs, names, width, percent, shared=shared))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "th")).alias("least")
     sets = names.where("n > 0").groupBy("fp1").agg(first)
     tree = sets.join(comp, sets.fp1 == comp.node, "left").select("fp1", "least", F.coalesce("comp", "fp1").alias("comp"))
@@ -549,11 +594,13 @@ def drop_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     Rows without a set all stay; a row without an id stays only if no row of its component has one."""
     _, of = _classes(docs.select("doc_id", "text"), width, percent)
-    keep = of.select("least.*").distinct().select(F.col("id").alias("_d"), F.col("th").alias("_t"))
+    d, n, t = unused(docs, "_d", "_n", "_t")
+    keys = lambda i, h: (F.coalesce(i, F.lit(0)).alias(d), i.isNull().alias(n), h.alias(t))
+    keep = of.select("least.*").distinct().select(*keys(F.col("id"), F.col("th")))
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = docs.where(has_words).withColumn("_th", F.xxhash64("text"))
-    kept = rows.join(keep, rows.doc_id.eqNullSafe(keep["_d"]) & (F.col("_th") == keep["_t"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_th"]).drop("_th").unionByName(docs.where(~has_words))
+    rows = docs.where(has_words).select("*", *keys(F.col("doc_id"), F.xxhash64("text")))
+    kept = rows.join(keep, [d, n, t], "left_semi").dropDuplicates([d, n, t])
+    return kept.drop(d, n, t).unionByName(docs.where(~has_words))
 
 
 def digest(docs: DataFrame) -> DataFrame:

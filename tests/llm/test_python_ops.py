@@ -356,3 +356,21 @@ def test_every_link(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     names = setjoin.named(df)
     assert setjoin.links(df, names, every=True).count() == 30 * 29 // 2
+
+
+def test_sets_that_share_a_name(spark):
+    """Different sets with one first name get names of their own, alike on the driver and in tasks."""
+    rows = [(1, 5, 7, 9, 3), (2, 6, 7, 8, 3), (3, 5, 7, 9, 3), (4, 5, 1, 1, 3), (5, 0, 0, 0, 0), (6, 0, 0, 1, 0)]
+    names = spark.createDataFrame(rows, "doc_id bigint, th bigint, fp1 bigint, fp2 bigint, n bigint")
+    out, shared = setjoin._unmixed(names)
+    assert shared == {7} and {r.doc_id: r.fp1 for r in out.collect()} == {1: 7 ^ 9, 2: 7 ^ 8, 3: 7 ^ 9, 4: 1, 5: 0, 6: 0}
+    s = np.arange(9, dtype=np.uint64)
+    a, b = setjoin._name(s)
+    assert setjoin._name(s, frozenset([a])) == (a ^ b, b) and setjoin._name(s, frozenset([b])) == (a, b)
+
+
+def test_drop_duplicates_keeps_clashing_columns(edge):
+    df = edge.withColumns({c: F.lit("mine") for c in ("_th", "_d", "_t", "_n", "component_id")})
+    got = setjoin.drop_duplicates(df)
+    assert got.columns == df.columns and got.where("_t <> 'mine'").count() == 0
+    assert got.count() == setjoin.drop_duplicates(edge).count()
