@@ -35,6 +35,21 @@ def order_items(orders: DataFrame) -> DataFrame:
     return items.select("order_id", "final_status", "date", "update_ts", F.col("i.id").alias("product_id"), F.col("i.quantity").alias("count"), F.col("i.price").alias("price"), total.alias("total_sum"))
 
 
+def order_rows(orders: DataFrame) -> DataFrame:
+    """Dimension rows of parsed order documents."""
+    return orders.select(F.col("_id").alias("order_id"), F.col("restaurant.id").alias("restaurant_id"), F.col("user.id").alias("user_id"), "date", F.col("final_status").alias("order_status"), "update_ts")
+
+
+def user_rows(users: DataFrame) -> DataFrame:
+    """Dimension rows of parsed user documents."""
+    return users.select(F.col("_id").alias("user_id"), F.col("name").alias("user_name"), F.col("login").alias("user_login"), "update_ts")
+
+
+def restaurant_rows(restaurants: DataFrame) -> DataFrame:
+    """Dimension rows of parsed restaurant documents."""
+    return restaurants.select(F.col("_id").alias("restaurant_id"), F.col("name").alias("restaurant_name"), "update_ts")
+
+
 def bonus_items(events: DataFrame) -> DataFrame:
     """One row for each product payment of a parsed bonus event."""
     return events.select("order_id", F.explode("product_payments").alias("p")).select(

@@ -88,12 +88,15 @@ def scd2(current: DataFrame, snapshots: DataFrame, scope: str, key: list[str], c
     open_end = F.lit(OPEN_TO).cast("timestamp")
     stored = current.select(*k, *compare, F.col("active_from").alias("_at"), F.lit(True).alias("_on"))
     ended = current.where(F.col("active_to") < open_end).select(*k, *(F.lit(None).cast(current.schema[c].dataType).alias(c) for c in compare), F.col("active_to").alias("_at"), F.lit(False).alias("_on"))
-    # every snapshot says of every key of its scope, known before or not, whether it is there
-    known = current.select(*k).union(rows.select(*k)).distinct()
-    asked = known.join(times, scope)
-    said = asked.join(rows.withColumn("_here", F.lit(True)), [*k, effective], "left")
-    said = said.select(*k, *compare, F.col(effective).alias("_at"), F.coalesce("_here", F.lit(False)).alias("_on"))
-    events = stored.unionByName(ended).unionByName(said)
+    # a key ends at the first snapshot of its scope after it was seen that lacks it; only sightings are joined, not all
+    # keys with all snapshots
+    seen = rows.select(*k, *compare, F.col(effective).alias("_at"), F.lit(True).alias("_on"))
+    when = times.groupBy(scope).agg(F.array_sort(F.collect_list(effective)).alias("_times"))
+    last = stored.select(*k, "_at").unionByName(seen.select(*k, "_at")).join(when, scope)
+    gone = last.select(*k, F.get(F.filter("_times", lambda t: t > F.col("_at")), F.lit(0)).alias("_at")).where("_at IS NOT NULL").distinct()
+    gone = gone.join(seen.select(*k, "_at"), [*k, "_at"], "left_anti")
+    gone = gone.select(*k, *(F.lit(None).cast(current.schema[c].dataType).alias(c) for c in compare), "_at", F.lit(False).alias("_on"))
+    events = stored.unionByName(ended).unionByName(seen).unionByName(gone)
     # a stored change and a snapshot at one time: the snapshot is newer only if it says something else
     w = Window.partitionBy(*k).orderBy("_at", "_on")
     state = F.struct("_on", *compare)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import times
 from marlstone.functions.ids import hub_key, link_key
-from marlstone.operators.upsert import insert_absent, latest, upsert
+from marlstone.operators.upsert import insert_absent, latest, scd1, upsert
 
 MARKS = "workflow_key string, mark string"
 
@@ -63,19 +63,48 @@ def resolve_orders(orders: DataFrame, restaurants: DataFrame, stamps: DataFrame,
     return j.where(F.size("missing") == 0).drop("missing"), j.where(F.size("missing") > 0)
 
 
+def disjoint(dim: DataFrame, key: list[str]) -> DataFrame:
+    """Versions of a key as intervals that do not overlap: at any time the newest valid version holds.
+
+    Newest is the latest ``active_from``, then the latest ``active_to``, then the other columns. Intervals are cut at
+    all starts and ends of their key, so a nested version does not end the one around it. ``version_from`` is the
+    version's own start. Only the dimension is shuffled.
+    """
+    rest = [c for c in dim.columns if c not in (*key, "active_from", "active_to")]
+    d = dim.where("active_from < active_to")
+    at = d.select(*key, F.explode(F.array("active_from", "active_to")).alias("_at")).distinct()
+    at = at.withColumn("_to", F.lead("_at").over(Window.partitionBy(*key).orderBy("_at"))).where("_to IS NOT NULL").alias("p")
+    cond = [F.col(f"p.{k}") == F.col(f"d.{k}") for k in key] + [F.col("d.active_from") <= F.col("_at"), F.col("_at") < F.col("d.active_to")]
+    j = at.join(d.alias("d"), cond).select(*(F.col(f"p.{k}") for k in key), "_at", "_to", F.struct("d.active_from", "d.active_to", *(F.col(f"d.{c}") for c in rest)).alias("_v"))
+    won = j.groupBy(*key, "_at", "_to").agg(F.max("_v").alias("_v"))
+    return won.select(*key, *(F.col(f"_v.{c}").alias(c) for c in rest), F.col("_v.active_from").alias("version_from"), F.col("_at").alias("active_from"), F.col("_to").alias("active_to"))
+
+
 def as_of_join(facts: DataFrame, dim: DataFrame, key: list[str], ts: str, how: str = "left") -> DataFrame:
-    """The version of each fact's key that is valid at its time: [active_from, active_to).
+    """The newest version of each fact's key that is valid at its time: [active_from, active_to).
 
-    An equi-join on the key with the interval as a further condition; sound versions match once at most, and if stored
-    ones overlap, the newest wins without a window over the facts.
+    An equi-join on the key with the interval as a further condition; versions are made disjoint first, so a fact
+    meets one at most and no window or aggregate over the facts is needed.
     """
     rest = [c for c in dim.columns if c not in (*key, "active_from", "active_to")]
-    w = Window.partitionBy(*key).orderBy("active_from")
-    # cut each version at the start of the next, so that no fact meets two
-    d = dim.withColumn("_next", F.lead("active_from").over(w)).select(*key, *rest, "active_from", F.least("active_to", F.coalesce("_next", "active_to")).alias("active_to")).alias("d")
-    f = facts.alias("f")
+    d, f = disjoint(dim, key).alias("d"), facts.alias("f")
     cond = [F.col(f"f.{k}") == F.col(f"d.{k}") for k in key] + [F.col("d.active_from") <= F.col(f"f.{ts}"), F.col(f"f.{ts}") < F.col("d.active_to")]
-    return f.join(d, cond, how).select("f.*", *(F.col(f"d.{c}") for c in rest), F.col("d.active_from").alias("version_from"))
+    return f.join(d, cond, how).select("f.*", *(F.col(f"d.{c}") for c in rest), F.col("d.version_from").alias("version_from"))
+
+
+def known_products(bonuses: DataFrame, products: DataFrame) -> DataFrame:
+    """Bonus rows of products that the dimension has."""
+    return bonuses.join(products.select("product_id").distinct(), "product_id", "left_semi").select(*bonuses.columns)
+
+
+def audited(df: DataFrame, load_src: str, load_dt: Column | None = None) -> DataFrame:
+    """Rows with the time and source of their load."""
+    return df.select("*", (F.current_timestamp() if load_dt is None else load_dt).alias("load_dt"), F.lit(load_src).alias("load_src"))
+
+
+def order_dimension(stored: DataFrame, orders: DataFrame) -> DataFrame:
+    """New orders are added; of stored ones only the status follows."""
+    return scd1(stored, orders, ["order_id"], ["order_status"], ["update_ts"])
 
 
 def sales_fact(items: DataFrame, products: DataFrame, bonuses: DataFrame, ts: str = "date") -> DataFrame:

@@ -128,6 +128,3 @@ def category_counters(events: DataFrame) -> DataFrame:
     """User and category: distinct orders."""
     return events.groupBy("user_id", "category_id", "category_name").agg(F.countDistinct("order_id").alias("order_cnt"))
 
-
-def latest_by(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
-    return latest(df, keys, order_by)

@@ -54,11 +54,17 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only in local mode.
+
+    A cluster must set it: a folder of one machine would be invisible to the others.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         import tempfile
 
         at = tempfile.mkdtemp(prefix="spark-checkpoints-")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
