@@ -28,7 +28,9 @@ def read_mark(state: DataFrame, key: str, default=None):
 
 
 def write_mark(state: DataFrame, key: str, value) -> DataFrame:
-    """The state with a new mark for the pipeline; written last, after the batch."""
+    """The state with a new mark for the pipeline; written last, after the batch. An empty batch (None) leaves the mark."""
+    if value is None:
+        return state
     new = state.sparkSession.createDataFrame([(key, str(value))], MARKS)
     return upsert(state, new, ["workflow_key"], ["mark"])
 

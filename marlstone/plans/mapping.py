@@ -107,3 +107,32 @@ def price_snapshots(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").where("l_quantity > 0")
     price = F.col("l_extendedprice").cast("decimal(14,2)")
     return li.groupBy(F.col("l_suppkey").alias("restaurant_id"), F.col("l_partkey").alias("product_id"), F.trunc("l_shipdate", "year").cast("timestamp").alias("update_ts")).agg(F.max(price).alias("product_price"))
+
+
+def restaurant_docs(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as restaurant documents; the menu of each is every 25th part."""
+    p = table(spark, d, "part")
+    item = F.struct(F.col("p_partkey").cast("string").alias("_id"), F.col("p_name").alias("name"), F.col("p_retailprice").cast("decimal(14,2)").alias("price"), F.col("p_type").alias("category"))
+    menu = p.groupBy((F.col("p_partkey") % 25).cast("bigint").alias("k")).agg(F.sort_array(F.collect_list(item)).alias("menu"))
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"), F.col("n_nationkey").cast("string").alias("_id"), F.col("n_name").alias("name"))
+    return n.join(menu, "k", "left").select("_id", "name", F.coalesce("menu", F.array().cast("array<struct<_id:string,name:string,price:decimal(14,2),category:string>>")).alias("menu"), F.lit("1996-01-01").cast("timestamp").alias("update_ts"))
+
+
+def user_docs(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as user documents."""
+    return table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("_id"), F.col("c_name").alias("name"), F.lower("c_name").alias("login"), F.lit("1996-01-01").cast("timestamp").alias("update_ts"))
+
+
+def order_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as JSON messages; every third item has no price, and items have no category, so the menu must tell."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    price = F.when(F.col("l_linenumber") % 3 == 0, F.lit(0)).otherwise(F.col("l_extendedprice")).cast("decimal(19,5)")
+    item = F.struct("l_linenumber", F.col("l_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), price.alias("price"), F.col("l_quantity").cast("int").alias("quantity"))
+    items = table(spark, d, "lineitem").join(p, "l_partkey").groupBy(F.col("l_orderkey").alias("order_id")).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x.dropFields("l_linenumber")).alias("order_items"))
+    o = orders(spark, d).join(items, "order_id")
+    payload = F.struct(
+        F.struct(F.col("restaurant_id").cast("string").alias("id")).alias("restaurant"), F.col("date").cast("timestamp").alias("date"), F.struct(F.col("user_id").cast("string").alias("id")).alias("user"),
+        "order_items", F.lit(5).alias("cost"), F.lit(5).alias("payment"), F.col("order_status").alias("final_status"),
+    )
+    body = F.struct(F.col("order_id").alias("object_id"), F.lit("order").alias("object_type"), F.col("date").cast("timestamp").alias("sent_dttm"), payload.alias("payload"))
+    return o.select(F.to_json(body).alias("value"))

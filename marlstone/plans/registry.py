@@ -12,7 +12,7 @@ from marlstone.functions import ids, times
 from marlstone.operators import messages, places, upsert, warehouse
 from marlstone.operators.filters import changed
 from marlstone.plans import mapping as M
-from marlstone.plans import marts
+from marlstone.plans import loads, marts
 from marlstone.plans import oracles as O
 from marlstone.session import shared_dir, table
 from marlstone.streaming import campaigns, orders
@@ -273,3 +273,7 @@ def _(spark, d):
 @query("ids_uuid3", O.UUID3)
 def _(spark, d):
     return table(spark, d, "part").select("p_partkey", ids.uuid3(F.concat_ws("_", "p_name", "p_brand")).alias("key"))
+
+
+QUERIES |= loads.QUERIES
+ORACLES |= loads.ORACLES

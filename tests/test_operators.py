@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -267,3 +268,64 @@ def test_options():
     o = files.jdbc_options("u", "t", column="id", low=0, high=9, partitions=3)
     assert o == {"url": "u", "dbtable": "t", "partitionColumn": "id", "lowerBound": "0", "upperBound": "9", "numPartitions": "3"}
     assert sinks.kafka_options("s:1", "x", sasl__mechanism="PLAIN")["kafka.sasl.mechanism"] == "PLAIN"
+
+
+def test_as_of_nested_and_equal_starts(spark):
+    day = lambda n: f"2024-01-{n:02d}"
+    dim = spark.createDataFrame([(1, 1, 10, "outer"), (1, 3, 5, "inner"), (1, 3, 4, "short"), (1, 12, 12, "none"), (2, 1, 3, "b"), (2, 1, 3, "a")], "k int, f int, t int, v string")
+    dim = dim.select("k", "v", F.make_date(F.lit(2024), F.lit(1), "f").cast("timestamp").alias("active_from"), F.make_date(F.lit(2024), F.lit(1), "t").cast("timestamp").alias("active_to"))
+    facts = spark.createDataFrame([(1, day(n)) for n in (1, 2, 3, 4, 5, 7, 9, 10, 12)] + [(2, day(1)), (2, day(2)), (2, day(3)), (3, day(1))], "k int, at string").withColumn("at", F.col("at").cast("timestamp"))
+    got = {(r.k, r["at"].day): r.v for r in warehouse.as_of_join(facts, dim, ["k"], "at").collect()}
+    assert got == {(1, 1): "outer", (1, 2): "outer", (1, 3): "inner", (1, 4): "inner", (1, 5): "outer", (1, 7): "outer", (1, 9): "outer", (1, 10): None, (1, 12): None, (2, 1): "b", (2, 2): "b", (2, 3): None, (3, 1): None}
+
+
+def test_swap_recovers(spark, tmp_path):
+    """A stop before, between and after the renames loses nothing."""
+    path = str(tmp_path / "t")
+    one, two = spark.createDataFrame([(1,)], "k int"), spark.createDataFrame([(2,)], "k int")
+    sinks.swap(spark, one, path)
+    two.write.parquet(f"{path}.new-a")  # before the renames: the old table stays
+    sinks.recover(spark, path)
+    assert spark.read.parquet(path).first().k == 1
+    os.rename(path, f"{path}.old-a")  # between them: the new one is whole and takes its place
+    sinks.recover(spark, path)
+    assert spark.read.parquet(path).first().k == 2
+    os.rename(path, f"{path}.old-b")  # without a whole new one, the old one comes back
+    sinks.recover(spark, path)
+    assert spark.read.parquet(path).first().k == 2
+    sinks.swap(spark, one, path)
+    assert spark.read.parquet(path).first().k == 1 and sorted(os.listdir(tmp_path)) == ["t"]
+
+
+def test_scd2_joins_sightings_only(spark):
+    """Keys that differ by snapshot: rows joined grow with sightings, not with keys times snapshots."""
+    keys, snaps = 2_000, 50
+    at = F.expr("timestamp'2001-01-01' + make_interval(0, 0, 0, s)")
+    batch = spark.range(keys).select(F.lit("r").alias("restaurant_id"), F.col("id").cast("string").alias("product_id"), F.lit(1).cast("decimal(14,2)").alias("price"), (F.col("id") % snaps).cast("int").alias("s"))
+    batch = batch.withColumn("update_ts", at).drop("s")
+    empty = batch.limit(0).select("restaurant_id", "product_id", "price", F.col("update_ts").alias("active_from"), F.col("update_ts").alias("active_to"))
+    out = scd2(empty, batch)
+    length = F.datediff("active_to", "active_from")
+    assert out.count() == keys
+    # the first version of a key opens early; each ends at the scope's next snapshot, the last day's stay open
+    assert out.where("active_to = timestamp'2099-12-31'").count() == keys // snaps and out.where(length < 0).count() == 0
+    ends = {(int(r.product_id) % snaps, r.active_to.day + 31 * (r.active_to.month - 1)) for r in out.where("active_to < timestamp'2099-12-31'").collect()}
+    assert ends == {(k, k + 2) for k in range(snaps - 1)}
+
+
+def test_jdbc_round_trip(spark, tmp_path):
+    """Rows go to a relational table and come back in parallel parts, with a filter that is sent along."""
+    o = {"url": f"jdbc:derby:{tmp_path}/db;create=true", "table": "T", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    df = spark.range(20).select(F.col("id").alias("K"), (F.col("id") * 2).alias("V"))
+    sinks.append_jdbc(df.where("K < 10"), **o)
+    sinks.append_jdbc(df.where("K >= 10"), **o)
+    back = files.read_jdbc(spark, **o, column="K", low=0, high=20, partitions=4)
+    assert back.rdd.getNumPartitions() == 4 and sorted(map(tuple, back.collect())) == [(i, 2 * i) for i in range(20)]
+    assert "PushedFilters: [*IsNotNull(K), *GreaterThan(K,15)]" in back.where("K > 15")._jdf.queryExecution().toString()
+
+
+def test_empty_rejects_drop_the_former_table(spark, tmp_path):
+    path = str(tmp_path / "rejects")
+    bad = spark.createDataFrame([("x", 1)], "_bad string, batch int")
+    assert sinks.write_rejects(bad, path) == 1 and os.path.exists(path)
+    assert sinks.write_rejects(bad.limit(0), path) == 0 and not os.path.exists(path)
