@@ -15,11 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.columns import NOT_ALNUM, ascii_lower, let, whole, words
+from marlstone.llm.columns import NOT_ALNUM, ascii_lower, let, unused, whole, words
 
 WIDTH = 10
 #: A test window is a hash, a length and its words: about 200 bytes, so this many stay under 40 MB.
 BROADCAST_ROWS = 200_000
+#: ... and only if their words and ids are no longer than this.
+BROADCAST_BYTES = 40_000_000
 
 
 def normal_words(text: Column) -> Column:
@@ -55,22 +57,27 @@ def scan(
     docs: DataFrame,
     benchmark: DataFrame,
     width: int = WIDTH,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Verified hits, one row for each (doc_id, th): th is the text's hash, hits an array of (start, len, items)."""
     grams = test_windows(benchmark, width)
     # at most `width` lengths exist, whatever the size of the benchmark
-    sizes = {r["len"]: r["n"] for r in grams.groupBy("len").agg(F.count("*").alias("n")).collect()}
-    small = F.broadcast if sum(sizes.values()) <= broadcast_rows else lambda x: x
+    held = F.sum(F.octet_length("gram") + F.octet_length(F.array_join("items", ",")) + 64)
+    sizes = grams.groupBy("len").agg(F.count("*").alias("n"), held.alias("bytes")).collect()
+    few = sum(r["n"] for r in sizes) <= (BROADCAST_ROWS if broadcast_rows is None else broadcast_rows)
+    small = F.broadcast if few and sum(r["bytes"] for r in sizes) <= BROADCAST_BYTES else lambda x: x
+    lengths = sorted(r["len"] for r in sizes)
     base = docs.select("doc_id", F.col("text"), F.xxhash64(whole(F.col("text"))).alias("th"))
     tokens = base.select("doc_id", "th", F.explode(F.array(normal_words(F.col("text")))).alias("w"))
-    found = None
-    for n in sorted(sizes):
-        at = tokens.select("doc_id", "th", F.posexplode(_windows(F.col("w"), n)).alias("start", "h"))
-        keys = grams.where(F.col("len") == n).select("h").distinct()
-        part = at.join(small(keys), "h").select("doc_id", "th", "start", F.lit(n).alias("len"))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    if lengths:
+        # windows of all lengths in one pass over a document
+        def placed(n: int) -> Column:
+            return F.transform(_windows(F.col("w"), n), lambda h, i: F.struct(h.alias("h"), i.alias("start"), F.lit(n).alias("len")))
+
+        each = [placed(n) for n in lengths]
+        at = tokens.select("doc_id", "th", F.explode(F.concat(*each)).alias("x")).select("doc_id", "th", "x.*")
+        found = at.join(small(grams.select("len", "h").distinct()), ["len", "h"]).select("doc_id", "th", "start", "len")
+    else:
         found = docs.sparkSession.createDataFrame([], "doc_id bigint, th bigint, start int, len int")
     found = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "len")).alias("maybe"))
     found = found.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "maybe")
@@ -94,24 +101,25 @@ def scan(
     return hits.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "len", "items")).alias("hits"))
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def mark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, broadcast_rows: int | None = None) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items (sorted as strings), hit_words (their places) and contaminated."""
     own = {"n_words", "n_hit", "n_items", "items", "hit_words", "contaminated"}
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    d, t, i, p, h = unused(docs, "_d", "_t", "_items", "_places", "_th")
     hits = scan(docs, benchmark, width, broadcast_rows).select(
-        F.col("doc_id").alias("_d"),
-        F.col("th").alias("_t"),
-        F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"])))).alias("_items"),
+        F.col("doc_id").alias(d),
+        F.col("th").alias(t),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"])))).alias(i),
         F.array_sort(
             F.array_distinct(
                 F.flatten(F.transform("hits", lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1)))
             )
-        ).alias("_places"),
+        ).alias(p),
     )
-    left = docs.select(*rest, F.xxhash64(whole(F.col("text"))).alias("_th"), F.size(normal_words(F.col("text"))).cast("long").alias("n_words"))
-    out = left.join(hits, left.doc_id.eqNullSafe(hits._d) & (left._th == hits._t), "left")
-    items = F.coalesce("_items", F.array().cast("array<string>"))
-    places = F.coalesce("_places", F.array().cast("array<int>"))
+    left = docs.select(*rest, F.xxhash64(whole(F.col("text"))).alias(h), F.size(normal_words(F.col("text"))).cast("long").alias("n_words"))
+    out = left.join(hits, left.doc_id.eqNullSafe(hits[d]) & (left[h] == hits[t]), "left")
+    items = F.coalesce(i, F.array().cast("array<string>"))
+    places = F.coalesce(p, F.array().cast("array<int>"))
     return out.select(
         *rest,
         "n_words",
@@ -123,15 +131,25 @@ def mark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, broadcast_ro
     )
 
 
+def _carried(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """Ids, texts and all other columns of ``docs`` in a struct, so that none of them is replaced; and those of ``docs``."""
+    (own,) = unused(docs, "_row")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    held = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.lit(None)
+    return docs.select("doc_id", "text", held.alias(own)), [F.col(own)[c].alias(c) if c in rest else F.col(c) for c in docs.columns]
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.0, **how) -> DataFrame:
     """The documents of which at most ``max_share`` of the words are hit, with the columns of ``docs``."""
-    m = mark(docs, benchmark, **how)
-    return m.where(F.col("n_hit") <= F.col("n_words") * F.lit(max_share)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows, own = _carried(docs)
+    m = mark(rows, benchmark, **how)
+    return m.where(F.col("n_hit") <= F.col("n_words") * F.lit(max_share)).select(*own)
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """``docs`` with every hit word, and the separators behind it, taken out of the text."""
-    m = mark(docs, benchmark, **how)
+    rows, own = _carried(docs)
+    m = mark(rows, benchmark, **how)
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x60\x7B-\x7F]*"
     lead = F.regexp_extract("text", r"^[\x00-\x2F\x3A-\x60\x7B-\x7F]*", 0)
     pieces = F.regexp_extract_all("text", F.lit(f"({word})"), F.lit(1))
@@ -154,7 +172,7 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
         lead, F.array_join(F.filter(F.zip_with(pieces, flags, lambda w, hit: F.when(~hit, w)), lambda x: x.isNotNull()), "")
     )
     text = F.when(F.col("contaminated"), cut).otherwise(F.col("text"))
-    return m.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    return m.select(*(text.alias("text") if c == "text" else x for c, x in zip(docs.columns, own, strict=True)))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -1,21 +1,12 @@
-"""The folder that driver and executors share, for checkpoints and written tables."""
+"""Tables that a job keeps in the folder that driver and executors share."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` as the cluster has set it; only where it is unset (local tests) a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="spark-checkpoints-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+from marlstone.session import shared_dir
 
 
 def cut(df: DataFrame) -> DataFrame:

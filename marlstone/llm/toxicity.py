@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from marlstone.llm import textkit
 from marlstone.llm.columns import NOT_ALNUM, ascii_lower, whole, words
+from marlstone.llm.store import cut
 from marlstone.session import ship
 
 MAX_ROWS = 20_000
@@ -125,9 +126,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, prior: flo
     n = known.count()
     if n > max_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(max_rows / n * (1 << 20)))
-    rows = docs.select("doc_id", "text").join(known, "doc_id").select(F.col("toxic").alias("y"), "text")
+    # known has about max_rows ids at most (some 300 kB), so the texts stay where they are; rows is kept for its three uses
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.col("toxic").alias("y"), "text")
     # copies of a text tell nothing new
-    rows = rows.dropDuplicates(["y", "text"])
+    rows = cut(rows.dropDuplicates(["y", "text"]))
     each = rows.select("y", F.explode(F.array_distinct(tokens(F.col("text")))).alias("t"))
     counts = each.groupBy("t").agg(
         F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("b")

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.llm.columns import unused
+
 #: A host's row is its name and some intervals: about 300 bytes, so this many stay under 30 MB.
 BROADCAST_ROWS = 100_000
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
@@ -50,20 +52,21 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "
         "host",
         F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("pattern"),
     )
+    k, o, w = unused(captures, "_known", "_host", "_now")
     known = parents.join(validity(entries), "pattern").groupBy("host").agg(
         F.collect_list(
             F.struct(F.length("pattern").alias("size"), "valid_from", "list", "pattern", "valid_to")
-        ).alias("_known")
+        ).alias(k)
     )
-    known = known.withColumnRenamed("host", "_host")
+    known = known.withColumnRenamed("host", o)
     if known.count() <= broadcast_rows:
         known = F.broadcast(known)
-    j = c.join(known, c.host == known["_host"], "left")
+    j = c.join(known, c.host == known[o], "left")
     when = F.col(f"`{at}`")
-    now = F.filter("_known", lambda x: (x["valid_from"] <= when) & (x["valid_to"].isNull() | (when < x["valid_to"])))
-    j = j.select(*rest, "host", F.explode(F.array(F.coalesce(now, F.slice("_known", 1, 0)))).alias("_now"))
-    top = F.array_max("_now")
-    n = F.coalesce(F.size("_now"), F.lit(0))
+    now = F.filter(k, lambda x: (x["valid_from"] <= when) & (x["valid_to"].isNull() | (when < x["valid_to"])))
+    j = j.select(*rest, "host", F.explode(F.array(F.coalesce(now, F.slice(k, 1, 0)))).alias(w))
+    top = F.array_max(w)
+    n = F.coalesce(F.size(w), F.lit(0))
     return j.select(
         *rest,
         "host",

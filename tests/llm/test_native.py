@@ -94,6 +94,19 @@ def test_decontamination(spark, edge, edge_rows, empty, rows, monkeypatch):
     assert kept == sum(not x[5] for x in want)
 
 
+def test_decontamination_keeps_clashing_columns(spark, edge, edge_rows):
+    names = ("_th", "_d", "_t", "_items", "_places", "_row", "n_words", "items", "h", "len")
+    df = edge.withColumns({c: F.lit("mine") for c in names})
+    bench = spark.createDataFrame([(1, "one two three")], "item_id bigint, text string")
+    kept = decontaminate.drop_contaminated(df, bench)
+    assert kept.columns == df.columns and kept.count() == decontaminate.drop_contaminated(edge, bench).count()
+    assert kept.where(" OR ".join(f"{c} <> 'mine'" for c in names)).count() == 0
+    cut = decontaminate.cut_spans(df, bench)
+    assert cut.columns == df.columns and cut.where("n_words <> 'mine'").count() == 0
+    marked = decontaminate.mark(df, bench)
+    assert marked.where("_th <> 'mine'").count() == 0 and marked.where("contaminated").count() > 0
+
+
 PEOPLE = "Mr. John Smith wrote to Frau Müller and Señora Ana Ruiz; Господин Иван Петров too."
 THINGS = "mail a.b@mail3.example.com, card 4111 1111 1111 1111 or 4111111111111112, 10.1.2.3 and 8.8.4.4, +1 (555) 123-4567, 123-45-6789"
 
@@ -189,6 +202,13 @@ def test_url_lists(spark):
     assert urllists.judge(c, e.limit(0)).where("listed").count() == 0 and urllists.judge(c.limit(0), e).count() == 0
 
 
+def test_url_lists_keep_clashing_columns(spark):
+    e = spark.createDataFrame([("l", "bad.org", "add", 10)], "list string, pattern string, action string, at int")
+    c = spark.createDataFrame([(1, "http://a.bad.org/x", 12)], "page_id int, url string, fetched_at int").withColumns({x: F.lit("mine") for x in ("_known", "_now", "_host", "listed")})
+    r = urllists.judge(c, e).first()
+    assert (r._known, r._now, r._host, r.listed, r.pattern) == ("mine", "mine", "mine", True, "bad.org")
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_oracles(spark, name):
     d = duckdb.connect()
