@@ -2,6 +2,13 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+Defined results of every stage: an empty table gives an empty result of the same columns, and extra columns are left
+behind. Null and empty texts are rejected by the first stage, as they have fewer than 50 words; where a later stage is
+given one, it stays, is linked with nothing, has no entities, and gets null ids (null) or none (empty). Whole texts are
+worked on, however long. Repeated rows of an id and text are judged alike; the second stage keeps one of them, and of a
+group the smallest id, then the smallest hash of the text. A null id is no reason to drop a row, but a row without one
+stays only if no copy of it has an id.
 """
 
 from __future__ import annotations
