@@ -46,3 +46,24 @@ def test_entry():
 
     assert "pipeline" in e.queries() and sum(n.startswith("op") for n in e.queries()) == 10
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_stages_on_edges(spark, edge, edge_rows, empty):
+    """Nulls, empty and very long texts, ties, repeats, extra columns and no rows at all, stage by stage."""
+    wide = edge.selectExpr("*", "'mine' AS n_words", "'mine' AS _th", "'mine' AS _d", "'mine' AS kept")
+    for name, stage in pipeline.STAGES:
+        got = stage(spark, wide, SF)
+        n = got.count()
+        assert stage(spark, empty, SF).count() == 0
+        if name == "sentence_pieces":
+            assert n == len(edge_rows) and got.columns == ["doc_id", "ids", "n_tokens"]
+            assert got.where("ids IS NULL").count() == sum(r[1] is None for r in edge_rows)
+            continue
+        assert got.columns == list(pipeline.COLUMNS) and n <= len(edge_rows)
+        texts = [r.text for r in got.collect()]
+        if name == "quality_rules":
+            assert None not in texts and "" not in texts
+        else:
+            assert texts.count(None) == sum(r[1] is None for r in edge_rows) and texts.count("") == 1
+        if name == "pii_surrogates":
+            assert n == len(edge_rows)
