@@ -45,6 +45,12 @@ HOT_FROM = 4
 #: Lists up to this length give all their pairs in the first round.
 SHORT = 12
 CHUNK = 1_000_000
+#: No task holds more than about twice so many entries of one list: longer lists are worked on in blocks of this size.
+BLOCK = 4096
+#: Shingles that a bucket of the index is meant for.
+BUCKET = 1 << 21
+#: Tasks that the rows of one list are dealt over where they learn a fact of it.
+SPREAD = 16
 #: Names of sets that a task remembers so as to send equal sets once (some 25 MB); the index drops the repeats that are left.
 SEEN = 250_000
 _U = np.uint64
@@ -217,11 +223,16 @@ def frequent(docs: DataFrame, width: int, bits: int, hot_keys: int = HOT_KEYS) -
     return hot["key"].to_numpy(np.int64).astype(_U), hot["level"].to_numpy(np.uint8)
 
 
-def _entries(docs: DataFrame, width: int, percent: int, bits: int, hot, shared: frozenset) -> DataFrame:
-    """The index: for each chunk of sets and bucket, packed (key, set, place) and the sets' names and sizes."""
+def _entries(docs: DataFrame, width: int, percent: int, bits: int, hot, shared: frozenset, block: int) -> DataFrame:
+    """The index: for each chunk of sets and bucket, packed (key, set, place) and the sets' names and sizes.
+
+    Entries of shingles that ``block`` sets or more have go past the buckets, as (list, set, size, place) in blobs of their
+    own numbers, from 1 << bits on: their lists are long, and no task is to gather them.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, levels = hot.value
+        least_level = max(block - 1, 1).bit_length()
         seen: set = set()
         names: list[int] = []
         sizes: list[int] = []
@@ -232,16 +243,25 @@ def _entries(docs: DataFrame, width: int, percent: int, bits: int, hot, shared:
             counts = [len(x) for x in held]
             owner = np.repeat(np.arange(len(held), dtype=np.uint32), counts)
             place = np.concatenate([np.arange(c, dtype=np.uint32) for c in counts])
+            all_names, all_sizes = np.array(names, np.int64).astype(_U), np.array(sizes, np.uint32)
+            k = h >> _U(32 - bits)
+            far = np.zeros(len(h), bool)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+                far = (keys[at] == k) & (levels[at] >= least_level)
+            of = owner[far]
+            apart = [_pack(k[far], all_names[of], all_sizes[of], place[far])] if far.any() else []
+            h, owner, place = h[~far], owner[~far], place[~far]
             order = np.argsort(h, kind="stable")
             h, owner, place = h[order], owner[order], place[order]
-            all_names, all_sizes = np.array(names, np.int64).astype(_U), np.array(sizes, np.uint32)
             out: list[bytes] = []
             parts = _split(h, bits)
             for _, i, j in parts:
                 mine, local = np.unique(owner[i:j], return_inverse=True)
                 low = ((h[i:j] << _U(bits)) >> _U(32)).astype(np.uint32)
                 out.append(_pack(np.diff(low, prepend=np.uint32(0)), local.astype(np.uint32), place[i:j], all_names[mine], all_sizes[mine]))
-            return _blobs([k for k, _, _ in parts], out)
+            beyond = [(1 << bits) + int(all_names[0] & _U((1 << bits) - 1))] * len(apart)
+            return _blobs([b for b, _, _ in parts] + beyond, out + apart)
 
         total = 0
         for batch in batches:
@@ -295,11 +315,16 @@ def _pairs_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[new]
 
 
-def _lists(index: DataFrame, percent: int, short: int) -> DataFrame:
-    """Kind 0: candidate pairs (a, b). Kind 1: the entries (set a, size, place) of lists longer than ``short``."""
+def _lists(index: DataFrame, percent: int, short: int, bits: int) -> DataFrame:
+    """Kind 0: candidate pairs (a, b). Kind 1: the entries (set a, size, place) of lists longer than ``short``, and of those
+    that went past the buckets; of the latter, repeats are left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, blobs in _gathered(batches):
+            if bucket >= 1 << bits:
+                for whole, name, n, place in map(_unpack, blobs):
+                    yield _found(1, name.astype(np.int64), name.astype(np.int64), n, place, whole)
+                continue
             parts = [_unpack(x) for x in blobs]
             key = np.concatenate([np.cumsum(p[0], dtype=np.uint32) for p in parts])
             name = np.concatenate([p[3][p[1]] for p in parts]).astype(np.int64)
@@ -338,6 +363,17 @@ def _lists(index: DataFrame, percent: int, short: int) -> DataFrame:
     return index.mapInArrow(run, FOUND)
 
 
+def _told(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` of sets (a) with the one row of ``facts`` for their keys; the rows of a key are dealt over SPREAD tasks."""
+    dealt = facts.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return rows.withColumn("_s", F.pmod(F.hash("a"), F.lit(SPREAD))).join(dealt, [*keys, "_s"]).drop("_s")
+
+
+def _kind(n, percent: int):
+    """The class of a set by its size: linked sets are of the same class or of neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / percent)) + F.lit(1e-9)).cast("int")
+
+
 def _stars(long: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b): each set of a long list with the list's leader, and with that of its sets of like size.
 
@@ -346,30 +382,69 @@ def _stars(long: DataFrame, percent: int) -> DataFrame:
     combined before they are shuffled.
     """
     e = long.join(long.groupBy("a").agg(F.count("*").alias("degree")), "a")
-    kind = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))
     out = None
     for keys in (["list"], ["list", "kind"]):
-        x = e.withColumn("kind", kind)
+        x = e.withColumn("kind", _kind(F.col("n"), percent))
         lead = x.groupBy(*keys).agg(F.max(F.struct("degree", (-F.col("a")).alias("r"), "a", "n")).alias("lead"))
-        x = x.join(lead.select(*keys, F.col("lead.a").alias("b"), F.col("lead.n").alias("m")), keys)
+        x = _told(x, lead.select(*keys, F.col("lead.a").alias("b"), F.col("lead.n").alias("m")), keys)
         x = x.where((F.col("a") != F.col("b")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
         x = x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         out = x if out is None else out.unionByName(x)
     return out.distinct()
 
 
+def _odd(entries: DataFrame, every: bool) -> DataFrame:
+    """The entries of lists that name several components (all lists, with ``every``), with three facts.
+
+    ``odd``: the set is outside of the list's most frequent component (or ``every`` set is); ``total`` and ``outside``:
+    the numbers of entries and of odd ones in the list. All are aggregates, combined before they are shuffled.
+    """
+    sizes = entries.groupBy("list", "comp").agg(F.count("*").alias("size"))
+    top = F.max(F.struct("size", "comp"))
+    facts = sizes.groupBy("list").agg(top.alias("top"), F.count("*").alias("comps"), F.sum("size").alias("total"))
+    if not every:
+        facts = facts.where("comps > 1")
+    outside = F.col("total") if every else F.col("total") - F.col("top.size")
+    out = _told(entries, facts.select("list", F.col("top.comp").alias("main"), "total", outside.alias("outside")), ["list"])
+    return out.withColumn("odd", F.lit(True) if every else F.col("comp") != F.col("main")).drop("main")
+
+
+def _blocks(entries: DataFrame, percent: int, block: int) -> DataFrame:
+    """Entries dealt into groups (grp) in which those of role 1 or 2 are held against those of role 0 or 2.
+
+    A list of ``block`` entries at most is one group. A longer one is cut into blocks by size class and by hash; its odd
+    sets are cut by hash likewise, and each such part meets the blocks of its own class and of the neighbouring ones: any
+    two sets that can be linked meet in one group, which holds about twice ``block`` entries at most.
+    """
+    part = lambda n: F.greatest(F.ceil(n / block), F.lit(1)).cast("int")
+    own = lambda n, seed: F.pmod(F.xxhash64("a", F.lit(seed)), n.cast("long")).cast("int")
+    at = lambda kind, row, col, role: F.struct(
+        F.xxhash64("list", kind, row, col).alias("grp"), F.lit(role).alias("role")
+    )
+    x = entries.withColumns({"_k": _kind(F.col("n"), percent), "_r": part(F.col("total")), "_c": part(F.col("outside"))})
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    lies = F.transform(upto("_c"), lambda c: at(F.col("_k"), own(F.col("_r"), 1), c, 0))
+    kinds = F.array(F.col("_k") - 1, F.col("_k"), F.col("_k") + 1)
+    asks = F.flatten(F.transform(kinds, lambda k: F.transform(upto("_r"), lambda r: at(k, r, own(F.col("_c"), 2), 1))))
+    whole = F.array(F.struct(F.col("list").alias("grp"), F.when(F.col("odd"), 2).otherwise(0).alias("role")))
+    to = F.when(F.col("_r") == 1, whole).when(F.col("odd"), F.concat(lies, asks)).otherwise(lies)
+    return x.select("a", "n", "place", "comp", "odd", "bitmap", F.explode(to).alias("to")).select("to.*", "a", "n", "place", "comp", "odd", "bitmap")
+
+
 def _second_round(entries: DataFrame, percent: int, every: bool) -> DataFrame:
     """Candidate pairs of long lists whose components differ (or all, with ``every``), if their bitmaps leave room.
 
-    ``entries``: list, a, n, place, comp, bitmap. The list's most frequent component needs no pairs within it, so the
-    work grows with the other sets' number times the length of their blocks.
+    ``entries``: grp, role, a, n, place, comp, odd, bitmap. The list's most frequent component needs no pairs within it, so
+    the work grows with the other sets' number times the length of their blocks.
     """
 
     def work(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, n, place, comp = (np.concatenate([np.asarray(b.column(c)) for b in parts]).astype(np.int64) for c in ("a", "n", "place", "comp"))
+        columns = ("a", "n", "place", "comp", "role")
+        name, n, place, comp, role = (np.concatenate([np.asarray(b.column(c)) for b in parts]).astype(np.int64) for c in columns)
+        strange = np.concatenate([b.column("odd").to_numpy(zero_copy_only=False) for b in parts]).astype(bool)
         maps = pa.chunked_array([b.column("bitmap") for b in parts])
         order = np.lexsort((name, place, n))
-        name, n, place, comp = name[order], n[order], place[order], comp[order]
+        name, n, place, comp, role, strange = (x[order] for x in (name, n, place, comp, role, strange))
         width = np.asarray(pc.binary_length(maps).combine_chunks())[order]
         # the bitmaps of each width, later also on fewer bytes: sets of a block differ by few widths
         row, folded = np.zeros(len(n), np.int64), {}
@@ -384,14 +459,15 @@ def _second_round(entries: DataFrame, percent: int, every: bool) -> DataFrame:
                 folded[w, fewer] = np.bitwise_xor.reduce(x.reshape(len(x), -1, fewer), axis=1)
             return folded[w, fewer]
 
-        _, inverse, sizes = np.unique(comp, return_inverse=True, return_counts=True)
-        odd = np.arange(len(n)) if every else np.flatnonzero(inverse != sizes.argmax())
-        size, start = np.unique(n, return_index=True)
+        asks, lies = np.flatnonzero(role > 0), role != 1
+        if not len(asks) or not lies.any():
+            return
+        size = np.unique(n)
         at_place = (n << 32) | place  # sorted
         got_a: list[np.ndarray] = []
         got_b: list[np.ndarray] = []
         held = 0
-        for i in odd.tolist():
+        for i in asks.tolist():
             m = size[np.searchsorted(size, _ceil(percent * n[i], 100)) : np.searchsorted(size, n[i] * 100 // percent, side="right")]
             # of each size, only the places that leave room for a link are looked at
             need = least_overlap(n[i], m, percent)
@@ -399,7 +475,8 @@ def _second_round(entries: DataFrame, percent: int, every: bool) -> DataFrame:
             high = np.searchsorted(at_place, (m << 32) | np.clip(place[i] + m - need, -1, (1 << 32) - 2) + 1)
             count = np.maximum(high - low, 0)
             j = np.arange(int(count.sum())) + np.repeat(low - (np.cumsum(count) - count), count)
-            j = j[j != i]
+            # two odd sets meet twice: the one with the smaller name asks
+            j = j[lies[j] & (name[j] != name[i]) & (~strange[j] | (name[j] > name[i]))]
             small, large = np.minimum(i, j), np.maximum(i, j)
             ok = _possible(n[small], n[large], place[small], place[large], percent)
             if not every:
@@ -424,7 +501,7 @@ def _second_round(entries: DataFrame, percent: int, every: bool) -> DataFrame:
         held: list[pa.RecordBatch] = []
         now = None
         for batch in batches:
-            key = np.asarray(batch.column("list"))
+            key = np.asarray(batch.column("grp"))
             edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
             for i, j in zip(edges, edges[1:], strict=False):
                 if i == j:
@@ -437,7 +514,7 @@ def _second_round(entries: DataFrame, percent: int, every: bool) -> DataFrame:
         if held:
             yield from work(held)
 
-    return entries.repartition("list").sortWithinPartitions("list").mapInArrow(run, FOUND).select("a", "b")
+    return entries.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, FOUND).select("a", "b")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -541,48 +618,59 @@ def _unmixed(names: DataFrame) -> tuple[DataFrame, frozenset]:
     return names, shared
 
 
-def links(docs: DataFrame, names: DataFrame, width: int = WIDTH, percent: int = PERCENT, every: bool = False, shared: frozenset | None = None) -> DataFrame:
+def _bits(names: DataFrame) -> int:
+    """The index has 1 << bits buckets: as many as shuffle partitions, and more for more than BUCKET shingles in each."""
+    total = names.agg(F.sum("n")).first()[0] or 0
+    least = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(4, (max(least, total // BUCKET) - 1).bit_length()), 16)
+
+
+def links(
+    docs: DataFrame,
+    names: DataFrame,
+    width: int = WIDTH,
+    percent: int = PERCENT,
+    every: bool = False,
+    shared: frozenset | None = None,
+    block: int = BLOCK,
+) -> DataFrame:
     """Links (a, b, overlap) between classes, named by fp1: enough to connect every component, or ``every`` one.
 
     ``names``: what ``named`` has returned, or, with ``shared``, what ``_unmixed`` has."""
     spark = ship(docs.sparkSession)
-    bits = max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    bits = min(bits, 16)
+    bits = _bits(names)
     if shared is None:
         names, shared = _unmixed(names)
     some = names.where("n > 0").groupBy("fp1", "fp2", "n")
     classes = some.agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("bitmap").alias("bitmap"))
     hot = spark.sparkContext.broadcast(frequent(docs, width, bits))
-    found = cut(_lists(_entries(docs, width, percent, bits, hot, shared), percent, SHORT))
+    found = cut(_lists(_entries(docs, width, percent, bits, hot, shared, block), percent, SHORT, bits))
     first = found.where("kind = 0").select("a", "b")
-    long = found.where("kind = 1").select("list", "a", "n", "place")
+    long = cut(found.where("kind = 1").select("list", "a", "n", "place").distinct())
     if long.isEmpty():
         return _verified(first, classes, docs, width, percent)
     first = cut(first.unionByName(_stars(long, percent)).distinct())
     done = _verified(first, classes, docs, width, percent)
     comp = components(done).withColumnRenamed("node", "a")
     labelled = long.join(comp, "a", "left").select("list", "a", "n", "place", F.coalesce("comp", "a").alias("comp"))
-    if not every:
-        mixed = labelled.groupBy("list").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("list")
-        labelled = labelled.join(mixed, "list", "left_semi")
-    labelled = labelled.join(classes.select(F.col("fp1").alias("a"), "bitmap"), "a").select("list", "a", "n", "place", "comp", "bitmap")
-    more = _second_round(labelled, percent, every).distinct().join(first, ["a", "b"], "left_anti")
+    odd = _odd(labelled, every).join(classes.select(F.col("fp1").alias("a"), "bitmap"), "a")
+    more = _second_round(_blocks(odd, percent, block), percent, every).distinct().join(first, ["a", "b"], "left_anti")
     return done.unionByName(_verified(more, classes, docs, width, percent))
 
 
-def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, width: int, percent: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """The named rows, and for each set (fp1) its component and the component's first row: least (no_id, id, th)."""
     names, shared = _unmixed(named(docs, width))
-    comp = components(links(docs, names, width, percent, shared=shared))
+    comp = components(links(docs, names, width, percent, shared=shared, block=block))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "th")).alias("least")
     sets = names.where("n > 0").groupBy("fp1").agg(first)
     tree = sets.join(comp, sets.fp1 == comp.node, "left").select("fp1", "least", F.coalesce("comp", "fp1").alias("comp"))
     return names, tree.select("fp1", "comp").join(tree.groupBy("comp").agg(F.min("least").alias("least")), "comp")
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(doc_id, th, n_shingles, component_id) of every row of ``docs``."""
-    names, of = _classes(docs, width, percent)
+    names, of = _classes(docs, width, percent, block)
     of = of.select(F.col("fp1").alias("_f"), F.col("least.id").alias("component_id"))
     out = names.join(of, (names.fp1 == of["_f"]) & (names.n > 0), "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))

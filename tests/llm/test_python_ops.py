@@ -356,6 +356,26 @@ def test_every_link(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     names = setjoin.named(df)
     assert setjoin.links(df, names, every=True).count() == 30 * 29 // 2
+    assert setjoin.links(df, names, every=True, block=4).count() == 30 * 29 // 2
+
+
+@pytest.mark.parametrize("block", [2, 7])
+def test_long_lists_in_blocks(spark, block):
+    """Components are exact where one list is cut into many blocks, with sizes of several classes in it."""
+    rnd = random.Random(block)
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = []
+    for group in range(8):  # groups of near copies that share a passage, of 40 to 140 words
+        w = [f"p{k}" for k in range(30)] + [f"g{group}x{k}" for k in range(10 + 15 * group)]
+        for i in range(7):
+            own = list(w)
+            own[35 + i % 4] = f"v{group}y{i}"
+            rows.append((group * 10 + i, " ".join(own), None, None, None))
+        rows.append((group * 10 + 9, " ".join(w[:30] + [f"u{rnd.randint(0, 9**6)}" for _ in range(12 + group)]), None, None, None))
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, schema).repartition(5)
+    got = sorted((tuple(r) for r in setjoin.near_duplicates(df, block=block).select("doc_id", "n_shingles", "component_id").collect()), key=repr)
+    assert got == brute_components(rows)
 
 
 def test_sets_that_share_a_name(spark):
