@@ -141,7 +141,7 @@ WITH v AS (SELECT l_partkey, active_from, max(l_suppkey) AS version FROM (SELECT
 d AS (SELECT *, least(active_from + INTERVAL 400 DAY, coalesce(lead(active_from) OVER (PARTITION BY l_partkey ORDER BY active_from), active_from + INTERVAL 400 DAY)) AS active_to FROM v)
 SELECT l_orderkey, l_linenumber, l.l_partkey, l_shipdate, version, active_from AS version_from FROM lineitem l LEFT JOIN d ON d.l_partkey = l.l_partkey AND active_from <= l_shipdate AND l_shipdate < active_to
 """
-INCREMENTAL = "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 1000"
+INCREMENTAL = "SELECT o_orderkey, o_orderdate, CASE WHEN o_orderkey <= (SELECT max(o_orderkey) // 2 FROM orders) THEN 1 ELSE 2 END AS run, (SELECT max(o_orderkey) FROM orders) AS mark FROM orders"
 PENDING = """
 SELECT order_id, missing FROM (SELECT o_orderkey AS order_id, concat_ws(',', CASE WHEN c_nationkey = 3 THEN 'restaurant' END, CASE WHEN NOT EXISTS (SELECT 1 FROM orders p WHERE p.o_orderdate::DATE = o.o_orderdate::DATE AND month(p.o_orderdate) <> 2) THEN 'timestamp' END, CASE WHEN o_custkey % 11 = 0 THEN 'user' END) AS missing
 FROM orders o JOIN customer ON c_custkey = o_custkey WHERE c_nationkey IS NOT NULL) WHERE missing <> ''
