@@ -3,7 +3,7 @@
 Dated entries (list, pattern, action add or remove, time) become validity intervals per list and pattern. The
 intervals that can concern a host, those of the host and of all its parent domains, are gathered for each distinct
 host; captures then meet their host's intervals in one equi-join and pick those that hold at their time. The hosts'
-side is broadcast only if its counted rows are within ``broadcast_rows``; otherwise both sides are shuffled, and Spark
+side is broadcast only if its counted rows and summed bytes are within bounds; otherwise both sides are shuffled, and Spark
 splits the captures of a hot host, as the other side has one row for it.
 
 Defined results: a capture without a host or time is judged by nothing and not listed; entries without a list,
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.columns import unused
 
-#: A host's row is its name and some intervals: about 300 bytes, so this many stay under 30 MB.
 BROADCAST_ROWS = 100_000
+#: The summed length of hosts with their intervals up to which they are broadcast.
+BROADCAST_BYTES = 30_000_000
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -59,7 +60,10 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "
         ).alias(k)
     )
     known = known.withColumnRenamed("host", o)
-    if known.count() <= broadcast_rows:
+    of = lambda x: F.octet_length(x["list"]) + F.octet_length(x["pattern"]) + 64
+    held = F.octet_length(o) + 32 + F.aggregate(k, F.lit(0).cast("long"), lambda n, x: n + of(x))
+    n, total = known.agg(F.count("*"), F.sum(held)).first()
+    if n <= broadcast_rows and (total or 0) <= BROADCAST_BYTES:
         known = F.broadcast(known)
     j = c.join(known, c.host == known[o], "left")
     when = F.col(f"`{at}`")
