@@ -637,6 +637,14 @@ def links(
     """Links (a, b, overlap) between classes, named by fp1: enough to connect every component, or ``every`` one.
 
     ``names``: what ``named`` has returned, or, with ``shared``, what ``_unmixed`` has."""
+    done, _, more = _rounds(docs, names, width, percent, every, shared, block)
+    return done if more is None else done.unionByName(more)
+
+
+def _rounds(docs, names, width, percent, every, shared, block) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """The links of the first round, the components (a, comp) that they make, and the links of the second round.
+
+    Without long lists there is no second round: the last two are None."""
     spark = ship(docs.sparkSession)
     bits = _bits(names)
     if shared is None:
@@ -648,20 +656,22 @@ def links(
     first = found.where("kind = 0").select("a", "b")
     long = cut(found.where("kind = 1").select("list", "a", "n", "place").distinct())
     if long.isEmpty():
-        return _verified(first, classes, docs, width, percent)
+        return _verified(first, classes, docs, width, percent), None, None
     first = cut(first.unionByName(_stars(long, percent)).distinct())
     done = _verified(first, classes, docs, width, percent)
     comp = components(done).withColumnRenamed("node", "a")
     labelled = long.join(comp, "a", "left").select("list", "a", "n", "place", F.coalesce("comp", "a").alias("comp"))
     odd = _odd(labelled, every).join(classes.select(F.col("fp1").alias("a"), "bitmap"), "a")
     more = _second_round(_blocks(odd, percent, block), percent, every).distinct().join(first, ["a", "b"], "left_anti")
-    return done.unionByName(_verified(more, classes, docs, width, percent))
+    return done, comp, _verified(more, classes, docs, width, percent)
 
 
 def _classes(docs: DataFrame, width: int, percent: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """The named rows, and for each set (fp1) its component and the component's first row: least (no_id, id, th)."""
     names, shared = _unmixed(named(docs, width))
-    comp = components(links(docs, names, width, percent, shared=shared, block=block))
+    done, comp, more = _rounds(docs, names, width, percent, False, shared, block)
+    # the first round's components stand for its links: only the second round's are new
+    comp = components(done if comp is None else comp.select("a", F.col("comp").alias("b")).unionByName(more.select("a", "b")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "th")).alias("least")
     sets = names.where("n > 0").groupBy("fp1").agg(first)
     tree = sets.join(comp, sets.fp1 == comp.node, "left").select("fp1", "least", F.coalesce("comp", "fp1").alias("comp"))
