@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import dac, decontaminate, pieces, pii, quality, secretscan, setjoin, substrings, toxicity, urllists
+from marlstone.llm import dac, decontaminate, negatives, pieces, pii, quality, secretscan, setjoin, substrings, toxicity, urllists
 from marlstone.session import table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_pii": lambda spark, d: pii.digest(table(spark, d, "documents")),
     "op9_dac": lambda spark, d: dac.digest(table(spark, d, "documents")),
     "op10_jaccard_join": lambda spark, d: setjoin.digest(table(spark, d, "documents")),
+    "op11_hard_negatives": lambda spark, d: negatives.digest(table(spark, d, "embeddings")),
 }
 
 ORACLES: dict = {
@@ -23,4 +24,5 @@ ORACLES: dict = {
     "op5_quality_rules": quality.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op10_jaccard_join": setjoin.ORACLE,
+    "op11_hard_negatives": negatives.ORACLE,
 }
