@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import dac, decontaminate, negatives, pieces, pii, quality, secretscan, setjoin, substrings, toxicity, urllists
+from marlstone.llm import dac, decontaminate, divergence, negatives, pieces, pii, quality, secretscan, setjoin, substrings, toxicity, urllists
 from marlstone.session import table
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_dac": lambda spark, d: dac.digest(table(spark, d, "documents")),
     "op10_jaccard_join": lambda spark, d: setjoin.digest(table(spark, d, "documents")),
     "op11_hard_negatives": lambda spark, d: negatives.digest(table(spark, d, "embeddings")),
+    "op12_source_divergence": lambda spark, d: divergence.digest(table(spark, d, "documents")),
 }
 
 ORACLES: dict = {
@@ -25,4 +26,5 @@ ORACLES: dict = {
     "op7_decontaminate": decontaminate.ORACLE,
     "op10_jaccard_join": setjoin.ORACLE,
     "op11_hard_negatives": negatives.ORACLE,
+    "op12_source_divergence": divergence.ORACLE,
 }
