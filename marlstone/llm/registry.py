@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import dac, decontaminate, divergence, negatives, pieces, pii, quality, secretscan, setjoin, substrings, toxicity, urllists
+from marlstone.llm import dac, decontaminate, divergence, linededup, negatives, pieces, pii, quality, secretscan, setjoin, substrings, toxicity, urllists
 from marlstone.session import table
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_jaccard_join": lambda spark, d: setjoin.digest(table(spark, d, "documents")),
     "op11_hard_negatives": lambda spark, d: negatives.digest(table(spark, d, "embeddings")),
     "op12_source_divergence": lambda spark, d: divergence.digest(table(spark, d, "documents")),
+    "op13_line_dedup": lambda spark, d: linededup.digest(table(spark, d, "documents")),
 }
 
 ORACLES: dict = {
@@ -27,4 +28,5 @@ ORACLES: dict = {
     "op10_jaccard_join": setjoin.ORACLE,
     "op11_hard_negatives": negatives.ORACLE,
     "op12_source_divergence": divergence.ORACLE,
+    "op13_line_dedup": linededup.ORACLE,
 }
