@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from marlstone import schemas
 
 
+#: Fixed value: the type of the events that counters count.
+ORDER_EVENT = "cdm_order_event"
 #: Fixed value: how landed documents write times.
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -115,13 +117,14 @@ def order_events(orders: DataFrame) -> DataFrame:
     """
     closed = orders.where(F.col("status") == "CLOSED")
     payload = F.struct("order_id", "user_id", "product_id", "product_name", "category_id", "category_name")
-    event = F.struct(F.col("order_id").alias("object_id"), F.lit("cdm_order_event").alias("object_type"), payload.alias("payload"))
+    event = F.struct(F.col("order_id").alias("object_id"), F.lit(ORDER_EVENT).alias("object_type"), payload.alias("payload"))
     return closed.groupBy("order_id").agg(F.to_json(F.sort_array(F.collect_list(event))).alias("value"))
 
 
 def event_rows(messages: DataFrame, column: str = "value") -> DataFrame:
-    """The payloads of order event arrays, one row each."""
-    return messages.select(F.explode(F.from_json(column, schemas.ORDER_EVENTS)).alias("e")).where("e.payload IS NOT NULL").select("e.payload.*")
+    """The payloads of order event arrays, one row each; elements of any other type are passed over."""
+    e = messages.select(F.explode(F.from_json(column, schemas.ORDER_EVENTS)).alias("e"))
+    return e.where((F.col("e.object_type") == ORDER_EVENT) & F.col("e.payload").isNotNull()).select("e.payload.*")
 
 
 def actor(event_type: Column, event: str = "event") -> Column:

@@ -35,13 +35,18 @@ def upsert(target: DataFrame, batch: DataFrame, keys: list[str], order_by: list[
     return target.join(new, _all_null_safe(target, new, keys), "left_anti").unionByName(new)
 
 
-def insert_absent(target: DataFrame, batch: DataFrame, keys: list[str], order_by: list[str] | None = None) -> DataFrame:
-    """Rows of keys that the target lacks are added (the first by ``order_by``); stored rows never change."""
+def absent(target: DataFrame, batch: DataFrame, keys: list[str], order_by: list[str] | None = None) -> DataFrame:
+    """The batch's first row (by ``order_by``) of each key that the target lacks."""
     rest = [c for c in batch.columns if c not in keys]
     first = [*(order_by or []), *(c for c in rest if c not in (order_by or []))]
     one = batch.distinct() if not rest else batch.groupBy(*keys).agg(F.min(F.struct(*first)).alias("_b")).select(*(F.col(c) if c in keys else F.col(f"_b.{c}").alias(c) for c in batch.columns))
     one = one.select(*target.columns)
-    return target.unionByName(one.join(target, _all_null_safe(one, target, keys), "left_anti"))
+    return one.join(target, _all_null_safe(one, target, keys), "left_anti")
+
+
+def insert_absent(target: DataFrame, batch: DataFrame, keys: list[str], order_by: list[str] | None = None) -> DataFrame:
+    """Rows of keys that the target lacks are added (the first by ``order_by``); stored rows never change."""
+    return target.unionByName(absent(target, batch, keys, order_by))
 
 
 def add_counts(target: DataFrame, delta: DataFrame, keys: list[str], column: str, carry: list[str] | None = None) -> DataFrame:

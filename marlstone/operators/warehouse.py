@@ -130,20 +130,19 @@ def menu_diff(current: DataFrame, menu: DataFrame, key: list[str]) -> DataFrame:
 def hub(df: DataFrame, business_key: str, load_src: str = "orders", load_dt: Column | None = None) -> DataFrame:
     """A hub's rows: key, business id, load time and source; one for each id."""
     rows = df.select(F.col(business_key).cast("string").alias("business_id")).where("business_id IS NOT NULL").distinct()
-    when = F.current_timestamp() if load_dt is None else load_dt
-    return rows.select(hub_key(F.col("business_id")).alias("pk"), "business_id", when.alias("load_dt"), F.lit(load_src).alias("load_src"))
+    return audited(rows.select(hub_key(F.col("business_id")).alias("pk"), "business_id"), load_src, load_dt)
 
 
-def satellite(df: DataFrame, business_key: str, attributes: list[str], order_by: list[str]) -> DataFrame:
-    """The latest attributes of each hub row."""
+def satellite(df: DataFrame, business_key: str, attributes: list[str], order_by: list[str], load_src: str = "orders", load_dt: Column | None = None) -> DataFrame:
+    """The latest attributes of each hub row, with load time and source."""
     rows = df.where(F.col(business_key).isNotNull()).select(hub_key(F.col(business_key).cast("string")).alias("pk"), *attributes, *(c for c in order_by if c not in attributes))
-    return latest(rows, ["pk"], order_by).select("pk", *attributes)
+    return audited(latest(rows, ["pk"], order_by).select("pk", *attributes), load_src, load_dt)
 
 
-def link(df: DataFrame, left: str, right: str) -> DataFrame:
-    """A link's rows: its key and the two hub keys."""
+def link(df: DataFrame, left: str, right: str, load_src: str = "orders", load_dt: Column | None = None) -> DataFrame:
+    """A link's rows: its key and the two hub keys, with load time and source."""
     pairs = df.select(hub_key(F.col(left).cast("string")).alias("left_pk"), hub_key(F.col(right).cast("string")).alias("right_pk")).where("left_pk IS NOT NULL AND right_pk IS NOT NULL").distinct()
-    return pairs.select(link_key(F.col("left_pk"), F.col("right_pk")).alias("pk"), "left_pk", "right_pk")
+    return audited(pairs.select(link_key(F.col("left_pk"), F.col("right_pk")).alias("pk"), "left_pk", "right_pk"), load_src, load_dt)
 
 
 def last_in_order(items: DataFrame, order: str, key: str, position: str) -> DataFrame:

@@ -112,6 +112,23 @@ def _uuid3(text: str) -> str:
 UUID3 = f"SELECT p_partkey, {_uuid3('''p_name || '_' || p_brand''')} AS key FROM part"
 HUB_KEYS = f"SELECT {_uuid3('o')} AS pk, o AS business_id FROM (SELECT DISTINCT o_orderkey::VARCHAR AS o FROM orders)"
 LINK_KEYS = f"SELECT {_uuid3('''l || '_' || r''')} AS pk, l AS left_pk, r AS right_pk FROM (SELECT DISTINCT {_uuid3('o_orderkey::VARCHAR')} AS l, {_uuid3('o_custkey::VARCHAR')} AS r FROM orders)"
+_CHAIN = """i AS (
+  SELECT o_orderkey::VARCHAR AS o, o_custkey::VARCHAR AS u, c_name, l_partkey::VARCHAR AS p, p_name, CASE WHEN p_partkey % 25 = c_nationkey THEN p_type END AS c, l_linenumber,
+    CASE o_orderstatus WHEN 'F' THEN 'CLOSED' WHEN 'O' THEN 'OPEN' ELSE 'CANCELLED' END AS s
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
+)"""
+_pair = lambda a, b: _uuid3(f"{_uuid3(a)} || '_' || {_uuid3(b)}")
+_hub = lambda n, x: f"SELECT '{n}' AS name, {_uuid3(x)} AS pk, {x} AS said FROM (SELECT DISTINCT {x} FROM i WHERE {x} IS NOT NULL)"
+_link = lambda n, a, b: f"SELECT '{n}', {_pair(a, b)}, {_uuid3(a)} || '|' || {_uuid3(b)} FROM (SELECT DISTINCT {a}, {b} FROM i WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+_sat = lambda n, k, x: f"SELECT '{n}', {_uuid3(k)}, {x} FROM (SELECT DISTINCT {k}, {x} FROM (SELECT *, c_name || '|' || lower(c_name) AS names FROM i))"
+VAULT = (
+    f"WITH {_CHAIN}, v AS ("
+    + " UNION ALL ".join([
+        _hub("h_order", "o"), _hub("h_user", "u"), _hub("h_product", "p"), _hub("h_category", "c"), _sat("s_order_status", "o", "s"), _sat("s_user_names", "u", "names"), _sat("s_product_names", "p", "p_name"),
+        _link("l_order_user", "o", "u"), _link("l_order_product", "o", "p"), _link("l_product_category", "p", "c"),
+    ])
+    + ") SELECT *, true AS audited FROM v"
+)
 SATELLITE = f"SELECT {_uuid3('o_custkey::VARCHAR')} AS pk, o_orderstatus, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"
 TIME_DIMENSION = "SELECT DISTINCT o_orderdate AS ts, year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, day(o_orderdate)::INT AS day, strftime(o_orderdate, '%H:%M:%S') AS time, o_orderdate::DATE AS date FROM orders"
 UPSERT = "SELECT o_custkey, o_orderkey, o_orderdate, CASE WHEN o_orderdate >= '1997-01-01' THEN o_orderstatus || '2' ELSE o_orderstatus END AS o_orderstatus FROM orders"

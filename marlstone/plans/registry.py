@@ -15,6 +15,7 @@ from marlstone.plans import mapping as M
 from marlstone.plans import loads, marts
 from marlstone.plans import oracles as O
 from marlstone.session import shared_dir, table
+from marlstone.sources import keyed
 from marlstone.streaming import campaigns, orders
 
 QUERIES: dict = {}
@@ -120,13 +121,13 @@ def _(spark, d):
 
 @query("prj12_link_keys", O.LINK_KEYS)
 def _(spark, d):
-    return warehouse.link(table(spark, d, "orders"), "o_orderkey", "o_custkey")
+    return warehouse.link(table(spark, d, "orders"), "o_orderkey", "o_custkey").select("pk", "left_pk", "right_pk")
 
 
 @query("wh09_satellite", O.SATELLITE)
 def _(spark, d):
     o = table(spark, d, "orders")
-    return warehouse.satellite(o, "o_custkey", ["o_orderstatus", "o_totalprice"], ["o_orderdate", "o_orderkey"])
+    return warehouse.satellite(o, "o_custkey", ["o_orderstatus", "o_totalprice"], ["o_orderdate", "o_orderkey"]).drop("load_dt", "load_src")
 
 
 @query("dst03_last_in_order", O.LAST_IN_ORDER)
@@ -270,12 +271,11 @@ def _(spark, d):
 
 @query("stm07_running_counters", O.RUNNING)
 def _(spark, d):
-    """Orders as a file stream, added batch by batch to a keyed counter table until the stream is drained."""
+    """Orders as a file stream, counted in the state store; each batch's keys are merged until the stream is drained."""
     at = f"{shared_dir(spark)}/counters-{uuid.uuid4().hex}"
     raw = spark.readStream.schema("o_custkey bigint").option("recursiveFileLookup", "true").parquet(f"{d.rstrip('/')}/orders.parque[t]")
-    write = orders.counter_writer(f"{at}/table", ["o_custkey"])
-    raw.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/marks").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{at}/table").drop("batch_id")
+    orders.count_into(raw, ["o_custkey"], f"{at}/table", f"{at}/marks", trigger={"availableNow": True}).awaitTermination()
+    return keyed.read(spark, f"{at}/table")
 
 
 @query("ids_uuid3", O.UUID3)
