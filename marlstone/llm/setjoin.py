@@ -559,6 +559,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     return cut(near.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(verify, "a bigint, b bigint, overlap bigint"))
 
 
+#: Links of one task while components are found.
+LINKS = 200_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of every node that a link names; comp is the smallest node it reaches.
 
@@ -569,16 +573,19 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(edges)
     mark = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now
+        # a round has several exchanges, and each leaves files for every task: the tasks follow the number of links
+        few = lambda df, n=max(1, now[0] // LINKS): df.coalesce(n)
+        edges = few(edges)
+        both = few(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        least = few(both.groupBy("u").agg(F.min("v").alias("m"))).select("u", F.least("u", "m").alias("m"))
+        large = few(few(both.join(least, "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = few(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = few(large.join(least, "u")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(few(few(small.unionByName(least.select("u", F.col("m").alias("v")))).distinct()))
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("comp"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
 
