@@ -2,39 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.geo import cells, distance_km
 from marlstone.functions.times import local_time
+from marlstone.operators.segments import SEGMENT, fill, once, runs, segmented
 from marlstone.operators.upsert import latest
 
-#: A block of the place dictionary is one broadcast row of so many places, about 1 MB at most.
-BLOCK = 10_000
+#: The stretch of a user's time that one task holds.
+CHUNK = "hour"
+#: Users of a channel, or of a cube of one, that meet in one task, about.
+BLOCK = 2_000
+#: Large groups of which the number of blocks is broadcast.
+BROADCAST_GROUPS = 100_000
+
+#: Dictionaries of up to so many places are held against every point in its row; larger ones get an index.
+IN_ROW = 128
+#: Distances of chords on the unit sphere that count as equal while candidates are chosen.
+SLACK = 1e-7
+#: The first level of cubes: 4 along each axis; and the levels beyond cubes of one place on average, for dense regions.
+TOP, FINER = 2, 2
+
+
+def _on_sphere(lat: str, lng: str) -> dict[str, Column]:
+    """Coordinates on the unit sphere."""
+    lat_c, lng_c = F.col(lat), F.col(lng)
+    return {"_x": F.cos(lat_c) * F.cos(lng_c), "_y": F.cos(lat_c) * F.sin(lng_c), "_z": F.sin(lat_c)}
 
 
-def nearest_place(points: DataFrame, places: DataFrame, lat: str = "lat_rad", lng: str = "lng_rad") -> DataFrame:
+def _cube(level: int) -> dict[str, Column]:
+    """The cube of a level that holds a point: the one around the sphere is halved so many times."""
+    n = 1 << level
+    at = lambda c: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((F.col(c) + 1) * (n / 2)))).cast("int")
+    return {"_i": at("_x"), "_j": at("_y"), "_k": at("_z")}
+
+
+def nearest_candidates(cubes: DataFrame, places: DataFrame, level: int) -> DataFrame:
+    """(_i, _j, _k, _places): for each of the given cubes of ``level`` all places that are nearest to a point in it.
+
+    From large cubes to small ones, a cube keeps the places whose least distance to it is within the least of all
+    greatest distances; its parts look at those only. Of places at one point the smallest id stays. A place has a row for
+    each cube that keeps it, so nothing is gathered before the lists are short.
+    """
+    one = places.groupBy("lat_n_rad", "lng_n_rad").agg(F.min(F.struct(F.col("city_id").cast("int").alias("city_id"), "city", "timezone")).alias("c"))
+    one = one.select("lat_n_rad", "lng_n_rad", "c.*").where("lat_n_rad IS NOT NULL AND lng_n_rad IS NOT NULL")
+    one = one.select(*(c.alias(n) for n, c in _on_sphere("lat_n_rad", "lng_n_rad").items()), F.struct("lat_n_rad", "lng_n_rad", "city_id", "city", "timezone").alias("_place"))
+    part = lambda l: cubes.select(*(F.shiftright(c, level - l).alias(c) for c in ("_i", "_j", "_k"))).distinct()
+    some = F.explode(F.sequence(F.lit(0), F.lit((1 << TOP) - 1)))
+    pairs = one.withColumn("_i", some).withColumn("_j", some).withColumn("_k", some).join(part(TOP), ["_i", "_j", "_k"], "left_semi")
+    for l in range(TOP, level + 1):
+        if l > TOP:
+            child = part(l).select(*(F.shiftright(c, 1).alias(c) for c in ("_i", "_j", "_k")), *(F.col(c).alias(f"{c}c") for c in ("_i", "_j", "_k")))
+            pairs = pairs.join(child, ["_i", "_j", "_k"]).select("_x", "_y", "_z", "_place", *(F.col(f"{c}c").alias(c) for c in ("_i", "_j", "_k")))
+        half = 1 / (1 << l)
+        off = [F.abs(F.col(a) - ((F.col(b) * 2 + 1) * half - 1)) for a, b in (("_x", "_i"), ("_y", "_j"), ("_z", "_k"))]
+        near = reduce(lambda a, b: a + b, (F.pow(F.greatest(F.lit(0.0), d - half), F.lit(2)) for d in off))
+        far = reduce(lambda a, b: a + b, (F.pow(d + half, F.lit(2)) for d in off))
+        pairs = pairs.withColumn("_far", F.min(F.sqrt(far)).over(Window.partitionBy("_i", "_j", "_k"))).where(F.sqrt(near) <= F.col("_far") + SLACK).drop("_far")
+    return pairs.groupBy("_i", "_j", "_k").agg(F.collect_list("_place").alias("_places"))
+
+
+def nearest_place(points: DataFrame, places: DataFrame, lat: str = "lat_rad", lng: str = "lng_rad", in_row: int = IN_ROW) -> DataFrame:
     """``points`` with city_id, city and timezone of the nearest place; null coordinates get null, ties the smaller id.
 
-    Places (city_id, city, timezone, lat_n_rad, lng_n_rad) are broadcast in blocks of counted size, and the minimum is
-    taken in the row: points are neither multiplied nor shuffled. A larger dictionary takes one block after another.
+    A dictionary (city_id, city, timezone, lat_n_rad, lng_n_rad) of up to ``in_row`` places goes to every task as one
+    row, and the minimum is taken in the row: points are neither multiplied nor shuffled. For a larger one the sphere is
+    cut into cubes, of a sixteenth of a place each on average; a cube's points look at the places that can be nearest in it, and no others.
     """
     n = places.count()
-    blocks = max(1, -(-n // BLOCK))
-    rest = [c for c in points.columns if c not in ("city_id", "city", "timezone", "_best")]
-    out = points.select(*rest, F.lit(None).cast("struct<d:double,city_id:int,city:string,timezone:string>").alias("_best"))
-    for i in range(blocks):
-        part = places if blocks == 1 else places.where(F.pmod(F.hash("city_id"), F.lit(blocks)) == i)
-        one = part.agg(F.collect_list(F.struct("lat_n_rad", "lng_n_rad", F.col("city_id").cast("int").alias("city_id"), "city", "timezone")).alias("_places"))
-        out = out.crossJoin(F.broadcast(one))
-        near = F.array_min(
-            F.transform(
-                "_places",
-                lambda c: F.struct(distance_km(F.col(lat), F.col(lng), c["lat_n_rad"], c["lng_n_rad"]).alias("d"), c["city_id"].alias("city_id"), c["city"].alias("city"), c["timezone"].alias("timezone")),
-            )
+    rest = [c for c in points.columns if c not in ("city_id", "city", "timezone", "_places", "_x", "_y", "_z", "_i", "_j", "_k")]
+    if n <= in_row:
+        one = places.agg(F.collect_list(F.struct("lat_n_rad", "lng_n_rad", F.col("city_id").cast("int").alias("city_id"), "city", "timezone")).alias("_places"))
+        out = points.select(*rest).crossJoin(F.broadcast(one))
+    else:
+        level = max(TOP, math.ceil(math.log2(math.sqrt(n / math.pi))) + FINER)
+        located = points.select(*rest).withColumns(_on_sphere(lat, lng)).withColumns(_cube(level))
+        cubes = located.where("_i IS NOT NULL AND _j IS NOT NULL AND _k IS NOT NULL").select("_i", "_j", "_k").distinct()
+        out = located.join(nearest_candidates(cubes, places, level), ["_i", "_j", "_k"], "left").select(*rest, "_places")
+    found = F.array_min(
+        F.transform(
+            "_places",
+            lambda c: F.struct(distance_km(F.col(lat), F.col(lng), c["lat_n_rad"], c["lng_n_rad"]).alias("d"), c["city_id"].alias("city_id"), c["city"].alias("city"), c["timezone"].alias("timezone")),
         )
-        near = F.when(F.col(lat).isNotNull() & F.col(lng).isNotNull(), near)
-        out = out.select(*rest, F.least("_best", near).alias("_best"))
+    )
+    found = F.when(F.col(lat).isNotNull() & F.col(lng).isNotNull(), found)
+    out = out.select(*rest, found.alias("_best"))
     return out.select(*rest, F.col("_best.city_id").alias("city_id"), F.col("_best.city").alias("city"), F.col("_best.timezone").alias("timezone"))
 
 
@@ -43,44 +99,48 @@ def latest_place(events: DataFrame, user: str = "user_id", ts: str = "ts", tie:
     return latest(events.where(F.col("lat_rad").isNotNull() & F.col("lng_rad").isNotNull()), [user], [ts, tie])
 
 
-def fill_place(events: DataFrame, mode: str = "reference") -> DataFrame:
+def fill_place(events: DataFrame, mode: str = "reference", chunk: str = CHUNK) -> DataFrame:
     """Cities of events without one, from other events of the user.
 
     ``reference``: messages among messages and other events among others, the last city before, else the next behind,
     as their frames have it. ``nearest_time``: the city of the last message before, else of the next message.
-    Columns user_id, event_type, ts, event_id, city_id, city; added_city tells filled rows.
+    Columns user_id, event_type, ts, event_id, city_id, city; added_city tells filled rows. A task holds a user's events
+    of one ``chunk`` of time (a unit of date_trunc), not all of them.
     """
     is_message = F.when(F.col("event_type") == "message", 1).otherwise(0)
     place = F.when(F.col("city_id").isNotNull(), F.struct("city_id", "city"))
-    w = Window.partitionBy("user_id")
+    at, kind = F.date_trunc(chunk, F.col("ts").cast("timestamp")), F.col(f"{SEGMENT}.kind")
+    time = F.col(f"{SEGMENT}.at")
+    rest = [c for c in events.columns if c not in ("city_id", "city", "added_city")]
+    events = once(events)
     if mode == "reference":
-        back = w.orderBy(is_message.asc(), "ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-        fore = w.orderBy(is_message.desc(), "ts", "event_id").rowsBetween(0, Window.unboundedFollowing)
+        cut = segmented(events, ["user_id"], kind=is_message, at=at)
+        filled, back, fore = fill(cut, ["user_id"], ["ts", "event_id"], place, [kind.asc(), time.asc()], [kind.asc(), time.desc()])
     elif mode == "nearest_time":
-        place = F.when(F.col("event_type") == "message", place)
-        back = w.orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-        fore = w.orderBy("ts", "event_id").rowsBetween(0, Window.unboundedFollowing)
+        cut = segmented(events, ["user_id"], at=at)
+        filled, back, fore = fill(cut, ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "message", place), [time.asc()], [time.desc()])
     else:
         raise ValueError(mode)
-    filled = events.withColumn("_p", F.coalesce(F.last(place, True).over(back), F.first(place, True).over(fore)))
+    found = F.coalesce(F.col(back), F.col(fore))
     return filled.select(
-        *(c for c in events.columns if c not in ("city_id", "city", "added_city")),
-        F.coalesce("city_id", "_p.city_id").alias("city_id"),
-        F.coalesce("city", "_p.city").alias("city"),
-        F.when(F.col("city_id").isNull() & F.col("_p").isNotNull(), 1).otherwise(0).alias("added_city"),
+        *rest,
+        F.coalesce("city_id", found["city_id"]).alias("city_id"),
+        F.coalesce("city", found["city"]).alias("city"),
+        F.when(F.col("city_id").isNull() & found.isNotNull(), 1).otherwise(0).alias("added_city"),
     )
 
 
-def stays(events: DataFrame) -> DataFrame:
+def stays(events: DataFrame, chunk: str = CHUNK) -> DataFrame:
     """One row for each run of events of a user in one city: bounds, length in days and first time.
 
-    Columns user_id, ts, event_id, date, city_id, city. Runs are found by one window, their bounds by a grouping.
+    Columns user_id, ts, event_id, date, city_id, city. Runs are found within a ``chunk`` of a user's time and put
+    together over the chunks' edges, so a user with very many events fills no task.
     """
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    flagged = events.where("city_id IS NOT NULL").withColumn("_new", F.when(F.col("city_id").eqNullSafe(F.lag("city_id").over(w)), 0).otherwise(1))
-    runs = flagged.withColumn("stay_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = runs.groupBy("user_id", "stay_id").agg(
-        F.min("city_id").alias("city_id"), F.min("city").alias("city"), F.min("date").alias("stay_start"), F.max("date").alias("stay_end"), F.min("ts").alias("stay_start_ts")
+    rows = segmented(events.where("city_id IS NOT NULL").select("user_id", "ts", "event_id", "date", "city_id", "city"), ["user_id"], at=F.date_trunc(chunk, F.col("ts").cast("timestamp")))
+    bounds = (F.min("city").alias("city"), F.min("date").alias("stay_start"), F.max("date").alias("stay_end"), F.min("ts").alias("stay_start_ts"))
+    local = runs(rows, ["user_id"], ["ts", "event_id"], "city_id", [F.col(f"{SEGMENT}.at")], *bounds)
+    out = local.groupBy("user_id", F.col("run_id").alias("stay_id")).agg(
+        F.min("city_id").alias("city_id"), F.min("city").alias("city"), F.min("stay_start").alias("stay_start"), F.max("stay_end").alias("stay_end"), F.min("stay_start_ts").alias("stay_start_ts")
     )
     return out.withColumn("stay_len", F.datediff("stay_end", "stay_start") + 1)
 
@@ -105,29 +165,52 @@ def contacts(events: DataFrame) -> DataFrame:
     return m.select(F.least("user_id", "message_to").alias("user_left"), F.greatest("user_id", "message_to").alias("user_right")).distinct()
 
 
-def co_subscribers(events: DataFrame) -> DataFrame:
-    """All pairs of users that share a channel. Its result grows with the square of a channel; ``nearby_subscribers``
-    asks for near ones without making the others."""
-    s = events.where("event_type = 'subscription' AND channel IS NOT NULL AND user_id IS NOT NULL").select("user_id", "channel").distinct()
-    left, right = s.withColumnRenamed("user_id", "user_left"), s.withColumnRenamed("user_id", "user_right")
-    return left.join(right, "channel").where("user_left < user_right").select("user_left", "user_right").distinct()
+def _subscriptions(events: DataFrame) -> DataFrame:
+    return events.where("event_type = 'subscription' AND channel IS NOT NULL AND user_id IS NOT NULL").select("user_id", "channel").distinct()
+
+
+def _blocks(rows: DataFrame, group: list[str], block: int) -> DataFrame:
+    """(group, _b) of groups of more than ``block`` rows: how many blocks they are cut into.
+
+    There are rows / block of them at most; they are broadcast only if their counted number is within bounds.
+    """
+    large = rows.groupBy(*group).agg(F.ceil(F.count("*") / block).cast("int").alias("_b")).where("_b > 1")
+    return F.broadcast(large) if large.count() <= BROADCAST_GROUPS else large
+
+
+def co_subscribers(events: DataFrame, block: int = BLOCK) -> DataFrame:
+    """All pairs of users that share a channel. Its result grows with the square of a channel, and so does the work, but
+    not a task's: a channel is cut into blocks of about ``block`` users, and each two of them (i <= j) are a tile of
+    their own. ``nearby_subscribers`` asks for near pairs without making the others."""
+    s = _subscriptions(events)
+    s = s.join(_blocks(s, ["channel"], block), ["channel"], "left").withColumn("_b", F.coalesce("_b", F.lit(1)))
+    s = s.withColumn("_own", F.pmod(F.xxhash64("user_id"), F.col("_b")).cast("int"))
+    left = s.select("channel", F.col("user_id").alias("u"), F.col("_own").alias("i"), F.explode(F.sequence(F.col("_own"), F.col("_b") - 1)).alias("j"))
+    right = s.select("channel", F.col("user_id").alias("v"), F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("i"), F.col("_own").alias("j"))
+    pairs = left.join(right, ["channel", "i", "j"]).where("i < j OR u < v")
+    return pairs.select(F.least("u", "v").alias("user_left"), F.greatest("u", "v").alias("user_right")).distinct()
 
 
-def nearby_subscribers(events: DataFrame, located: DataFrame, km: float = 1.0) -> DataFrame:
+def nearby_subscribers(events: DataFrame, located: DataFrame, km: float = 1.0, block: int = BLOCK) -> DataFrame:
     """Pairs that share a channel and whose places are less than ``km`` apart, with the middle between them.
 
     Users meet by channel and by cubes of edge ``km``: each looks into its own cube and those around it, so far
-    pairs of a large channel never come up.
+    pairs of a large channel never come up. A cube of more than ``block`` users of a channel is cut into tiles.
     """
-    s = events.where("event_type = 'subscription' AND channel IS NOT NULL AND user_id IS NOT NULL").select("user_id", "channel").distinct()
+    s = _subscriptions(events)
     s = s.join(located.select("user_id", "lat_rad", "lng_rad"), "user_id")
     x, y, z = cells(F.col("lat_rad"), F.col("lng_rad"), km)
     s = s.select("*", x.alias("cx"), y.alias("cy"), z.alias("cz"))
+    cube = ["channel", "cx", "cy", "cz"]
+    blocks = _blocks(s, cube, block)
+    own = lambda df: df.join(blocks, cube, "left").withColumn("_b", F.coalesce("_b", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64("user_id"), F.col("_b")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("_b") - 1))
     shifts = F.array(*(F.struct(*(F.lit(d).alias(n) for d, n in zip((i, j, k), "xyz", strict=True))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
-    a = s.select("channel", F.col("user_id").alias("user_left"), F.col("lat_rad").alias("lat_l"), F.col("lng_rad").alias("lng_l"), "cx", "cy", "cz", F.explode(shifts).alias("d"))
-    a = a.select("channel", "user_left", "lat_l", "lng_l", (F.col("cx") + F.col("d.x")).alias("cx"), (F.col("cy") + F.col("d.y")).alias("cy"), (F.col("cz") + F.col("d.z")).alias("cz"))
-    b = s.select("channel", F.col("user_id").alias("user_right"), F.col("lat_rad").alias("lat_r"), F.col("lng_rad").alias("lng_r"), "cx", "cy", "cz")
-    j = a.join(b, ["channel", "cx", "cy", "cz"]).where("user_left < user_right")
+    a = s.select("channel", "user_id", "lat_rad", "lng_rad", "cx", "cy", "cz", F.explode(shifts).alias("d"))
+    a = own(a.select("channel", "user_id", "lat_rad", "lng_rad", *((F.col(f"c{n}") + F.col(f"d.{n}")).alias(f"c{n}") for n in "xyz")))
+    a = a.select(*cube, F.col("user_id").alias("user_left"), F.col("lat_rad").alias("lat_l"), F.col("lng_rad").alias("lng_l"), F.col("_own").alias("i"), each.alias("j"))
+    b = own(s).select(*cube, F.col("user_id").alias("user_right"), F.col("lat_rad").alias("lat_r"), F.col("lng_rad").alias("lng_r"), F.col("_own").alias("j"), each.alias("i"))
+    j = a.join(b, [*cube, "i", "j"]).where("user_left < user_right")
     return _close(j, km)
 
 

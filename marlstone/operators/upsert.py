@@ -93,12 +93,15 @@ def scd2(current: DataFrame, snapshots: DataFrame, scope: str, key: list[str], c
     open_end = F.lit(OPEN_TO).cast("timestamp")
     stored = current.select(*k, *compare, F.col("active_from").alias("_at"), F.lit(True).alias("_on"))
     ended = current.where(F.col("active_to") < open_end).select(*k, *(F.lit(None).cast(current.schema[c].dataType).alias(c) for c in compare), F.col("active_to").alias("_at"), F.lit(False).alias("_on"))
-    # a key ends at the first snapshot of its scope after it was seen that lacks it; only sightings are joined, not all
-    # keys with all snapshots
+    # a key ends at the first snapshot of its scope after it was seen that lacks it: every time of a scope knows the next
+    # snapshot, so a sighting looks up one row, whatever the number of keys and snapshots
     seen = rows.select(*k, *compare, F.col(effective).alias("_at"), F.lit(True).alias("_on"))
-    when = times.groupBy(scope).agg(F.array_sort(F.collect_list(effective)).alias("_times"))
-    last = stored.select(*k, "_at").unionByName(seen.select(*k, "_at")).join(when, scope)
-    gone = last.select(*k, F.get(F.filter("_times", lambda t: t > F.col("_at")), F.lit(0)).alias("_at")).where("_at IS NOT NULL").distinct()
+    marks = times.select(scope, F.col(effective).alias("_at"), F.col(effective).alias("_snap")).unionByName(stored.select(scope, "_at", F.lit(None).cast(times.schema[effective].dataType).alias("_snap")))
+    marks = marks.groupBy(scope, "_at").agg(F.max("_snap").alias("_snap"))
+    later = Window.partitionBy(scope).orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, -1)
+    marks = marks.select(scope, "_at", F.last("_snap", True).over(later).alias("_then")).where("_then IS NOT NULL")
+    last = stored.select(*k, "_at").unionByName(seen.select(*k, "_at"))
+    gone = last.join(marks, [scope, "_at"]).select(*k, F.col("_then").alias("_at")).distinct()
     gone = gone.join(seen.select(*k, "_at"), [*k, "_at"], "left_anti")
     gone = gone.select(*k, *(F.lit(None).cast(current.schema[c].dataType).alias(c) for c in compare), "_at", F.lit(False).alias("_on"))
     events = stored.unionByName(ended).unionByName(seen).unionByName(gone)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import times
 from marlstone.functions.ids import hub_key, link_key
+from marlstone.operators.segments import SEGMENT, fill, segmented
 from marlstone.operators.upsert import insert_absent, latest, scd1, upsert
 
 MARKS = "workflow_key string, mark string"
@@ -71,27 +72,66 @@ def disjoint(dim: DataFrame, key: list[str]) -> DataFrame:
     Newest is the latest ``active_from``, then the latest ``active_to``, then the other columns. Intervals are cut at
     all starts and ends of their key, so a nested version does not end the one around it. ``version_from`` is the
     version's own start. Only the dimension is shuffled.
+
+    The cuts of a key are numbered, and a version covers a range of numbers, which falls into some nodes of a binary tree
+    (two for each level at most). The newest version of each node is found first; the newest of an interval is then that
+    of the nodes above it. A key with v versions costs v log v rows, however they lie within one another.
     """
     rest = [c for c in dim.columns if c not in (*key, "active_from", "active_to")]
     d = dim.where("active_from < active_to")
     at = d.select(*key, F.explode(F.array("active_from", "active_to")).alias("_at")).distinct()
-    at = at.withColumn("_to", F.lead("_at").over(Window.partitionBy(*key).orderBy("_at"))).where("_to IS NOT NULL").alias("p")
-    cond = [F.col(f"p.{k}") == F.col(f"d.{k}") for k in key] + [F.col("d.active_from") <= F.col("_at"), F.col("_at") < F.col("d.active_to")]
-    j = at.join(d.alias("d"), cond).select(*(F.col(f"p.{k}") for k in key), "_at", "_to", F.struct("d.active_from", "d.active_to", *(F.col(f"d.{c}") for c in rest)).alias("_v"))
-    won = j.groupBy(*key, "_at", "_to").agg(F.max("_v").alias("_v"))
+    w = Window.partitionBy(*key).orderBy("_at")
+    at = at.select(*key, "_at", F.lead("_at").over(w).alias("_to"), (F.row_number().over(w) - 1).alias("_n"))
+    cut = lambda name, column: at.select(*key, F.col("_at").alias(column), F.col("_n").alias(name))
+    version = F.struct("active_from", "active_to", *rest)
+    spans = d.select(*key, "active_from", "active_to", version.alias("_v")).join(cut("_l", "active_from"), [*key, "active_from"]).join(cut("_r", "active_to"), [*key, "active_to"])
+
+    def nodes(h: Column) -> Column:
+        # the range [l, r) of numbers, in nodes of 2^h numbers each; an odd end stands alone on its level
+        l, r = F.floor((F.col("_l") + F.pow(F.lit(2), h) - 1) / F.pow(F.lit(2), h)), F.floor(F.col("_r") / F.pow(F.lit(2), h))
+        left = F.when((l < r) & (l % 2 == 1), l)
+        right = F.when((l < r) & (r % 2 == 1) & (l + l % 2 < r), r - 1)
+        return F.transform(F.array_compact(F.array(left, right)), lambda x: F.struct(h.alias("h"), x.cast("int").alias("x")))
+
+    levels = lambda n: F.sequence(F.lit(0), F.floor(F.log2(n + 1)).cast("int"))
+    tree = spans.select(*key, "_v", F.explode(F.flatten(F.transform(levels(F.col("_r")), nodes))).alias("_t"))
+    tree = tree.groupBy(*key, F.col("_t.h").alias("_h"), F.col("_t.x").alias("_x")).agg(F.max("_v").alias("_v"))
+    # nodes above an interval: as many levels as the key's cuts need
+    top = F.max("_n").over(Window.partitionBy(*key))
+    own = at.withColumn("_top", top).where("_to IS NOT NULL").select(*key, "_at", "_to", "_n", F.explode(levels(F.col("_top"))).alias("_h"))
+    own = own.withColumn("_x", F.floor(F.col("_n") / F.pow(F.lit(2), F.col("_h"))).cast("int"))
+    won = own.join(tree, [*key, "_h", "_x"]).groupBy(*key, "_at", "_to").agg(F.max("_v").alias("_v"))
     return won.select(*key, *(F.col(f"_v.{c}").alias(c) for c in rest), F.col("_v.active_from").alias("version_from"), F.col("_at").alias("active_from"), F.col("_to").alias("active_to"))
 
 
-def as_of_join(facts: DataFrame, dim: DataFrame, key: list[str], ts: str, how: str = "left") -> DataFrame:
-    """The newest version of each fact's key that is valid at its time: [active_from, active_to).
+#: Versions of a key up to which a fact is held against all of them.
+FEW_VERSIONS = 64
+
+
+def as_of_join(facts: DataFrame, dim: DataFrame, key: list[str], ts: str, how: str = "left", few: int = FEW_VERSIONS, chunk: str = "day") -> DataFrame:
+    """The newest version of each fact's key that is valid at its time: [active_from, active_to). ``how``: left or inner.
 
-    An equi-join on the key with the interval as a further condition; versions are made disjoint first, so a fact
-    meets one at most and no window or aggregate over the facts is needed.
+    Versions are made disjoint first, so a fact meets one at most. If no key has more than ``few`` versions, this is an
+    equi-join on the key with the interval as a further condition, which Spark may broadcast. Otherwise facts and the
+    starts of intervals are put in one order by time, and each fact takes the last start before it: within a ``chunk``
+    of the key's time, and from chunk to chunk by one row each, so neither a long history nor a hot key fills a task.
     """
     rest = [c for c in dim.columns if c not in (*key, "active_from", "active_to")]
-    d, f = disjoint(dim, key).alias("d"), facts.alias("f")
-    cond = [F.col(f"f.{k}") == F.col(f"d.{k}") for k in key] + [F.col("d.active_from") <= F.col(f"f.{ts}"), F.col(f"f.{ts}") < F.col("d.active_to")]
-    return f.join(d, cond, how).select("f.*", *(F.col(f"d.{c}") for c in rest), F.col("d.version_from").alias("version_from"))
+    most = dim.groupBy(*key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    d = disjoint(dim, key)
+    if most <= few:
+        d, f = d.alias("d"), facts.alias("f")
+        cond = [F.col(f"f.{k}") == F.col(f"d.{k}") for k in key] + [F.col("d.active_from") <= F.col(f"f.{ts}"), F.col(f"f.{ts}") < F.col("d.active_to")]
+        return f.join(d, cond, how).select("f.*", *(F.col(f"d.{c}") for c in rest), F.col("d.version_from").alias("version_from"))
+    at = lambda c: F.col(c).cast("timestamp").alias("_ts")
+    version = F.struct("active_to", "version_from", *rest)
+    starts = d.select(*key, at("active_from"), F.lit(0).alias("_kind"), version.alias("_v"))
+    rows = facts.select(*key, at(ts), F.lit(1).alias("_kind"), F.struct(*(F.col(f"`{c}`") for c in facts.columns)).alias("_f"))
+    both = segmented(rows.unionByName(starts, allowMissingColumns=True), key, at=F.date_trunc(chunk, "_ts"))
+    met, last, _ = fill(both, key, ["_ts", "_kind"], F.col("_v"), [F.col(f"{SEGMENT}.at").asc()])
+    met = met.where("_kind = 1").withColumn("_w", F.when(F.col(f"{last}.active_to") > F.col("_ts"), F.col(last)))
+    met = met.where("_w IS NOT NULL") if how == "inner" else met
+    return met.select("_f.*", *(F.col(f"_w.{c}").alias(c) for c in rest), F.col("_w.version_from").alias("version_from"))
 
 
 def known_products(bonuses: DataFrame, products: DataFrame) -> DataFrame:

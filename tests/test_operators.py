@@ -152,13 +152,12 @@ CITIES = [(1, "A", "UTC", 0.0, 0.0), (2, "B", "Asia/Tokyo", 0.0, 0.2), (3, "C",
 CITY = "city_id int, city string, timezone string, lat_n_rad double, lng_n_rad double"
 
 
-@pytest.mark.parametrize("block", [10_000, 1])
-def test_nearest_place(spark, monkeypatch, block):
-    monkeypatch.setattr(places, "BLOCK", block)
+@pytest.mark.parametrize("in_row", [128, 0])
+def test_nearest_place(spark, in_row):
     points = spark.createDataFrame([(1, 0.0, 0.1), (2, 0.0, 0.11), (3, None, 0.1), (4, 0.4, 0.0)], "id int, lat_rad double, lng_rad double")
-    got = {r.id: r.city_id for r in places.nearest_place(points, spark.createDataFrame(CITIES, CITY)).collect()}
+    got = {r.id: r.city_id for r in places.nearest_place(points, spark.createDataFrame(CITIES, CITY), in_row=in_row).collect()}
     assert got == {1: 1, 2: 2, 3: None, 4: 3}  # halfway between two: the smaller id
-    none = places.nearest_place(points, spark.createDataFrame([], CITY))
+    none = places.nearest_place(points, spark.createDataFrame([], CITY), in_row=in_row)
     assert {r.city_id for r in none.collect()} == {None}
 
 
