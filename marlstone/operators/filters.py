@@ -57,3 +57,13 @@ def routed(df: DataFrame, object_type: str) -> DataFrame:
 def sampled(df: DataFrame, fraction: float | None, seed: int = 42) -> DataFrame:
     """A row sample; everything for None."""
     return df if fraction is None else df.sample(fraction=fraction, seed=seed)
+
+
+def sampled_keys(df: DataFrame, fraction: float, *keys: str, seed: int = 42) -> DataFrame:
+    """All rows of a share of the keys: those whose hash lies below a threshold.
+
+    A key is in or out whatever the partitions, the order or the other rows are, and tables that share keys are sampled
+    alike. A null key counts as an empty one.
+    """
+    text = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys))
+    return df.where(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") < int(fraction * 2**32))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import times
@@ -41,6 +42,18 @@ def high_mark(batch: DataFrame, column: str):
     return batch.agg(F.max(column)).first()[0]
 
 
+def measured(df: DataFrame, **aggregates: Column) -> tuple[DataFrame, Callable[[], dict]]:
+    """``df``, and a function that gives the aggregates over it once an action has read it: marks, counts and checks of
+    a load come from the pass that writes it."""
+    seen = Observation()
+    return df.observe(seen, *(c.alias(n) for n, c in aggregates.items())), lambda: seen.get
+
+
+def checked(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, Callable[[], dict]]:
+    """``df``, and how many of its rows break each check; a check that is null counts as broken."""
+    return measured(df, **{n: F.count_if(~F.coalesce(c, F.lit(False))) for n, c in checks.items()})
+
+
 def next_launch(state: DataFrame, report: str) -> int:
     """The number of a report's next run."""
     return int(read_mark(state, f"launch:{report}", 0)) + 1

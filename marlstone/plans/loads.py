@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone import schemas
@@ -18,7 +18,7 @@ from marlstone.plans import mapping as M
 from marlstone.plans import marts
 from marlstone.plans import oracles as O
 from marlstone.session import shared_dir, table
-from marlstone.sources import files, sinks
+from marlstone.sources import files, keyed, sinks
 from marlstone.streaming import campaigns, orders
 
 QUERIES: dict = {}
@@ -51,6 +51,13 @@ def _numbered_csv(lines: DataFrame, at: str, stem: str) -> None:
         fs.rename(x.getPath(), path(f"{at}/{stem}_{x.getPath().getParent().getName().split('=')[1]}.csv"))
 
 
+def _placed(ordered: DataFrame, at: str) -> DataFrame:
+    """A small ordered result with the place of each row in it; a partition follows the one before."""
+    ordered.withColumn("_at", F.monotonically_increasing_id()).write.parquet(f"{at}-ordered")
+    x = ordered.sparkSession.read.parquet(f"{at}-ordered")
+    return x.withColumn("place", F.row_number().over(Window.orderBy("_at")).cast("bigint")).drop("_at")
+
+
 def _transaction_lines(spark: SparkSession, d: str) -> DataFrame:
     """Orders as lines of transactions in ten batches; every 50th has a broken amount."""
     amount = F.when(F.col("o_orderkey") % 50 == 0, "x1").otherwise(F.col("o_totalprice").cast("int").cast("string"))
@@ -59,11 +66,14 @@ def _transaction_lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(line.alias("value"), (F.col("o_orderkey") % 10).alias("batch"))
 
 
-@query("src08_batch_files", "SELECT 'transactions_batch_' || b || '.csv' AS file, b::INT AS batch FROM (SELECT DISTINCT o_orderkey % 10 AS b FROM orders)")
+@query("src08_batch_files", "SELECT 'transactions_batch_' || b || '.csv' AS file, b::INT AS batch, row_number() OVER (ORDER BY b)::BIGINT AS place FROM (SELECT DISTINCT o_orderkey % 12 AS b FROM orders)")
 def _(spark, d):
+    """Twelve files in the order of their numbers (10 after 9): the place of each in the result as it is given."""
     at = _room(spark, "batches")
-    _numbered_csv(_transaction_lines(spark, d), at, "transactions_batch")
-    return files.batch_files(spark, at, "transactions_batch_*.csv", "2000-01-01T00:00:00").select("file", "batch")
+    lines = _transaction_lines(spark, d).withColumn("batch", F.split("value", ",")[0].cast("bigint") % 12)
+    _numbered_csv(lines, at, "transactions_batch")
+    found = files.batch_files(spark, at, "transactions_batch_*.csv", "2000-01-01T00:00:00").select("file", "batch")
+    return _placed(found, at)
 
 
 @query("src10_csv_batches", "SELECT o_orderkey::VARCHAR AS operation_id, o_custkey::INT AS account_number_from, trunc(o_totalprice)::INT AS amount, o_orderdate AS transaction_dt, (o_orderkey % 10)::INT AS batch FROM orders WHERE o_orderkey % 50 <> 0")
@@ -191,10 +201,12 @@ def _(spark, d):
 
 @query("prj10_event_ids", "SELECT count(*) AS n, count(DISTINCT (event_id, user_id, ts)) AS distinct_ids, true AS stable FROM events")
 def _(spark, d):
-    """Ids of events: as many as different events, and the same when computed again."""
-    e = table(spark, d, "events")
-    twice = e.select(ids.row_id(F.col("event_id"), F.col("user_id"), F.col("ts")).alias("a"), ids.row_id(F.col("event_id"), F.col("user_id"), F.col("ts")).alias("b"))
-    return twice.agg(F.count("*").alias("n"), F.countDistinct("a").alias("distinct_ids"), F.bool_and(F.col("a") == F.col("b")).alias("stable"))
+    """Ids of events: as many as different events, and the same from a copy in other partitions and another order."""
+    at, e = _room(spark, "ids"), table(spark, d, "events")
+    made = lambda df, name: df.select("event_id", "user_id", "ts", ids.row_id(F.col("event_id"), F.col("user_id"), F.col("ts")).alias(name))
+    e.repartitionByRange(7, F.desc("ts")).write.parquet(at)
+    both = made(e, "a").join(made(spark.read.parquet(at), "b"), ["event_id", "user_id", "ts"], "full")
+    return both.agg(F.count("*").alias("n"), F.countDistinct("a").alias("distinct_ids"), F.bool_and(F.col("a").eqNullSafe(F.col("b"))).alias("stable"))
 
 
 @query("prj09_audit", O.LINK_KEYS.replace("SELECT ", "SELECT TIMESTAMP '2024-01-01' AS load_dt, 'orders' AS load_src, ", 1))
@@ -258,10 +270,10 @@ def _(spark, d):
     return filters.routed(table(spark, d, "orders").select(F.col("o_orderkey").alias("object_id"), kind.alias("object_type"), payload.alias("payload")), "order").select("object_id")
 
 
-@query("flt12_sample")
+@query("flt12_sample", "SELECT o_orderkey FROM orders WHERE ('0x' || md5('42|' || o_custkey)[1:8])::BIGINT < 429496729")
 def _(spark, d):
-    """A tenth of the orders, the sampling operator itself."""
-    return filters.sampled(table(spark, d, "orders").select("o_orderkey"), 0.1)
+    """All orders of a tenth of the customers."""
+    return filters.sampled_keys(table(spark, d, "orders"), 0.1, "o_custkey").select("o_orderkey")
 
 
 @query("flt13_quarantine", "SELECT o_orderkey, o_orderkey % 9 = 0 AS dead FROM orders")
@@ -376,8 +388,9 @@ def _(spark, d):
     state = spark.createDataFrame([], warehouse.MARKS)
     for run, until in enumerate(("1994-12-31", "1996-12-31", "2100-01-01")):
         batch = warehouse.incremental_batch(o, "o_orderdate", warehouse.read_mark(state, "orders")).where(F.col("o_orderdate") <= F.lit(until))
+        batch, seen = warehouse.measured(batch, high=F.max("o_orderdate"))
         batch.write.parquet(f"{at}/table/run={run}")
-        high = warehouse.high_mark(spark.read.parquet(f"{at}/table/run={run}"), "o_orderdate")
+        high = seen()["high"]  # from the pass that has written the batch
         launch = warehouse.next_launch(state, "orders")
         state = warehouse.write_mark(warehouse.write_mark(state, "launch:orders", launch), "orders", high)
         state.write.parquet(f"{at}/state/run={run}")  # after the batch
@@ -390,13 +403,7 @@ def _(spark, d):
 def _(spark, d):
     """The zones report in its order; each partition of an ordered result follows the one before."""
     m = marts.zones_mart(M.events(spark, d), M.cities(spark, d), ordered=True).select("month", "week", "zone_id")
-    at = _room(spark, "ordered")
-    m.withColumn("at", F.monotonically_increasing_id()).write.parquet(at)
-    x = spark.read.parquet(at)
-    from pyspark.sql import Window
-
-    # one small row for each month, week and zone
-    return x.select("month", "week", "zone_id", F.row_number().over(Window.orderBy("at")).cast("bigint").alias("place"))
+    return _placed(m, _room(spark, "ordered"))  # one small row for each month, week and zone
 
 
 @query("dq05_required", "SELECT o_orderkey::VARCHAR AS _id, CASE WHEN o_orderkey % 6 = 0 THEN 'name,login' WHEN o_orderkey % 2 = 0 THEN 'name' ELSE 'login' END AS lacking FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
@@ -404,3 +411,101 @@ def _(spark, d):
     k = F.col("o_orderkey")
     u = table(spark, d, "orders").select(k.cast("string").alias("_id"), F.when(k % 2 != 0, "n").alias("name"), F.when(k % 3 != 0, "l").alias("login"))
     return warehouse.lacking(u, ["name", "login"]).select("_id", F.array_join("lacking", ",").alias("lacking"))
+
+
+@query("snk01_refresh", "SELECT o_orderkey, o_orderstatus FROM orders")
+def _(spark, d):
+    """A full refresh over a former one."""
+    at, o = _room(spark, "refresh"), table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    sinks.refresh(o.withColumn("o_orderstatus", F.lit("former")), at)
+    sinks.refresh(o, at)
+    return spark.read.schema(o.schema).parquet(at)
+
+
+def _years(o: DataFrame) -> list[DataFrame]:
+    """The orders in loads by their dates."""
+    ends = ("1992-01-01", "1993-07-01", "1995-01-01", "1996-07-01", "1998-01-01", "2100-01-01")
+    return [o.where((F.col("o_orderdate") >= a) & (F.col("o_orderdate") < b)) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+@query("snk06_keyed_upsert", O.UPSERT)
+def _(spark, d):
+    """All orders up to 1998 in five loads, then those from 1997 on with another status: only their buckets are written."""
+    at = _room(spark, "keyed")
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus")
+    for i, batch in enumerate([*_years(o), o.where("o_orderdate >= '1997-01-01'").withColumn("o_orderstatus", F.concat("o_orderstatus", F.lit("2")))]):
+        keyed.upsert_into(batch, at, ["o_orderkey"], ["o_orderdate"], batch_id=i)
+        keyed.upsert_into(batch.withColumn("o_orderstatus", F.lit("again")), at, ["o_orderkey"], ["o_orderdate"], batch_id=i)  # the number tells that it is in
+    return keyed.read(spark, at)
+
+
+@query("snk07_keyed_insert", "SELECT o_custkey, min(o_orderdate) AS load_dt FROM orders GROUP BY 1")
+def _(spark, d):
+    """Customers at their first load; later loads add only those that are not in yet."""
+    at = _room(spark, "keyed")
+    for i, batch in enumerate(_years(table(spark, d, "orders"))):
+        keyed.insert_into(batch.select("o_custkey", F.col("o_orderdate").alias("load_dt")), at, ["o_custkey"], ["load_dt"], batch_id=i)
+    return keyed.read(spark, at)
+
+
+@query("snk08_keyed_counts", O.ADD_COUNTS)
+def _(spark, d):
+    """Counts of loads, each of which comes twice."""
+    at = _room(spark, "keyed")
+    for i, batch in enumerate(_years(table(spark, d, "orders"))):
+        for _ in range(2):
+            keyed.add_into(batch.groupBy("o_custkey").agg(F.count("*").alias("order_cnt")), at, ["o_custkey"], "order_cnt", batch_id=i)
+    return keyed.read(spark, at)
+
+
+def _derby(spark: SparkSession, name: str) -> dict:
+    """A database in this process, with a table of customers; where executors are other processes, name one that they reach."""
+    spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    return {"url": f"jdbc:derby:memory:{name}{uuid.uuid4().hex};create=true", "table": "CUSTOMERS", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
+def _customers(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select(F.col("c_custkey").cast("bigint").alias("ID"), F.col("c_name").alias("NAME"), F.col("c_acctbal").cast("double").alias("BALANCE"))
+
+
+@query("src13_jdbc_parts", "SELECT c_custkey::BIGINT AS id, c_name AS name, c_acctbal::DOUBLE AS balance FROM customer")
+def _(spark, d):
+    """All customers from a relational table, in four queries of even size."""
+    o = _derby(spark, "parts")
+    sinks.append_jdbc(_customers(spark, d), **o)
+    return files.read_jdbc_parts(spark, "ID", 4, **o).select(F.col("ID").alias("id"), F.col("NAME").alias("name"), F.col("BALANCE").alias("balance"))
+
+
+@query("so01_capped_batches", "SELECT c_custkey::BIGINT AS id, ((row_number() OVER (ORDER BY c_custkey) - 1) // ((SELECT count(*) FROM customer) // 4 + 1))::INT AS batch FROM customer")
+def _(spark, d):
+    """All customers in capped batches by their ids, each beyond the mark of the one before; the source caps them."""
+    o, at = _derby(spark, "capped"), _room(spark, "capped")
+    sinks.append_jdbc(_customers(spark, d), **o)
+    n, mark, run = table(spark, d, "customer").count() // 4 + 1, None, 0
+    while True:
+        batch, seen = warehouse.measured(files.read_jdbc_batch(spark, "ID", mark, n, **o), high=F.max("ID"))
+        batch.select(F.col("ID").alias("id")).write.parquet(f"{at}/batch={run}")
+        if seen()["high"] is None:
+            break
+        mark, run = seen()["high"], run + 1
+    return spark.read.schema("id bigint, batch int").parquet(at)
+
+
+@query("snk03_append_once", "SELECT c_custkey::BIGINT AS id, count(*) AS n FROM customer GROUP BY 1")
+def _(spark, d):
+    """Customers appended to a relational table in three batches, of which every one comes twice."""
+    o, c = _derby(spark, "once"), _customers(spark, d)
+    sinks.append_jdbc(c.limit(0), **o)
+    for i in (0, 1, 2, 1, 0, 2):
+        sinks.append_jdbc_once(c.where(F.col("ID") % 3 == i), "customers", i, **o)
+    return files.read_jdbc(spark, **o).groupBy(F.col("ID").alias("id")).agg(F.count("*").alias("n"))
+
+
+@query("dq02_measured_load", "SELECT count(*) FILTER (l_discount >= 0.09) AS discount, count(*) FILTER (l_quantity NOT BETWEEN 2 AND 49) AS quantity, count(*) AS loaded FROM lineitem")
+def _(spark, d):
+    """How many rows break each check, measured in the pass that loads them."""
+    at = _room(spark, "checked")
+    rows, broken = warehouse.checked(table(spark, d, "lineitem"), {"discount": F.col("l_discount") < 0.09, "quantity": F.col("l_quantity").between(2, 49)})
+    rows.write.parquet(at)
+    found = broken()
+    return spark.read.parquet(at).agg(F.lit(found["discount"]).alias("discount"), F.lit(found["quantity"]).alias("quantity"), F.count("*").alias("loaded"))

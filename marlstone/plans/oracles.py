@@ -95,7 +95,7 @@ FROM one JOIN r ON r.day = one.dt::DATE AND r.cur = one.cur WHERE account > 0 AN
 _ROWS = "WITH r AS (SELECT l_orderkey::VARCHAR AS order_id, o_custkey::VARCHAR AS user_id, p_partkey::VARCHAR AS product_id, p_name AS product_name, p_type AS category, l_linenumber AS line FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderstatus = 'F'), u AS (SELECT DISTINCT order_id, user_id, product_id, product_name, category FROM r)"
 USER_PRODUCTS = _ROWS + " SELECT user_id, product_id, product_name, count(*) AS order_cnt FROM u GROUP BY ALL"
 USER_CATEGORIES = _ROWS + " SELECT user_id, category AS category_id, category AS category_name, count(DISTINCT order_id) AS order_cnt FROM u GROUP BY ALL"
-LAST_IN_ORDER = "SELECT order_id, count(*) AS products, sum(line)::BIGINT AS lines FROM (SELECT l_orderkey::VARCHAR AS order_id, l_partkey, max(l_linenumber) AS line FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2) GROUP BY 1"
+LAST_IN_ORDER = "SELECT l_orderkey::VARCHAR AS order_id, l_partkey::VARCHAR AS product_id, max(l_linenumber)::INT AS line FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2"
 NOTIFICATIONS = """
 WITH c AS (SELECT (o_custkey % 50)::VARCHAR AS restaurant_id, *, epoch(o_orderdate)::BIGINT AS s FROM orders)
 SELECT c.restaurant_id, o_orderkey::VARCHAR AS adv_campaign_id, 'campaign ' || o_orderkey AS adv_campaign_content, o_orderpriority AS adv_campaign_owner, o_custkey || '@example.com' AS adv_campaign_owner_contact,

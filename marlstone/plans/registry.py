@@ -132,7 +132,7 @@ def _(spark, d):
 
 @query("dst03_last_in_order", O.LAST_IN_ORDER)
 def _(spark, d):
-    return _order_products(spark, d).groupBy("order_id").agg(F.count("*").alias("products"), F.sum("line").cast("bigint").alias("lines"))
+    return _order_products(spark, d).select("order_id", "product_id", F.col("line").cast("int").alias("line"))
 
 
 @query("prj04_time_dimension", O.TIME_DIMENSION)

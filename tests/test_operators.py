@@ -328,3 +328,63 @@ def test_empty_rejects_drop_the_former_table(spark, tmp_path):
     bad = spark.createDataFrame([("x", 1)], "_bad string, batch int")
     assert sinks.write_rejects(bad, path) == 1 and os.path.exists(path)
     assert sinks.write_rejects(bad.limit(0), path) == 0 and not os.path.exists(path)
+
+
+DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+
+
+def test_jdbc_batches_are_cut_in_the_source(spark, tmp_path):
+    o = {"url": f"jdbc:derby:{tmp_path}/db;create=true", "table": "T", "driver": DERBY}
+    day = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(days=i)
+    sinks.append_jdbc(spark.createDataFrame([(i, f"it's {i}", day(i)) for i in range(40)] + [(None, "n", None)], "K bigint, V string, At timestamp"), **o)
+    batch = files.read_jdbc_batch(spark, "K", 9, 5, **o)
+    assert sorted(r.K for r in batch.collect()) == [10, 11, 12, 13, 14]
+    assert "FETCH FIRST 5 ROWS ONLY" in batch._jdf.queryExecution().toString()
+    assert sorted(r.K for r in files.read_jdbc_batch(spark, "At", day(36), **o).collect()) == [37, 38, 39]
+    assert files._literal("it's 8") == "'it''s 8'" and files._literal(dt.date(2024, 1, 2)) == "{d '2024-01-02'}"
+    assert files.read_jdbc_batch(spark, "K", 99, 5, **o).count() == 0
+    parts = files.read_jdbc_parts(spark, "K", 4, **o)
+    assert parts.rdd.getNumPartitions() == 4 and sorted(parts.select("K").collect(), key=repr) == sorted([(i,) for i in [*range(40), None]], key=repr)
+    name = files.jdbc_catalog(spark, f"derby{os.getpid()}", o["url"], driver=DERBY)
+    t = spark.table(f"{name}.APP.T").where("K > 15").agg(F.max("K").alias("m"), F.count("*").alias("n"))
+    plan = t._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregates: [MAX(K), COUNT(*)]" in plan and "GreaterThan" in plan or "K > 15" in plan
+    assert tuple(t.first()) == (39, 24)
+
+
+def test_jdbc_append_once(spark, tmp_path, monkeypatch):
+    o = {"url": f"jdbc:derby:{tmp_path}/db;create=true", "table": "T", "driver": DERBY}
+    df = spark.range(10).select(F.col("id").alias("K"))
+    sinks.append_jdbc(df.limit(0), **o)
+    assert sinks.append_jdbc_once(df, "w", 0, **o) and not sinks.append_jdbc_once(df, "w", 0, **o)
+    assert sinks.append_jdbc_once(df, "other", 0, **o) and sinks.append_jdbc_once(df.limit(0), "w", 1, **o)
+    assert files.read_jdbc(spark, **o).count() == 20
+    # a stop within the transaction leaves the table as it was, and the batch is taken when it comes again
+    wrong = df.select(F.col("K").alias("NONE"))
+    with pytest.raises(Exception, match="NONE"):
+        sinks.append_jdbc_once(wrong, "w", 2, **o)
+    assert files.read_jdbc(spark, **o).count() == 20
+    assert sinks.append_jdbc_once(df, "w", 2, **o) and files.read_jdbc(spark, **o).count() == 30
+    tables = files.read_jdbc(spark, **o | {"table": "(SELECT TABLENAME FROM SYS.SYSTABLES WHERE TABLETYPE = 'T') x"})
+    assert {r[0] for r in tables.collect()} == {"T", "LOADED_BATCHES"}
+
+
+def test_measured_in_the_pass_that_writes(spark, tmp_path):
+    df, seen = warehouse.measured(spark.range(100), n=F.count("*"), high=F.max("id"))
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    df.write.parquet(str(tmp_path / "t"))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - before
+    assert seen() == {"n": 100, "high": 99} and jobs <= 1
+    df, broken = warehouse.checked(spark.createDataFrame([(1,), (None,), (-1,)], "x int"), {"positive": F.col("x") > 0})
+    df.collect()
+    assert broken() == {"positive": 2}
+
+
+def test_sampled_keys_are_stable(spark):
+    df = spark.createDataFrame([(i % 500, str(i)) for i in range(5000)] + [(None, "n")], "k int, v string")
+    one = filters.sampled_keys(df, 0.2, "k")
+    assert rows(one) == rows(filters.sampled_keys(df.repartition(7, "v").orderBy(F.desc("v")), 0.2, "k"))
+    kept = {r.k for r in one.collect()}
+    assert 60 < len(kept) < 140 and one.where("k IS NOT NULL").count() == 10 * len(kept - {None})
+    assert filters.sampled_keys(df, 0.0, "k").count() == 0 and filters.sampled_keys(df, 1.0, "k").count() == df.count()
+    assert kept != {r.k for r in filters.sampled_keys(df, 0.2, "k", seed=1).collect()}
