@@ -4,10 +4,15 @@ A candidate is a long unbroken string behind a sensitive word. Its marginal cost
 surroundings with the candidate less the size without it, both under a dictionary of the surroundings and of
 identifiers. These are learned first: the words that identifiers are made of are counted over all texts that have a
 sensitive context, and the ``DICTIONARY_WORDS`` most frequent join a few fixed ones. Only short runs of letters are
-words, so a key that many copies of a text repeat does not get in. A name or path that the code around it explains costs little, a random key costs nearly its entropy.
-Candidates that cost ``min_ratio`` bytes for each of their characters, or nearly what a random string of their length
-and alphabet costs there, are reported as kind ``novel``. Zstandard codes short strings at a byte a character, so
-candidates must also be no likelier, letter by letter, than a random draw.
+words, so a key that many copies of a text repeat does not get in. Copies of the candidate itself are taken out of its
+surroundings, so a key that stands there twice is still news. A name or path that the code around it explains costs little,
+a random key costs nearly its entropy. Candidates that cost ``min_ratio`` bytes for each of their characters, or nearly
+what random strings of their length and alphabet cost there, are reported as kind ``novel``.
+
+Zstandard codes a word of three or four letters in as many bytes, dictionary or not, so it cannot tell names made of
+short words from keys; candidates must therefore also be no likelier, letter by letter, than a random draw. Of what
+passes that, compression decides: strings put together from pieces that the code around them has (build names, paths of
+hashes, ids of ids) look random by their letters, and are explained by the surroundings alone.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned one by one; spans are code points of
 the whole text, end exclusive; an empty table gives an empty result; other columns pass through ``scan``.
@@ -28,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.llm import textkit
 from marlstone.session import ship
 
 #: The kinds in the order that breaks ties of their starts.
@@ -57,11 +63,12 @@ DICTIONARY_WORDS = 2000
 #: The same contexts for the JVM, and the words that identifiers are made of: cut at case changes and other signs.
 HINT = r"(?i)(?:auth|bearer|credential|private|pwd|passphrase|signature|session|cookie|access|key|pass(?:word|wd)?|secret|token|salt|licen[cs]e)"
 WORD = r"(?<![A-Za-z])[A-Z]?[a-z]{3,15}(?![a-z])|(?<=[a-z])[A-Z][a-z]{3,15}(?![a-z])|(?<![A-Za-z])[A-Z]{4,15}(?![A-Za-z])"
+_WORDS = re.compile(WORD)
 
 REACH = 1024
 MIN_RATIO = 0.75
-#: Share of a random string's cost that makes a candidate novel, whatever its alphabet.
-OF_RANDOM = 0.9
+#: Share of the least cost of so many random strings that makes a candidate novel, whatever its alphabet.
+OF_RANDOM, DRAWS = 0.9, 3
 _DIGITS, _LOW = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 ALPHABETS = (_DIGITS, _DIGITS + "abcdef", _DIGITS + "ABCDEF", _LOW, _LOW.upper(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567=", _LOW + _LOW.upper())
 ALPHABETS += (_LOW + _DIGITS, _LOW.upper() + _DIGITS, _LOW + _LOW.upper() + _DIGITS, _LOW + _LOW.upper() + _DIGITS + "+/_=-")
@@ -78,24 +85,45 @@ def learn(docs: DataFrame, text: str = "text", most: int = DICTIONARY_WORDS) ->
     return " ".join(r.w for r in reversed(top)).encode()
 
 
-def _size(data: bytes, dictionary: bytes) -> int:
-    d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return len(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False).compress(data))
-
-
-def _costs(text: str, start: int, end: int, reach: int, learned: bytes, *strings: bytes) -> list[int]:
-    """Bytes that each string adds to the compressed surroundings of text[start:end], in its place."""
-    left = text[max(0, start - reach) : start].encode()
-    right = text[end : end + reach].encode()
-    dictionary = IDENTIFIERS + learned + left + right
-    near = left[-64:]
-    return [_size(near + x, dictionary) - _size(near, dictionary) for x in strings]
+class _Around:
+    """The surroundings of text[start:end], without any copy of it: a key that stands there twice excuses itself nowhere."""
+
+    def __init__(self, text: str, start: int, end: int, reach: int, learned: bytes):
+        self.own = text[start:end]
+        self.left = text[max(0, start - reach) : start].replace(self.own, " ")
+        self.right = text[end : end + reach].replace(self.own, " ")
+        self.learned = learned
+        self._coder = None
+
+    def cost(self, *strings: bytes) -> list[int]:
+        """Bytes that each string adds to the compressed surroundings in the candidate's place."""
+        left = self.left.encode()
+        near = left[-64:]
+        if self._coder is None:
+            data = IDENTIFIERS + self.learned + left + self.right.encode()
+            d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            self._coder = zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False)
+            self._base = len(self._coder.compress(near))
+        return [len(self._coder.compress(near + x)) - self._base for x in strings]
+
+    def unlikely(self) -> bool:
+        """Letter pairs of identifiers and of the words around explain the candidate no better than a draw from its alphabet."""
+        known_pairs, known_one, size = _letters(IDENTIFIERS + b" " + self.learned + b" ")
+        around = " ".join(_WORDS.findall(self.left + " " + self.right)).lower()
+        pairs, one = Counter(zip(around, around[1:], strict=False)), Counter(around)
+        size += len(around)
+        cost, before = 0.0, " "
+        for c in self.own.lower().translate(_JOINTS):
+            single = (one[c] + known_one[c] + 0.5) / (size + 48)
+            cost -= math.log2((pairs[before, c] + known_pairs[before, c] + 4 * single) / (one[before] + known_one[before] + 4))
+            before = c
+        return cost >= len(self.own) * math.log2(len(set(_alphabet(self.own).lower())))
 
 
 def marginal_ratio(text: str, start: int, end: int, reach: int = REACH, learned: bytes = b"") -> float:
     """Bytes that text[start:end] adds to its compressed surroundings, for each of its own bytes."""
     own = text[start:end].encode()
-    return _costs(text, start, end, reach, learned, own)[0] / max(1, len(own))
+    return _Around(text, start, end, reach, learned).cost(own)[0] / max(1, len(own))
 
 
 def _alphabet(own: str) -> str:
@@ -103,10 +131,19 @@ def _alphabet(own: str) -> str:
     return ALPHABETS[next((k for k, x in enumerate(_SETS) if x.issuperset(own)), -1)]
 
 
-@lru_cache(10_000)
-def _random(alphabet: str, n: int) -> bytes:
-    """A fixed random string."""
-    return "".join(alphabet[x % len(alphabet)] for x in memoryview(hashlib.shake_128(f"{alphabet}:{n}".encode()).digest(4 * n)).cast("I")).encode()
+def _random(alphabet: str, n: int, k: int) -> bytes:
+    """The k-th of the fixed random strings."""
+    return "".join(alphabet[x % len(alphabet)] for x in memoryview(hashlib.shake_128(f"{alphabet}:{n}:{k}".encode()).digest(4 * n)).cast("I")).encode()
+
+
+#: Short random strings are drawn once: 4,000 of 256 bytes, a megabyte at most.
+_short = lru_cache(4_000)(_random)
+
+
+def _draws(own: str) -> list[bytes]:
+    """Random strings of a candidate's alphabet and length."""
+    draw = _short if len(own) <= 256 else _random
+    return [draw(_alphabet(own), len(own), k) for k in range(DRAWS)]
 
 
 @lru_cache(4)
@@ -116,30 +153,15 @@ def _letters(data: bytes) -> tuple[Counter, Counter, int]:
     return Counter(zip(t, t[1:], strict=False)), Counter(t), len(t)
 
 
-def _unlikely(text: str, start: int, end: int, reach: int = REACH, learned: bytes = b"") -> bool:
-    """Letter pairs of the surroundings and identifiers explain text[start:end] no better than a draw from its alphabet."""
-    known_pairs, known_one, size = _letters(IDENTIFIERS + b" " + learned + b" ")
-    around = (text[max(0, start - reach) : start] + " " + text[end : end + reach]).lower().translate(_JOINTS)
-    own = text[start:end]
-    pairs, one = known_pairs + Counter(zip(around, around[1:], strict=False)), known_one + Counter(around)
-    size += len(around)
-    cost, before = 0.0, " "
-    for c in own.lower().translate(_JOINTS):
-        single = (one[c] + 0.5) / (size + 48)
-        cost -= math.log2((pairs[before, c] + 4 * single) / (one[before] + 4))
-        before = c
-    return cost >= len(own) * math.log2(len(set(_alphabet(own).lower())))
-
-
 def novel(text: str, start: int, end: int, min_ratio: float = MIN_RATIO, reach: int = REACH, learned: bytes = b"") -> bool:
     """text[start:end] is news to its surroundings."""
-    own = text[start:end]
-    if not _unlikely(text, start, end, reach, learned):
+    around = _Around(text, start, end, reach, learned)
+    if not around.unlikely():
         return False
-    cost = marginal_ratio(text, start, end, reach, learned) * len(own)
-    if cost >= min_ratio * len(own):
+    cost = around.cost(around.own.encode())[0]
+    if cost >= min_ratio * len(around.own):
         return True
-    return cost >= OF_RANDOM * _costs(text, start, end, reach, learned, _random(_alphabet(own), len(own)))[0]
+    return cost >= OF_RANDOM * min(around.cost(*_draws(around.own)))
 
 
 def spans(text: str | None, min_ratio: float = MIN_RATIO, learned: bytes = b"") -> list[tuple[int, int, int]]:
@@ -178,18 +200,18 @@ def scan(docs: DataFrame, text: str = "text", min_ratio: float = MIN_RATIO, lear
     """
     ship(docs.sparkSession)
     learned = learn(docs, text) if learned is None else learned
-    kept = [c for c in docs.columns if c != "secrets"]
+    kept = [c for c in docs.columns if c.lower() != "secrets"]
     docs = docs.select(*(F.col(f"`{c}`") for c in kept))
     one = T.StructType().add("kind", "string").add("start", "long").add("end", "long")
     schema = T.StructType(list(docs.schema.fields)).add("secrets", T.ArrayType(one))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [
-                [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans(t.as_py(), min_ratio, learned)] for t in b.column(text)
-            ]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, kind)], [*b.schema.names, "secrets"])
+        for batch in batches:
+            for i, j in textkit.slices(batch, text):
+                b = batch.slice(i, j - i)
+                made = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans(t.as_py(), min_ratio, learned)] for t in b.column(text)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, kind)], [*b.schema.names, "secrets"])
 
     return docs.mapInArrow(run, schema)
 

@@ -83,6 +83,42 @@ def test_secrets_of_any_alphabet_and_length():
         assert not secretscan.spans(prose + x + " " + prose), x
 
 
+def test_keys_that_stand_twice_are_found():
+    """A key in a configuration and again in a session line: neither copy excuses the other."""
+    rnd = random.Random(6)
+    signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    for gap in (" and then ", " padding" * 90, " x" * 700):
+        found = 0
+        for _ in range(100):
+            key = "".join(rnd.choice(signs) for _ in range(40))
+            t = f"The server reads private_key: {key} from its file.{gap}session opened with private_key: {key} by it."
+            starts = {s for s, k, _ in secretscan.spans(t) if k == 3}
+            found += starts == {m.start() for m in re.finditer(key, t)}
+        assert found >= 90, (gap, found)
+
+
+def test_compression_alone_decides():
+    """Strings of pieces that stand around them look random by their letters; only compression knows better."""
+    rnd = random.Random(7)
+    piece = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(14))
+    explained = passed = news = 0
+    for _ in range(100):
+        a, b, c = piece(), piece(), piece()
+        t = f"Build {a} of tree {b} went to store {c}. Its licence key {a}{c}{b} is written down."
+        s = t.index(f"{a}{c}")
+        passed += secretscan._Around(t, s, s + 42, secretscan.REACH, b"").unlikely()
+        explained += not secretscan.novel(t, s, s + 42)
+        t = t.replace(f"{a}{c}{b}", piece() + piece() + piece())
+        news += secretscan.novel(t, s, s + 42)
+    assert passed >= 95 and explained >= 95 and news >= 95, (passed, explained, news)
+
+
+def test_long_candidates_are_not_kept():
+    blob = "k" + "".join(random.Random(1).choices("ghijklmnopqrstuvwxyzGHIJKLMN", k=300_000))
+    assert secretscan.spans(f"access {blob} end")[0][1] == 3
+    assert secretscan._short.cache_info().maxsize * 256 <= 2_000_000
+
+
 def test_segments_are_all_maximal():
     rnd = random.Random(3)
     for _ in range(300):
