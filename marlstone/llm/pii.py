@@ -1,9 +1,10 @@
 """PII surrogates: every detected entity gets a keyed replacement of its own kind, format, script and gender.
 
-Detection is one pattern over the whole text. A person is known by name, not by spelling: a title with or without a dot,
-a title with the family name of the one full name of a text that it fits, and the bare full name are mentions of the
-same person, who has one family and given name throughout; the given name follows the gender that any title in the
-text tells. The replacement of an entity is a function of (key, kind, entity, attempt), so the same entity gets the
+Detection is one pattern over the whole text. A person is known by name, not by spelling: titles with or without dots,
+one or several, a title with the family name of the one full name of a text that it fits, the bare full name, and any of
+these in capitals are mentions of the same person, who has one family name throughout; the given name follows the gender
+that the mention's titles tell, or else another mention's. A phone or card number is known by its digits, however they are
+grouped. The replacement of an entity is a function of (key, kind, entity, attempt), so the same entity gets the
 same surrogate in every document and no table of entities has to travel back to the texts.
 
 Distinct entities must keep distinct surrogates (persons: distinct family names): the surrogates of all distinct
@@ -27,6 +28,8 @@ from marlstone.llm.store import cut
 KEY = "surrogate-key-1"
 #: The first attempts keep an entity's shape; each further one is a character longer.
 GROW_FROM = 4
+#: Up to so many entities that have moved on, and bytes of their names, go to the texts by broadcast, in so many maps.
+BROADCAST_MOVED, BROADCAST_BYTES, SLOTS = 100_000, 8 << 20, 1024
 
 #: Titles that tell a gender, and given names to put in.
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Госпожа")
@@ -37,22 +40,34 @@ MALE_NAMES = ("Adam", "Bruno", "Carl", "David", "Erik", "Felix", "Georg", "Hugo"
 NEUTRAL_NAMES = ("Alex", "Andrea", "Chris", "Dominique", "Jo", "Kim", "Luca", "Noel", "Pat", "Robin", "Sam", "Sascha", "Sidney", "Taylor", "Toni", "Yuri")
 CYRILLIC_FEMALE = ("Алла", "Анна", "Вера", "Дарья", "Елена", "Ирина", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Раиса", "Софья", "Тамара", "Ульяна", "Юлия")
 CYRILLIC_MALE = ("Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Захар", "Иван", "Кирилл", "Лев", "Марк", "Никита", "Олег", "Павел", "Роман", "Тимур")
+GREEK_FEMALE = ("Αγγελική", "Άννα", "Βασιλική", "Γεωργία", "Δήμητρα", "Ελένη", "Ζωή", "Ιωάννα", "Κατερίνα", "Λίνα", "Μαρία", "Νίκη", "Όλγα", "Ρένα", "Σοφία", "Χαρά")
+GREEK_MALE = ("Αλέξης", "Βασίλης", "Γιάννης", "Δημήτρης", "Ηλίας", "Θωμάς", "Κώστας", "Λάμπρος", "Μάριος", "Νίκος", "Ορέστης", "Πέτρος", "Σπύρος", "Τάσος", "Φώτης", "Χρήστος")
 SYLLABLES = ("ba", "de", "fi", "go", "hu", "ka", "le", "mi", "no", "pu", "ra", "se", "ti", "vo", "wu", "zan")
 CYRILLIC_SYLLABLES = ("ба", "де", "фи", "го", "ху", "ка", "ле", "ми", "но", "пу", "ра", "се", "ти", "во", "жу", "зан")
+GREEK_SYLLABLES = ("βα", "δε", "φι", "γο", "χυ", "κα", "λε", "μι", "νο", "πυ", "ρα", "σε", "τι", "θω", "ζα", "ξε")
 
 TITLES = "|".join(FEMALE_TITLES + MALE_TITLES + NEUTRAL_TITLES)
+#: One title or several: "Frau Prof. Dr. ".
+TITLED = rf"(?:(?:{TITLES})\.? )+"
+#: A word of a name: inner capitals, hyphens and apostrophes belong to it, a possessive s does not.
+_INNER = r"(?:(?:-|['’](?!s(?!\p{L})))\p{L}+)"
+WORD = rf"\p{{Lu}}(?:\p{{L}}+{_INNER}*|{_INNER}+)"
+#: Letters of addresses: Latin, Greek and Cyrillic.
+_LETTER = "A-Za-zÀ-ɏͰ-Ͽѐ-ӿЀ-я"
 #: Each pattern first looks at what lies before it, so that no place inside a word or number is tried in full.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = rf"(?<![{_LETTER}0-9._%+-])[{_LETTER}0-9][{_LETTER}0-9._%+-]*+@[{_LETTER}0-9-]+(?:\.[{_LETTER}0-9-]+)*\.[{_LETTER}]{{2,}}"
 IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9A-Za-z])(?:[0-9]{16}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3})(?![0-9A-Za-z])"
 PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9A-Za-z-])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 FIRST = "".join(sorted({x[0] for x in FEMALE_TITLES + MALE_TITLES + NEUTRAL_TITLES}))
-NAME = rf"(?=[{FIRST}])(?<!\p{{L}})(?:{TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
+NAME = rf"(?=[{FIRST}])(?<!\p{{L}}){TITLED}{WORD}(?: {WORD})?"
 ANY = rf"(?<![A-Za-z0-9])(?:{EMAIL}|{IP}|{CARD}|{PHONE}|{SSN}|{NAME})"
 #: A text without a digit, an @ and a title has no entity; this is cheap to see.
 HINT = rf"[0-9@]|(?=[{FIRST}])(?<!\p{{L}})(?:{TITLES})\.? "
 KINDS = ("email", "ip", "card", "phone", "ssn", "name")
+#: The country's code of a phone number.
+CODE = r"^(\+[0-9]{1,3})(?=[ .(-])"
 
 
 def kind_of(m: Column) -> Column:
@@ -68,8 +83,19 @@ def kind_of(m: Column) -> Column:
 
 
 def _rest(m: Column) -> Column:
-    """A name without its title."""
-    return F.regexp_replace(m, rf"^(?:{TITLES})\.? ", "")
+    """A name without its titles."""
+    return F.regexp_replace(m, rf"^{TITLED}", "")
+
+
+def _person_of(m: Column) -> Column:
+    """Who a name without titles stands for: a name in capitals is the same person's as in small letters."""
+    r = _rest(m)
+    return F.when(_shouted(r), F.initcap(r)).otherwise(r)
+
+
+def _shouted(name: Column) -> Column:
+    """Whether a name is written in capitals."""
+    return ~name.rlike(r"\p{Ll}")
 
 
 def _last(person: Column) -> Column:
@@ -77,8 +103,31 @@ def _last(person: Column) -> Column:
 
 
 def _gender(m: Column) -> Column:
-    title = F.regexp_extract(m, rf"^({TITLES})\.? ", 1)
-    return F.when(title.isin(*FEMALE_TITLES), "f").when(title.isin(*MALE_TITLES), "m").otherwise("n")
+    """What the titles of a match tell."""
+    some = lambda titles: m.rlike(rf"^(?:(?:{TITLES})\.? )*(?:{'|'.join(titles)})\.? ")
+    return F.when(some(FEMALE_TITLES), "f").when(some(MALE_TITLES), "m").otherwise("n")
+
+
+def _digits(m: Column, kind: Column) -> Column:
+    """What numbers have in common however they are grouped: the country's code (none for +1), then the digits."""
+    code = F.regexp_extract(m, CODE, 1)
+    plain = F.regexp_replace(F.substring(m, F.length(F.regexp_extract(m, CODE, 0)) + 1, F.length(m)), "[^0-9]", "")
+    phone = F.when(code.isin("", "+1"), plain).otherwise(F.concat(code, F.lit(" "), plain))
+    return F.when(kind == "card", F.regexp_replace(m, "[^0-9]", "")).when(kind == "phone", phone).otherwise(m)
+
+
+def _regrouped(m: Column, new: Column) -> Column:
+    """The digits of ``new`` in the grouping of ``m``; further ones at its end."""
+    body = F.regexp_extract(m, CODE, 0)
+    rest = F.substring(m, F.length(body) + 1, F.length(m))
+    digits = F.regexp_replace(new, CODE + " ?", "")
+    start = F.struct(F.lit("").alias("s"), F.lit(1).alias("n"))
+
+    def put(a: Column, c: Column) -> Column:
+        digit = c.rlike("^[0-9]$")
+        return F.struct(F.concat(a["s"], F.when(digit, F.substring(digits, a["n"], F.lit(1))).otherwise(c)).alias("s"), (a["n"] + F.when(digit, 1).otherwise(0)).alias("n"))
+
+    return F.concat(body, F.aggregate(F.split(rest, ""), start, put, lambda a: F.concat(a["s"], F.substring(digits, a["n"], F.length(digits)))))
 
 
 def _mention(m: Column, people: Column, fulls: Column) -> Column:
@@ -89,14 +138,16 @@ def _mention(m: Column, people: Column, fulls: Column) -> Column:
         return F.when(r.contains(" "), r).otherwise(let(fits, lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0))).otherwise(r)))
 
     def gender(p: Column) -> Column:
+        # its own titles first, then those of other mentions
+        own = F.nullif(_gender(m), F.lit("n"))
         told = F.filter(people, lambda x: (x["gender"] != "n") & ((x["rest"] == p) | (x["rest"] == _last(p))))
-        return F.coalesce(F.get(told, F.lit(0))["gender"], F.lit("n"))
+        return F.coalesce(own, F.get(told, F.lit(0))["gender"], F.lit("n"))
 
     def named(p: Column) -> Column:
         return F.struct(m.alias("m"), F.lit("name").alias("kind"), p.alias("entity"), gender(p).alias("gender"))
 
-    other = lambda k: F.struct(m.alias("m"), k.alias("kind"), m.alias("entity"), F.lit("n").alias("gender"))
-    return let(kind_of(m), lambda k: F.when(k == "name", let(person(_rest(m)), named)).otherwise(other(k)))
+    other = lambda k: F.struct(m.alias("m"), k.alias("kind"), _digits(m, k).alias("entity"), F.lit("n").alias("gender"))
+    return let(kind_of(m), lambda k: F.when(k == "name", let(person(_person_of(m)), named)).otherwise(other(k)))
 
 
 def mentions(text: Column) -> Column:
@@ -112,11 +163,12 @@ def mentions(text: Column) -> Column:
         )))
 
     def _pattern(f: Column) -> Column:
-        names = F.concat(F.lit(ANY + r"|(?=\p{Lu})(?<!\p{L})(?:"), F.array_join(f, "|"), F.lit(r")(?!\p{L})"))
+        either = F.flatten(F.transform(f, lambda x: F.array(x, F.upper(x))))
+        names = F.concat(F.lit(ANY + r"|(?=\p{Lu})(?<!\p{L})(?:"), F.array_join(either, "|"), F.lit(r")(?!\p{L})"))
         return F.when(F.size(f) > 0, names).otherwise(F.lit(ANY))
 
     titled = F.regexp_extract_all(whole(text), F.lit(NAME), F.lit(0))
-    people = F.array_distinct(F.transform(titled, lambda m: F.struct(_rest(m).alias("rest"), _gender(m).alias("gender"))))
+    people = F.array_distinct(F.transform(titled, lambda m: F.struct(_person_of(m).alias("rest"), _gender(m).alias("gender"))))
     return F.when(whole(text).rlike(HINT), let(people, of))
 
 
@@ -146,6 +198,9 @@ def _alike(m: Column, digest: Column) -> Column:
             F.when(c.rlike("^[0-9]$"), within(48, 10))
             .when(c.rlike("^[a-z]$"), within(97, 26))
             .when(c.rlike("^[A-Z]$"), within(65, 26))
+            .when(c.rlike(r"^\p{IsCyrillic}$"), within(0x430, 32))
+            .when(c.rlike(r"^\p{IsGreek}$"), within(0x3B1, 17))
+            .when(c.rlike(r"^\p{L}$"), within(97, 26))
             .otherwise(c)
         )
 
@@ -210,18 +265,25 @@ def _email(m: Column, digest: Column, attempt: Column) -> Column:
 
 
 def _person(person: Column, digest: Column, attempt: Column, gender: Column) -> Column:
-    """A given name of the gender, if there was one, and a family name in the person's script."""
-    cyrillic = person.rlike(r"\p{IsCyrillic}")
+    """A given name of the gender, if it is known, and a family name, both in the person's script.
+
+    Where no title tells the gender, the endings of Cyrillic and Greek names do.
+    """
+    cyrillic, greek = person.rlike(r"\p{IsCyrillic}"), person.rlike(r"\p{IsGreek}")
+    ends = lambda letters: person.rlike(rf"[{letters}](?: |$)")
+    she = lambda letters: (gender == "f") | ((gender == "n") & ends(letters))
     given = (
-        F.when(cyrillic & (gender == "f"), _pick(CYRILLIC_FEMALE, digest, 0))
+        F.when(cyrillic & she("ая"), _pick(CYRILLIC_FEMALE, digest, 0))
         .when(cyrillic, _pick(CYRILLIC_MALE, digest, 0))
+        .when(greek & she("αηάή"), _pick(GREEK_FEMALE, digest, 0))
+        .when(greek, _pick(GREEK_MALE, digest, 0))
         .when(gender == "f", _pick(FEMALE_NAMES, digest, 0))
         .when(gender == "m", _pick(MALE_NAMES, digest, 0))
         .otherwise(_pick(NEUTRAL_NAMES, digest, 0))
     )
     places = F.sequence(F.lit(1), 5 + F.greatest(attempt - GROW_FROM + 1, F.lit(0)))
     family = lambda values: F.array_join(F.transform(places, lambda i: _pick(values, digest, i)), "")
-    family = F.initcap(F.when(cyrillic, family(CYRILLIC_SYLLABLES)).otherwise(family(SYLLABLES)))
+    family = F.initcap(F.when(cyrillic, family(CYRILLIC_SYLLABLES)).when(greek, family(GREEK_SYLLABLES)).otherwise(family(SYLLABLES)))
     return F.when(person.contains(" "), F.concat(given, F.lit(" "), family)).otherwise(family)
 
 
@@ -277,28 +339,43 @@ def exceptions(docs: DataFrame, key: str = KEY) -> DataFrame | None:
 def replace(docs: DataFrame, key: str = KEY, moved: DataFrame | None = None) -> DataFrame:
     """``docs`` with every entity replaced, and n_<kind> for each kind. ``moved``: what ``exceptions`` has returned."""
     counts = [f"n_{k}" for k in KINDS]
-    rest = [c for c in docs.columns if c not in counts]
+    rest = [c for c in docs.columns if c.lower() not in counts]
     e, d, n, t, odd = unused(docs, "_e", "_d", "_n", "_t", "_tries")
     told = lambda x: F.concat_ws("\x00", x["kind"], x["entity"])
-    tries = F.create_map().cast("map<string,int>")
+    none = F.create_map().cast("map<string,int>")
+    tries = lambda x: none
     if moved is not None:
-        # rows are known by id, also without one, and text
-        keys = {d: F.coalesce(F.col("doc_id"), F.lit(0)), n: F.col("doc_id").isNull(), t: F.xxhash64("text")}
-        docs = docs.withColumns(keys)
-        asked = docs.select(*keys, F.explode(F.array_distinct(F.transform(mentions(F.col("text"))["found"], told))).alias("told"))
-        asked = asked.join(moved.select(told({k: F.col(k) for k in ("kind", "entity")}).alias("told"), "attempt"), "told").dropDuplicates([*keys, "told"])
-        asked = asked.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("told", "attempt"))).alias(odd))
-        docs = docs.join(asked, list(keys), "left")
-        tries = F.coalesce(F.col(odd), tries)
+        names = moved.select(told({k: F.col(k) for k in ("kind", "entity")}).alias("told"), "attempt")
+        size = names.agg(F.count("*").alias("n"), F.sum(F.octet_length("told")).alias("bytes")).first()
+        if size["n"] <= BROADCAST_MOVED and (size["bytes"] or 0) <= BROADCAST_BYTES:
+            # one row of small maps by hash: entities are looked up where they are found, texts are not shuffled
+            slot = lambda x: F.pmod(F.xxhash64(x), F.lit(SLOTS)).cast("int")
+            held = names.groupBy(slot(F.col("told")).alias("k")).agg(F.collect_list(F.struct("told", "attempt")).alias("m"))
+            all_slots = docs.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("k")).join(held, "k", "left")
+            one = all_slots.agg(F.array_sort(F.collect_list(F.struct("k", "m"))).alias("slots"))
+            one = one.select(F.transform("slots", lambda x: F.map_from_entries(F.coalesce(x["m"], F.array().cast("array<struct<told:string,attempt:int>>")))).alias(odd))
+            docs = docs.crossJoin(F.broadcast(one))
+            tries = lambda x: F.get(F.col(odd), slot(told(x)))
+        else:
+            # rows are known by id, also without one, and text
+            keys = {d: F.coalesce(F.col("doc_id"), F.lit(0)), n: F.col("doc_id").isNull(), t: F.xxhash64("text")}
+            docs = docs.withColumns(keys)
+            asked = docs.select(*keys, F.explode(F.array_distinct(F.transform(mentions(F.col("text"))["found"], told))).alias("told"))
+            asked = asked.join(names, "told").dropDuplicates([*keys, "told"])
+            asked = asked.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("told", "attempt"))).alias(odd))
+            docs = docs.join(asked, list(keys), "left")
+            tries = lambda x: F.coalesce(F.col(odd), none)
 
     def put(x: Column, s: Column) -> Column:
-        """A mention's own title and as many names as it had, or the surrogate itself."""
-        title = F.regexp_extract(x["m"], rf"^((?:{TITLES})\.? )", 1)
-        name = F.concat(title, F.when(_rest(x["m"]).contains(" "), s).otherwise(_last(s)))
-        return F.when(x["kind"] == "name", name).otherwise(s)
+        """A mention's own titles, as many names as it had and their case; numbers in its grouping; or the surrogate itself."""
+        title = F.regexp_extract(x["m"], rf"^({TITLED})", 1)
+        own = _rest(x["m"])
+        name = F.when(own.contains(" "), s).otherwise(_last(s))
+        name = F.concat(title, F.when(_shouted(own), F.upper(name)).otherwise(name))
+        return F.when(x["kind"] == "name", name).when(x["kind"].isin("card", "phone"), _regrouped(x["m"], s)).otherwise(s)
 
     def one(x: Column) -> Column:
-        s = surrogate(x["entity"], x["kind"], F.coalesce(F.try_element_at(tries, told(x)), F.lit(0)), key, x["gender"])
+        s = surrogate(x["entity"], x["kind"], F.coalesce(F.try_element_at(tries(x), told(x)), F.lit(0)), key, x["gender"])
         return let(s, lambda v: F.struct(x["kind"].alias("k"), put(x, v).alias("s")))
 
     made = let(mentions(F.col("text")), lambda x: F.struct(x["pattern"].alias("p"), F.transform(x["found"], one).alias("x")))

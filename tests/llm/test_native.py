@@ -140,6 +140,59 @@ def test_pii_surrogates(spark, edge, edge_rows, empty):
     assert (r.n_email, r.n_card, r.n_ip, r.n_phone, r.n_ssn, r.n_name) == (1, 2, 2, 1, 1, 4)
 
 
+LEAKS = [
+    ("Frau Dr. Merkel kam.", "Merkel", r"Frau Dr\. [A-Z][a-z]+ kam\."),
+    ("Herr Prof. Dr. Karl Weiß kam.", "Weiß", r"Herr Prof\. Dr\. [A-Z][a-z]+ [A-Z][a-z]+ kam\."),
+    ("Mr. McDonald left.", "Donald", r"Mr\. [A-Z][a-z]+ left\."),
+    ("Dr. Jean-Luc Picard left.", "Luc|Picard", r"Dr\. [A-Z][a-z]+ [A-Z][a-z]+ left\."),
+    ("Mr. O'Brien's car, and Mr. O’Neill.", "Brien|Neill", r"Mr\. [A-Z][a-z]+'s car, and Mr\. [A-Z][a-z]+\."),
+    ("Mr. SMITH left.", "SMITH", r"Mr\. [A-Z]+ left\."),
+    ("Mr. John Smith and JOHN SMITH.", "JOHN|SMITH|John|Smith", r"Mr\. [A-Z][a-z]+ [A-Z][a-z]+ and [A-Z]+ [A-Z]+\."),
+    ("write to josé@ex.com now", "josé|jos", r"write to [a-z]{4}@[a-z]{2}\.com now"),
+    ("write to иван@почта.рф now", "иван|почта", r"write to [а-я]{4}@[а-я]{5}\.рф now"),
+    ("Dr. Ελένη Παππά left.", "Ελένη|Παππά", r"Dr\. [Α-ΩΆ-Ώ][α-ωά-ώ]+ [Α-Ω][α-ω]+ left\."),
+    ("Dr. Мария Кюри left.", "Мария|Кюри", rf"Dr\. (?:{'|'.join(pii.CYRILLIC_FEMALE)}) [А-Я][а-я]+ left\."),
+    ("Mrs. Anna Smith and Mr. Anna Smith", "Anna|Smith", rf"Mrs\. (?:{'|'.join(pii.FEMALE_NAMES)}) ([A-Z][a-z]+) and Mr\. (?:{'|'.join(pii.MALE_NAMES)}) \1"),
+]
+
+
+def test_pii_leaks(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(LEAKS)], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in pii.anonymise(df).collect()}
+    for i, (text, gone, want) in enumerate(LEAKS):
+        assert not re.search(gone, got[i]) and re.fullmatch(want, got[i]), (text, got[i])
+
+
+def test_pii_numbers_are_known_by_digits(spark):
+    phones = ["+1 (555) 123-4567", "+1 555 123 4567", "555-123-4567", "+44 20 7946 0958", "+44-20-7946-0958"]
+    cards = ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"]
+    df = spark.createDataFrame([(i, f"call {x} now") for i, x in enumerate(phones + cards)], "doc_id bigint, text string").withColumn("N_Phone", F.lit("mine"))
+    out = pii.anonymise(df)
+    assert out.columns == ["doc_id", "text", *(f"n_{k}" for k in pii.KINDS)]  # a column of that name in any case is replaced
+    got = {r.doc_id: r.text[5:-4] for r in out.collect()}
+    shape = lambda x: re.sub("[0-9]", "0", x)
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    for i, x in enumerate(phones + cards):
+        assert shape(got[i]) == shape(x) and digits(got[i]) != digits(x)
+    assert digits(got[0])[1:] == digits(got[1])[1:] == digits(got[2]) and digits(got[3]) == digits(got[4]) and got[3].startswith("+44 ")
+    assert digits(got[5]) == digits(got[6]) == digits(got[7])
+
+
+def test_pii_few_exceptions_shuffle_no_text(spark, monkeypatch):
+    text = " ; ".join(f"Mr. A{chr(97 + n % 26)}{chr(97 + n // 26)} Smi{chr(97 + n % 26)}{chr(97 + n // 26)}" for n in range(120))
+    df = spark.createDataFrame([(1, text), (2, text), (None, text)], "doc_id bigint, text string")
+    monkeypatch.setattr(pii, "SYLLABLES", ("ba", "de"))  # 32 family names for 120 persons
+    moved = pii.exceptions(df)
+    near = pii.replace(df, moved=moved)
+    assert moved.count() > 50 and "hashpartitioning(_d" not in near._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(pii, "BROADCAST_MOVED", 0)
+    far = pii.replace(df, moved=moved)
+    rows = lambda x: sorted(map(str, x.collect()))
+    assert rows(near) == rows(far)
+    names = [x.split(" ")[-1] for x in near.where("doc_id = 1").first().text.split(" ; ")]
+    assert len(set(names)) == 120
+
+
 def test_pii_collisions_move_on(spark, monkeypatch):
     """With a tiny space of surrogates, distinct entities still get distinct ones."""
     monkeypatch.setattr(pii, "_alike", lambda m, d: F.concat(F.lit("+1 555 55 5"), F.conv(F.substring(d, 1, 2), 16, 10)))
