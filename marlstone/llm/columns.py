@@ -42,6 +42,12 @@ def cover(starts: Column, width: int) -> Column:
     return F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
 
 
+def others(df: DataFrame, *own: str) -> list[str]:
+    """The columns of ``df`` that are none of ``own``; as for Spark, case does not part names."""
+    taken = {c.lower() for c in own}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """``names``, with underscores added to those that are columns of ``df`` in any case."""
     taken = {c.lower() for c in df.columns}

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.columns import NOT_ALNUM, ascii_lower, let, unused, whole, words
+from marlstone.llm.columns import NOT_ALNUM, ascii_lower, let, others, unused, whole, words
 
 WIDTH = 10
 #: A test window is a hash, a length and its words: about 200 bytes, so this many stay under 40 MB.
@@ -103,8 +103,7 @@ def scan(
 
 def mark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, broadcast_rows: int | None = None) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items (sorted as strings), hit_words (their places) and contaminated."""
-    own = {"n_words", "n_hit", "n_items", "items", "hit_words", "contaminated"}
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    rest = [F.col(f"`{c}`") for c in others(docs, "n_words", "n_hit", "n_items", "items", "hit_words", "contaminated")]
     d, t, i, p, h = unused(docs, "_d", "_t", "_items", "_places", "_th")
     hits = scan(docs, benchmark, width, broadcast_rows).select(
         F.col("doc_id").alias(d),

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.llm import textkit
+from marlstone.llm.columns import others
 from marlstone.session import ship
 
 MODEL = "piece_bpe_32k.model"
@@ -423,7 +424,7 @@ def pieces(model: str = MODEL, dropout: float = 0.0, seed: int = 0) -> Pieces:
 def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, streams: int = STREAMS, batch_bytes: int = 2_000_000) -> DataFrame:
     """``docs`` with ``ids``, as they are read, without a shuffle."""
     ship(docs.sparkSession)
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != "ids"))
+    docs = docs.select(*(F.col(f"`{c}`") for c in others(docs, "ids")))
     schema = T.StructType(list(docs.schema.fields)).add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,7 +443,7 @@ def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed:
 def decode(coded: DataFrame, model: str = MODEL, batch_rows: int = 256) -> DataFrame:
     """``coded`` with ``decoded``, the texts of its ids."""
     ship(coded.sparkSession)
-    coded = coded.select(*(F.col(f"`{c}`") for c in coded.columns if c != "decoded"))
+    coded = coded.select(*(F.col(f"`{c}`") for c in others(coded, "decoded")))
     schema = T.StructType(list(coded.schema.fields)).add("decoded", T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

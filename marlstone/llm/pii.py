@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.columns import let, unused, whole
+from marlstone.llm.columns import let, others, unused, whole
 from marlstone.llm.store import cut
 
 KEY = "surrogate-key-1"
@@ -339,7 +339,7 @@ def exceptions(docs: DataFrame, key: str = KEY) -> DataFrame | None:
 def replace(docs: DataFrame, key: str = KEY, moved: DataFrame | None = None) -> DataFrame:
     """``docs`` with every entity replaced, and n_<kind> for each kind. ``moved``: what ``exceptions`` has returned."""
     counts = [f"n_{k}" for k in KINDS]
-    rest = [c for c in docs.columns if c.lower() not in counts]
+    rest = others(docs, *counts)
     e, d, n, t, odd = unused(docs, "_e", "_d", "_n", "_t", "_tries")
     told = lambda x: F.concat_ws("\x00", x["kind"], x["entity"])
     none = F.create_map().cast("map<string,int>")

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.columns import cover, let, whole, words
+from marlstone.llm.columns import cover, let, others, unused, whole, words
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -131,26 +131,26 @@ DERIVED = ("n_stop", "n_lines", "mean_word", "symbol_ratio", "shout_ratio", "sto
 
 def judge(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """``docs`` with every measure, ``base_failed`` and ``kept``."""
-    own = {*RAW, *DERIVED, "base_failed", "kept", "_m"} - {text}
-    rest = [c for c in docs.columns if c not in own]
-    m = docs.select(*(F.col(f"`{c}`") for c in rest), F.explode(measures(F.col(f"`{text}`"))).alias("_m"))
+    rest = others(docs, *({*RAW, *DERIVED, "base_failed", "kept"} - {text}))
+    (held,) = unused(docs, "_m")
+    m = docs.select(*(F.col(f"`{c}`") for c in rest), F.explode(measures(F.col(f"`{text}`"))).alias(held))
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    n, lines = F.col("_m.w.n_words"), F.col("_m.l.n_lines")
+    n, lines = F.col(f"{held}.w.n_words"), F.col(f"{held}.l.n_lines")
     m = m.select(
         *(F.col(f"`{c}`") for c in rest),
         n.alias("n_words"),
-        F.col("_m.w.word_chars").alias("word_chars"),
-        F.col("_m.n_symbols").alias("n_symbols"),
-        F.col("_m.l.n_dup_lines").alias("n_dup_lines"),
-        F.col("_m.w.n_repeat_words").alias("n_repeat_words"),
-        F.col("_m.w.n_stop").alias("n_stop"),
+        F.col(f"{held}.w.word_chars").alias("word_chars"),
+        F.col(f"{held}.n_symbols").alias("n_symbols"),
+        F.col(f"{held}.l.n_dup_lines").alias("n_dup_lines"),
+        F.col(f"{held}.w.n_repeat_words").alias("n_repeat_words"),
+        F.col(f"{held}.w.n_stop").alias("n_stop"),
         lines.alias("n_lines"),
-        share(F.col("_m.w.word_chars"), n).alias("mean_word"),
-        share(F.col("_m.n_symbols"), n).alias("symbol_ratio"),
-        share(F.col("_m.n_shouts"), n).alias("shout_ratio"),
-        share(F.col("_m.w.n_stop"), n).alias("stop_ratio"),
-        share(F.col("_m.l.n_dup_lines"), lines).alias("dup_line_ratio"),
-        share(F.col("_m.w.n_repeat_words"), n).alias("repeat_ratio"),
+        share(F.col(f"{held}.w.word_chars"), n).alias("mean_word"),
+        share(F.col(f"{held}.n_symbols"), n).alias("symbol_ratio"),
+        share(F.col(f"{held}.n_shouts"), n).alias("shout_ratio"),
+        share(F.col(f"{held}.w.n_stop"), n).alias("stop_ratio"),
+        share(F.col(f"{held}.l.n_dup_lines"), lines).alias("dup_line_ratio"),
+        share(F.col(f"{held}.w.n_repeat_words"), n).alias("repeat_ratio"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return m.select("*", failed.alias("base_failed")).select(

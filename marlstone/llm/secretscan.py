@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.llm import textkit
+from marlstone.llm.columns import others
 from marlstone.session import ship
 
 #: The kinds in the order that breaks ties of their starts.
@@ -200,7 +201,7 @@ def scan(docs: DataFrame, text: str = "text", min_ratio: float = MIN_RATIO, lear
     """
     ship(docs.sparkSession)
     learned = learn(docs, text) if learned is None else learned
-    kept = [c for c in docs.columns if c.lower() != "secrets"]
+    kept = others(docs, "secrets")
     docs = docs.select(*(F.col(f"`{c}`") for c in kept))
     one = T.StructType().add("kind", "string").add("start", "long").add("end", "long")
     schema = T.StructType(list(docs.schema.fields)).add("secrets", T.ArrayType(one))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.llm import textkit
-from marlstone.llm.columns import NOT_ALNUM, ascii_lower, whole, words
+from marlstone.llm.columns import NOT_ALNUM, ascii_lower, others, whole, words
 from marlstone.llm.store import cut
 from marlstone.session import ship
 
@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     counted in tokens."""
     spark = ship(docs.sparkSession)
     own = ("score", "n_tokens", "passages")
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in own))
+    docs = docs.select(*(F.col(f"`{c}`") for c in others(docs, *own)))
     one = T.StructType().add("first", "long").add("last", "long").add("score", "double")
     schema = T.StructType(list(docs.schema.fields)).add("score", "double").add("n_tokens", "long").add("passages", T.ArrayType(one))
     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))

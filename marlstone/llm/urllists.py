@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.columns import unused
+from marlstone.llm.columns import others, unused
 
 BROADCAST_ROWS = 100_000
 #: The summed length of hosts with their intervals up to which they are broadcast.
@@ -44,8 +44,7 @@ def validity(entries: DataFrame) -> DataFrame:
 
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "fetched_at", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``captures`` with host, n_matches, listed, and the deciding entry: the longest pattern, then the newest."""
-    own = {"host", "n_matches", "listed", "list", "pattern", "valid_from"}
-    rest = [F.col(f"`{c}`") for c in captures.columns if c not in own]
+    rest = [F.col(f"`{c}`") for c in others(captures, "host", "n_matches", "listed", "list", "pattern", "valid_from")]
     c = captures.select(*rest, host_of(F.col(f"`{url}`")).alias("host"))
     hosts = c.where("host IS NOT NULL").select("host").distinct()
     labels = F.split("host", r"\.")
