@@ -13,8 +13,8 @@ from marlstone.functions.times import local_time
 from marlstone.operators.segments import SEGMENT, fill, once, runs, segmented
 from marlstone.operators.upsert import latest
 
-#: The stretch of a user's time that one task holds.
-CHUNK = "hour"
+#: Events of a user up to which one task holds them all; beyond, the stretch of a user's time that it holds.
+WHOLE_USER, CHUNK = 1_000_000, "hour"
 #: Users of a channel, or of a cube of one, that meet in one task, about.
 BLOCK = 2_000
 #: Large groups of which the number of blocks is broadcast.
@@ -99,28 +99,40 @@ def latest_place(events: DataFrame, user: str = "user_id", ts: str = "ts", tie:
     return latest(events.where(F.col("lat_rad").isNotNull() & F.col("lng_rad").isNotNull()), [user], [ts, tie])
 
 
-def fill_place(events: DataFrame, mode: str = "reference", chunk: str = CHUNK) -> DataFrame:
+def _hot(events: DataFrame, most: int) -> bool:
+    """Whether some user has more than ``most`` events."""
+    return (events.groupBy("user_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > most
+
+
+def fill_place(events: DataFrame, mode: str = "reference", chunk: str = CHUNK, most: int = WHOLE_USER) -> DataFrame:
     """Cities of events without one, from other events of the user.
 
     ``reference``: messages among messages and other events among others, the last city before, else the next behind,
     as their frames have it. ``nearest_time``: the city of the last message before, else of the next message.
-    Columns user_id, event_type, ts, event_id, city_id, city; added_city tells filled rows. A task holds a user's events
-    of one ``chunk`` of time (a unit of date_trunc), not all of them.
+    Columns user_id, event_type, ts, event_id, city_id, city; added_city tells filled rows. If a user has more than
+    ``most`` events, a task holds a user's events of one ``chunk`` of time (a unit of date_trunc), not all of them.
     """
+    if mode not in ("reference", "nearest_time"):
+        raise ValueError(mode)
+    messages = mode == "nearest_time"
     is_message = F.when(F.col("event_type") == "message", 1).otherwise(0)
     place = F.when(F.col("city_id").isNotNull(), F.struct("city_id", "city"))
     at, kind = F.date_trunc(chunk, F.col("ts").cast("timestamp")), F.col(f"{SEGMENT}.kind")
     time = F.col(f"{SEGMENT}.at")
     rest = [c for c in events.columns if c not in ("city_id", "city", "added_city")]
-    events = once(events)
-    if mode == "reference":
-        cut = segmented(events, ["user_id"], kind=is_message, at=at)
-        filled, back, fore = fill(cut, ["user_id"], ["ts", "event_id"], place, [kind.asc(), time.asc()], [kind.asc(), time.desc()])
-    elif mode == "nearest_time":
-        cut = segmented(events, ["user_id"], at=at)
-        filled, back, fore = fill(cut, ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "message", place), [time.asc()], [time.desc()])
+    known = F.when(F.col("event_type") == "message", place) if messages else place
+    first = [] if messages else [is_message.asc()]
+    if not _hot(events, most):
+        w, upto = Window.partitionBy("user_id"), (Window.unboundedPreceding, 0)
+        before = F.last(known, True).over(w.orderBy(*first, "ts", "event_id").rowsBetween(*upto))
+        after = F.last(known, True).over(w.orderBy(*first, F.desc("ts"), F.desc("event_id")).rowsBetween(*upto))
+        filled, back, fore = events.withColumns({"_back": before, "_fore": after}), "_back", "_fore"
+    elif messages:
+        cut = segmented(once(events), ["user_id"], at=at)
+        filled, back, fore = fill(cut, ["user_id"], ["ts", "event_id"], known, [time.asc()], [time.desc()])
     else:
-        raise ValueError(mode)
+        cut = segmented(once(events), ["user_id"], kind=is_message, at=at)
+        filled, back, fore = fill(cut, ["user_id"], ["ts", "event_id"], known, [kind.asc(), time.asc()], [kind.asc(), time.desc()])
     found = F.coalesce(F.col(back), F.col(fore))
     return filled.select(
         *rest,
@@ -130,14 +142,20 @@ def fill_place(events: DataFrame, mode: str = "reference", chunk: str = CHUNK) -
     )
 
 
-def stays(events: DataFrame, chunk: str = CHUNK) -> DataFrame:
+def stays(events: DataFrame, chunk: str = CHUNK, most: int = WHOLE_USER) -> DataFrame:
     """One row for each run of events of a user in one city: bounds, length in days and first time.
 
-    Columns user_id, ts, event_id, date, city_id, city. Runs are found within a ``chunk`` of a user's time and put
-    together over the chunks' edges, so a user with very many events fills no task.
+    Columns user_id, ts, event_id, date, city_id, city. If a user has more than ``most`` events, runs are found within a
+    ``chunk`` of a user's time and put together over the chunks' edges, so no user fills a task.
     """
-    rows = segmented(events.where("city_id IS NOT NULL").select("user_id", "ts", "event_id", "date", "city_id", "city"), ["user_id"], at=F.date_trunc(chunk, F.col("ts").cast("timestamp")))
+    rows = events.where("city_id IS NOT NULL").select("user_id", "ts", "event_id", "date", "city_id", "city")
     bounds = (F.min("city").alias("city"), F.min("date").alias("stay_start"), F.max("date").alias("stay_end"), F.min("ts").alias("stay_start_ts"))
+    if not _hot(events, most):
+        w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+        flagged = rows.withColumn("_new", F.when(F.col("city_id") == F.lag("city_id").over(w), 0).otherwise(1))
+        numbered = flagged.withColumn("stay_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return numbered.groupBy("user_id", "stay_id").agg(F.min("city_id").alias("city_id"), *bounds).withColumn("stay_len", F.datediff("stay_end", "stay_start") + 1)
+    rows = segmented(rows, ["user_id"], at=F.date_trunc(chunk, F.col("ts").cast("timestamp")))
     local = runs(rows, ["user_id"], ["ts", "event_id"], "city_id", [F.col(f"{SEGMENT}.at")], *bounds)
     out = local.groupBy("user_id", F.col("run_id").alias("stay_id")).agg(
         F.min("city_id").alias("city_id"), F.min("city").alias("city"), F.min("stay_start").alias("stay_start"), F.max("stay_end").alias("stay_end"), F.min("stay_start_ts").alias("stay_start_ts")
@@ -169,13 +187,14 @@ def _subscriptions(events: DataFrame) -> DataFrame:
     return events.where("event_type = 'subscription' AND channel IS NOT NULL AND user_id IS NOT NULL").select("user_id", "channel").distinct()
 
 
-def _blocks(rows: DataFrame, group: list[str], block: int) -> DataFrame:
-    """(group, _b) of groups of more than ``block`` rows: how many blocks they are cut into.
+def _blocks(rows: DataFrame, group: list[str], block: int) -> DataFrame | None:
+    """(group, _b) of groups of more than ``block`` rows: how many blocks they are cut into; None if there are none.
 
     There are rows / block of them at most; they are broadcast only if their counted number is within bounds.
     """
     large = rows.groupBy(*group).agg(F.ceil(F.count("*") / block).cast("int").alias("_b")).where("_b > 1")
-    return F.broadcast(large) if large.count() <= BROADCAST_GROUPS else large
+    n = large.count()
+    return None if not n else F.broadcast(large) if n <= BROADCAST_GROUPS else large
 
 
 def co_subscribers(events: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -183,7 +202,11 @@ def co_subscribers(events: DataFrame, block: int = BLOCK) -> DataFrame:
     not a task's: a channel is cut into blocks of about ``block`` users, and each two of them (i <= j) are a tile of
     their own. ``nearby_subscribers`` asks for near pairs without making the others."""
     s = _subscriptions(events)
-    s = s.join(_blocks(s, ["channel"], block), ["channel"], "left").withColumn("_b", F.coalesce("_b", F.lit(1)))
+    blocks = _blocks(s, ["channel"], block)
+    if blocks is None:
+        pairs = s.withColumnRenamed("user_id", "user_left").join(s.withColumnRenamed("user_id", "user_right"), "channel")
+        return pairs.where("user_left < user_right").select("user_left", "user_right").distinct()
+    s = s.join(blocks, ["channel"], "left").withColumn("_b", F.coalesce("_b", F.lit(1)))
     s = s.withColumn("_own", F.pmod(F.xxhash64("user_id"), F.col("_b")).cast("int"))
     left = s.select("channel", F.col("user_id").alias("u"), F.col("_own").alias("i"), F.explode(F.sequence(F.col("_own"), F.col("_b") - 1)).alias("j"))
     right = s.select("channel", F.col("user_id").alias("v"), F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("i"), F.col("_own").alias("j"))
@@ -203,7 +226,8 @@ def nearby_subscribers(events: DataFrame, located: DataFrame, km: float = 1.0, b
     s = s.select("*", x.alias("cx"), y.alias("cy"), z.alias("cz"))
     cube = ["channel", "cx", "cy", "cz"]
     blocks = _blocks(s, cube, block)
-    own = lambda df: df.join(blocks, cube, "left").withColumn("_b", F.coalesce("_b", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64("user_id"), F.col("_b")).cast("int"))
+    known = lambda df: df.withColumn("_b", F.lit(None).cast("int")) if blocks is None else df.join(blocks, cube, "left")
+    own = lambda df: known(df).withColumn("_b", F.coalesce("_b", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64("user_id"), F.col("_b")).cast("int"))
     each = F.explode(F.sequence(F.lit(0), F.col("_b") - 1))
     shifts = F.array(*(F.struct(*(F.lit(d).alias(n) for d, n in zip((i, j, k), "xyz", strict=True))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
     a = s.select("channel", "user_id", "lat_rad", "lng_rad", "cx", "cy", "cz", F.explode(shifts).alias("d"))

@@ -88,27 +88,28 @@ def scd2(current: DataFrame, snapshots: DataFrame, scope: str, key: list[str], c
     intervals of a key never overlap, and applying a batch again changes nothing.
     """
     k = [scope, *key]
-    rows = latest(snapshots, [*k, effective], compare)
-    times = rows.select(scope, effective).distinct()
     open_end = F.lit(OPEN_TO).cast("timestamp")
-    stored = current.select(*k, *compare, F.col("active_from").alias("_at"), F.lit(True).alias("_on"))
-    ended = current.where(F.col("active_to") < open_end).select(*k, *(F.lit(None).cast(current.schema[c].dataType).alias(c) for c in compare), F.col("active_to").alias("_at"), F.lit(False).alias("_on"))
-    # a key ends at the first snapshot of its scope after it was seen that lacks it: every time of a scope knows the next
-    # snapshot, so a sighting looks up one row, whatever the number of keys and snapshots
-    seen = rows.select(*k, *compare, F.col(effective).alias("_at"), F.lit(True).alias("_on"))
-    marks = times.select(scope, F.col(effective).alias("_at"), F.col(effective).alias("_snap")).unionByName(stored.select(scope, "_at", F.lit(None).cast(times.schema[effective].dataType).alias("_snap")))
-    marks = marks.groupBy(scope, "_at").agg(F.max("_snap").alias("_snap"))
+    nothing = [F.lit(None).cast(current.schema[c].dataType).alias(c) for c in compare]
+    on = lambda at: F.struct(at.cast("timestamp").alias("_at"), F.lit(True).alias("_on"), *compare)
+    off = lambda at: F.struct(at.cast("timestamp").alias("_at"), F.lit(False).alias("_on"), *nothing)
+    stored = current.select(*k, F.explode(F.array_compact(F.array(on(F.col("active_from")), F.when(F.col("active_to") < open_end, off(F.col("active_to")))))).alias("_e"))
+    seen = latest(snapshots, [*k, effective], compare).select(*k, on(F.col(effective)).alias("_e"))
+    events = stored.unionByName(seen).select(*k, "_e.*")
+    # every time of a scope knows the next snapshot, so a row looks up one time, whatever the number of keys and snapshots
+    snap = F.col(effective).cast("timestamp")
+    marks = snapshots.select(scope, snap.alias("_at"), snap.alias("_snap")).unionByName(current.select(scope, F.col("active_from").cast("timestamp").alias("_at"), F.lit(None).cast("timestamp").alias("_snap")))
     later = Window.partitionBy(scope).orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, -1)
-    marks = marks.select(scope, "_at", F.last("_snap", True).over(later).alias("_then")).where("_then IS NOT NULL")
-    last = stored.select(*k, "_at").unionByName(seen.select(*k, "_at"))
-    gone = last.join(marks, [scope, "_at"]).select(*k, F.col("_then").alias("_at")).distinct()
-    gone = gone.join(seen.select(*k, "_at"), [*k, "_at"], "left_anti")
-    gone = gone.select(*k, *(F.lit(None).cast(current.schema[c].dataType).alias(c) for c in compare), "_at", F.lit(False).alias("_on"))
-    events = stored.unionByName(ended).unionByName(seen).unionByName(gone)
-    # a stored change and a snapshot at one time: the snapshot is newer only if it says something else
+    marks = marks.groupBy(scope, "_at").agg(F.max("_snap").alias("_snap")).select(scope, "_at", F.last("_snap", True).over(later).alias("_then"))
+    events = events.join(marks, [scope, "_at"], "left")
     w = Window.partitionBy(*k).orderBy("_at", "_on")
+    # a key ends at the first snapshot of its scope after it was seen, if nothing is known of it until then
+    ends = F.col("_on") & F.col("_then").isNotNull() & (F.col("_next").isNull() | (F.col("_next") > F.col("_then")))
+    both = F.array_compact(F.array(on(F.col("_at")), F.when(ends, off(F.col("_then")))))
+    own = F.when(F.col("_on"), both).otherwise(F.array(off(F.col("_at"))))
+    events = events.withColumn("_next", F.lead("_at").over(w)).select(*k, F.explode(own).alias("_e")).select(*k, "_e.*")
+    # a stored change and a snapshot at one time: the snapshot is newer only if it says something else
     state = F.struct("_on", *compare)
-    steps = events.distinct().withColumn("_state", F.when(F.col("_on"), state))
+    steps = events.withColumn("_state", F.when(F.col("_on"), state))
     steps = steps.withColumn("_was", F.lag("_state").over(w)).where(~F.col("_state").eqNullSafe(F.col("_was")) | (F.col("_was").isNull() & F.col("_on")))
     steps = steps.withColumn("_next", F.lead("_at").over(w)).withColumn("_n", F.row_number().over(w))
     out = steps.where("_on")

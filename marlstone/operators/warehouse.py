@@ -79,7 +79,12 @@ def resolve_orders(orders: DataFrame, restaurants: DataFrame, stamps: DataFrame,
     return j.where(F.size("missing") == 0).drop("missing"), j.where(F.size("missing") > 0)
 
 
-def disjoint(dim: DataFrame, key: list[str]) -> DataFrame:
+def most_versions(dim: DataFrame, key: list[str]) -> int:
+    """The largest number of versions of a key."""
+    return dim.groupBy(*key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def disjoint(dim: DataFrame, key: list[str], few: bool = False) -> DataFrame:
     """Versions of a key as intervals that do not overlap: at any time the newest valid version holds.
 
     Newest is the latest ``active_from``, then the latest ``active_to``, then the other columns. Intervals are cut at
@@ -88,12 +93,19 @@ def disjoint(dim: DataFrame, key: list[str]) -> DataFrame:
 
     The cuts of a key are numbered, and a version covers a range of numbers, which falls into some nodes of a binary tree
     (two for each level at most). The newest version of each node is found first; the newest of an interval is then that
-    of the nodes above it. A key with v versions costs v log v rows, however they lie within one another.
+    of the nodes above it. A key with v versions costs v log v rows, however they lie within one another. If keys are known
+    to have ``few`` versions only, each interval is held against all of them instead.
     """
     rest = [c for c in dim.columns if c not in (*key, "active_from", "active_to")]
     d = dim.where("active_from < active_to")
     at = d.select(*key, F.explode(F.array("active_from", "active_to")).alias("_at")).distinct()
     w = Window.partitionBy(*key).orderBy("_at")
+    told = lambda won: won.select(*key, *(F.col(f"_v.{c}").alias(c) for c in rest), F.col("_v.active_from").alias("version_from"), F.col("_at").alias("active_from"), F.col("_to").alias("active_to"))
+    if few:
+        p = at.withColumn("_to", F.lead("_at").over(w)).where("_to IS NOT NULL").alias("p")
+        cond = [F.col(f"p.{k}") == F.col(f"d.{k}") for k in key] + [F.col("d.active_from") <= F.col("_at"), F.col("_at") < F.col("d.active_to")]
+        j = p.join(d.alias("d"), cond).select(*(F.col(f"p.{k}") for k in key), "_at", "_to", F.struct("d.active_from", "d.active_to", *(F.col(f"d.{c}") for c in rest)).alias("_v"))
+        return told(j.groupBy(*key, "_at", "_to").agg(F.max("_v").alias("_v")))
     at = at.select(*key, "_at", F.lead("_at").over(w).alias("_to"), (F.row_number().over(w) - 1).alias("_n"))
     cut = lambda name, column: at.select(*key, F.col("_at").alias(column), F.col("_n").alias(name))
     version = F.struct("active_from", "active_to", *rest)
@@ -114,7 +126,7 @@ def disjoint(dim: DataFrame, key: list[str]) -> DataFrame:
     own = at.withColumn("_top", top).where("_to IS NOT NULL").select(*key, "_at", "_to", "_n", F.explode(levels(F.col("_top"))).alias("_h"))
     own = own.withColumn("_x", F.floor(F.col("_n") / F.pow(F.lit(2), F.col("_h"))).cast("int"))
     won = own.join(tree, [*key, "_h", "_x"]).groupBy(*key, "_at", "_to").agg(F.max("_v").alias("_v"))
-    return won.select(*key, *(F.col(f"_v.{c}").alias(c) for c in rest), F.col("_v.active_from").alias("version_from"), F.col("_at").alias("active_from"), F.col("_to").alias("active_to"))
+    return told(won)
 
 
 #: Versions of a key up to which a fact is held against all of them.
@@ -130,9 +142,9 @@ def as_of_join(facts: DataFrame, dim: DataFrame, key: list[str], ts: str, how: s
     of the key's time, and from chunk to chunk by one row each, so neither a long history nor a hot key fills a task.
     """
     rest = [c for c in dim.columns if c not in (*key, "active_from", "active_to")]
-    most = dim.groupBy(*key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    d = disjoint(dim, key)
-    if most <= few:
+    small = most_versions(dim, key) <= few
+    d = disjoint(dim, key, small)
+    if small:
         d, f = d.alias("d"), facts.alias("f")
         cond = [F.col(f"f.{k}") == F.col(f"d.{k}") for k in key] + [F.col("d.active_from") <= F.col(f"f.{ts}"), F.col(f"f.{ts}") < F.col("d.active_to")]
         return f.join(d, cond, how).select("f.*", *(F.col(f"d.{c}") for c in rest), F.col("d.version_from").alias("version_from"))

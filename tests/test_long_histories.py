@@ -53,21 +53,21 @@ def brute_fill(history, mode):
 
 
 @pytest.mark.parametrize("mode", ["reference", "nearest_time"])
-@pytest.mark.parametrize("chunk", ["hour", "year"])
-def test_fill_beside_brute_force(events, history, mode, chunk):
-    got = {r.event_id: (r.city_id, r.added_city) for r in places.fill_place(events, mode, chunk).collect()}
+@pytest.mark.parametrize("chunk, most", [("hour", 0), ("year", 0), ("hour", 10**6)])
+def test_fill_beside_brute_force(events, history, mode, chunk, most):
+    got = {r.event_id: (r.city_id, r.added_city) for r in places.fill_place(events, mode, chunk, most).collect()}
     assert got == brute_fill(history, mode)
 
 
-@pytest.mark.parametrize("chunk", ["hour", "week", "year"])
-def test_stays_beside_brute_force(events, history, chunk):
+@pytest.mark.parametrize("chunk, most", [("hour", 0), ("week", 0), ("year", 0), ("hour", 10**6)])
+def test_stays_beside_brute_force(events, history, chunk, most):
     want = []
     for user in {h[0] for h in history}:
         own = sorted((h for h in history if h[0] == user and h[5]), key=lambda x: (x[3], x[1]))
         for n, (city, run) in enumerate(itertools.groupby(own, key=lambda x: x[5]), 1):
             run = list(run)
             want.append((user, n, city, f"C{city}", run[0][4], run[-1][4], run[0][3], (run[-1][4] - run[0][4]).days + 1))
-    got = places.stays(events, chunk).select("user_id", "stay_id", "city_id", "city", "stay_start", "stay_end", "stay_start_ts", "stay_len")
+    got = places.stays(events, chunk, most).select("user_id", "stay_id", "city_id", "city", "stay_start", "stay_end", "stay_start_ts", "stay_len")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
 
 
@@ -75,7 +75,7 @@ def test_a_hot_user_is_spread(events, history):
     """A third of all events are of one user, and no segment holds more than a few of them."""
     sizes = segmented(events, ["user_id"], at=F.date_trunc("hour", "ts")).groupBy(SEGMENT).count()
     assert sizes.agg(F.max("count")).first()[0] < 20 < len([h for h in history if h[0] == 1]) / 40
-    plan = places.fill_place(events)._jdf.queryExecution().executedPlan().toString()
+    plan = places.fill_place(events, most=500)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_segment" in plan and "Python" not in plan
 
 
