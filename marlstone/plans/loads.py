@@ -148,7 +148,8 @@ def _(spark, d):
 def _(spark, d):
     """Orders as JSON files of a stream, two files in a batch, counted over all batches."""
     at = _room(spark, "bounded")
-    table(spark, d, "orders").select((F.col("o_custkey") % 100).alias("k")).repartition(5).write.json(f"{at}/in")
+    o = table(spark, d, "orders")
+    o.select((F.col("o_custkey") % 100).alias("k")).write.option("maxRecordsPerFile", o.count() // 5 + 1).json(f"{at}/in")
     raw = orders.bounded_source(spark, f"{at}/in", "k bigint", files=2)
     put = lambda df, i: df.groupBy("k").count().write.mode("overwrite").parquet(f"{at}/out/batch_id={i}")
     raw.writeStream.foreachBatch(put).option("checkpointLocation", f"{at}/marks").trigger(availableNow=True).start().awaitTermination()
