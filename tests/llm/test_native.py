@@ -266,7 +266,7 @@ def test_url_lists_keep_clashing_columns(spark):
 def test_oracles(spark, name):
     d = duckdb.connect()
     d.execute("SET TimeZone = 'UTC'")
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         d.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     r = d.execute(registry.ORACLES[name])
     names = [x[0] for x in r.description]
