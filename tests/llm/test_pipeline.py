@@ -44,7 +44,7 @@ def test_stages(spark):
 def test_entry():
     import __spark_entry__ as e
 
-    assert "pipeline" in e.queries() and sum(n.startswith("op") for n in e.queries()) == 10
+    assert "pipeline" in e.queries() and sum(n.startswith("op") for n in e.queries()) == 13
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
