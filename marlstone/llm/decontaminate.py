@@ -3,7 +3,9 @@
 Test items become windows of ``width`` words (a shorter item is one window). Every token window of every document
 is hashed in the row, the hashes are joined with the test windows' hashes, and each hit is verified word by word
 against the document before it counts. The test windows are broadcast only while their counted number is within
-``broadcast_rows``; a larger benchmark is joined by shuffling hashes, never texts. Only DataFrame functions run.
+``broadcast_rows``; a larger benchmark is joined by shuffling hashes. The places of hits are kept in the shared folder
+and go back to the texts by broadcast while their summed bytes are within ``BROADCAST_BYTES``, so no text is shuffled;
+beyond, texts and places meet by a shuffle on document and text hash. Only DataFrame functions run.
 
 Defined results: null and empty texts have no words and no hits; repeated rows each get their own result; rows that
 share an id but not a text are judged apart; an item without words matches nothing; items with equal ids count once;
@@ -16,11 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.columns import NOT_ALNUM, ascii_lower, let, others, unused, whole, words
+from marlstone.llm.store import written
 
 WIDTH = 10
 #: A test window is a hash, a length and its words: about 200 bytes, so this many stay under 40 MB.
 BROADCAST_ROWS = 200_000
-#: ... and only if their words and ids are no longer than this.
+#: ... and only if their words and ids are no longer than this; so long may the places of hits be, too.
 BROADCAST_BYTES = 40_000_000
 
 
@@ -53,6 +56,13 @@ def test_windows(benchmark: DataFrame, width: int = WIDTH, item_id: str = "item_
     )
 
 
+def _sent(rows: DataFrame, name: str, length: Column) -> DataFrame:
+    """``rows`` kept in the shared folder, to be broadcast if their summed ``length`` is within ``BROADCAST_BYTES``."""
+    rows = written(rows, name)
+    held = rows.agg(F.sum(length + 64)).first()[0] or 0
+    return F.broadcast(rows) if held <= BROADCAST_BYTES else rows
+
+
 def scan(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -81,7 +91,8 @@ def scan(
         found = docs.sparkSession.createDataFrame([], "doc_id bigint, th bigint, start int, len int")
     found = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "len")).alias("maybe"))
     found = found.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "maybe")
-    again = base.join(found, base.doc_id.eqNullSafe(found.d) & (base.th == found.t)).dropDuplicates(["doc_id", "th"])
+    found = _sent(found, "found", F.size("maybe") * 24)
+    again = base.join(found, base.doc_id.eqNullSafe(F.col("d")) & (base.th == F.col("t")))
     again = again.select("doc_id", "th", F.explode(F.array(normal_words(F.col("text")))).alias("w"), "maybe")
     hits = again.select(
         "doc_id",
@@ -105,7 +116,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, broadcast_ro
     """``docs`` with n_words, n_hit, n_items, items (sorted as strings), hit_words (their places) and contaminated."""
     rest = [F.col(f"`{c}`") for c in others(docs, "n_words", "n_hit", "n_items", "items", "hit_words", "contaminated")]
     d, t, i, p, h = unused(docs, "_d", "_t", "_items", "_places", "_th")
-    hits = scan(docs, benchmark, width, broadcast_rows).select(
+    hits = scan(docs.select("doc_id", "text"), benchmark, width, broadcast_rows).select(
         F.col("doc_id").alias(d),
         F.col("th").alias(t),
         F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"])))).alias(i),
@@ -115,8 +126,9 @@ def mark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, broadcast_ro
             )
         ).alias(p),
     )
+    hits = _sent(hits, "hits", F.size(p) * 8 + F.octet_length(F.array_join(i, ",")) + F.size(i) * 16)
     left = docs.select(*rest, F.xxhash64(whole(F.col("text"))).alias(h), F.size(normal_words(F.col("text"))).cast("long").alias("n_words"))
-    out = left.join(hits, left.doc_id.eqNullSafe(hits[d]) & (left[h] == hits[t]), "left")
+    out = left.join(hits, left.doc_id.eqNullSafe(F.col(d)) & (left[h] == F.col(t)), "left")
     items = F.coalesce(i, F.array().cast("array<string>"))
     places = F.coalesce(p, F.array().cast("array<int>"))
     return out.select(

@@ -94,6 +94,23 @@ def test_decontamination(spark, edge, edge_rows, empty, rows, monkeypatch):
     assert kept == sum(not x[5] for x in want)
 
 
+def test_decontamination_shuffles_no_text(spark, edge, monkeypatch):
+    items = [(1, "one two three"), (2, "the of and the of and"), (3, "same line same line other")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = lambda x: sorted(map(str, x.collect()))
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    near = decontaminate.mark(edge, bench)
+    assert "Exchange hashpartitioning" not in plan(near) and near.where("contaminated").count() == 3
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        far = decontaminate.mark(edge, bench)
+        assert "Exchange hashpartitioning" in plan(far) and rows(near) == rows(far)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_decontamination_keeps_clashing_columns(spark, edge, edge_rows):
     names = ("_th", "_d", "_t", "_items", "_places", "_row", "n_words", "items", "h", "len")
     df = edge.withColumns({c: F.lit("mine") for c in names})
