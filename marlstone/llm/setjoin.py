@@ -8,7 +8,9 @@ index list. Two relations between sets are used to skip work there:
   set form a block, and of each size only the places that leave room for a link are looked at: both are found by
   search, the rest of the list is skipped;
 * between answers: in a long list the sets are held against one set of like size first. Those that are highly similar
-  share its component, and in the second round only pairs whose components still differ are computed.
+  share its component, and in the second round only pairs whose components still differ are looked at. There a set
+  takes its answers over from those computed for a highly similar one, and only what their difference leaves open is
+  computed (``Answers``).
 
 A parity bitmap of each set bounds the overlap of a pair from above; pairs that pass are verified on their exact sets.
 
@@ -49,6 +51,8 @@ CHUNK = 1_000_000
 BLOCK = 4096
 #: Shingles that a bucket of the index is meant for.
 BUCKET = 1 << 21
+#: Answers of a block that are kept, of each width of bitmaps, for sets that are like theirs.
+KEPT = 16
 #: Tasks that the rows of one list are dealt over where they learn a fact of it.
 SPREAD = 16
 #: Names of sets that a task remembers so as to send equal sets once (some 25 MB); the index drops the repeats that are left.
@@ -431,6 +435,65 @@ def _blocks(entries: DataFrame, percent: int, block: int) -> DataFrame:
     return x.select("a", "n", "place", "comp", "odd", "bitmap", F.explode(to).alias("to")).select("to.*", "a", "n", "place", "comp", "odd", "bitmap")
 
 
+class Answers:
+    """Which sets of a block leave room for a link with one of them, by the distances of their bitmaps.
+
+    The distances from the last sets that were held against the block are kept. A set at distance d from one of these has
+    the same distances up to d, by the triangle inequality: where that tells on which side of the bound a distance lies,
+    the answer is taken over from the similar set's, and only the others are computed. The answers are those that
+    computing all would give. ``own`` holds the bitmaps of each width; ``row`` tells a set's place there.
+    """
+
+    def __init__(self, n: np.ndarray, width: np.ndarray, row: np.ndarray, own: dict[int, np.ndarray], percent: int):
+        self.n, self.width, self.row, self.percent = n, width, row, percent
+        self.maps = {(w, w): x for w, x in own.items()}
+        self.kept: dict[int, list[tuple[int, np.ndarray]]] = {w: [] for w in own}
+        self.computed = 0
+
+    def _on(self, w: int, fewer: int) -> np.ndarray:
+        if (w, fewer) not in self.maps:
+            x = self.maps[w, w]
+            self.maps[w, fewer] = np.bitwise_xor.reduce(x.reshape(len(x), -1, fewer), axis=1)
+        return self.maps[w, fewer]
+
+    def _apart(self, i: int, j: np.ndarray) -> np.ndarray:
+        """The distances between set ``i`` and the sets ``j``, each on the narrower of two bitmaps."""
+        out, own = np.zeros(len(j), np.int64), int(self.width[i])
+        widths = self.width[j]
+        for w in np.unique(widths).tolist():
+            at = np.flatnonzero(widths == w)
+            fewer = min(w, own)
+            out[at] = np.bitwise_count(self._on(w, fewer)[self.row[j[at]]] ^ self._on(own, fewer)[self.row[i]]).sum(axis=1, dtype=np.int64)
+        self.computed += len(j)
+        return out
+
+    def _room(self, i: int, j: np.ndarray) -> np.ndarray:
+        return self.n[j] + self.n[i] - 2 * least_overlap(self.n[j], self.n[i], self.percent)
+
+    def of(self, i: int, j: np.ndarray) -> np.ndarray:
+        """Those of the sets ``j`` that set ``i`` may be linked with."""
+        room = self._room(i, j)
+        # of one width only: a similar set's distances are then measured on the same bytes as the set's own
+        kept = self.kept[int(self.width[i])]
+        if kept and len(j) > len(kept):
+            like = np.array([p for p, _ in kept])
+            d = self._apart(i, like)
+            best = int(d.argmin())
+            if d[best] <= self._room(i, like[best : best + 1])[0]:
+                seen = kept[best][1][j]
+                near = (seen >= 0) & (seen + d[best] <= room)
+                unknown = np.flatnonzero((seen < 0) | (~near & (seen - d[best] <= room)))
+                if 2 * len(unknown) <= len(j):
+                    near[unknown] = self._apart(i, j[unknown]) <= room[unknown]
+                    return j[near]
+        apart = self._apart(i, j)
+        seen = np.full(len(self.n), -1, np.int32)
+        seen[j] = apart
+        kept.append((i, seen))
+        del kept[:-KEPT]
+        return j[apart <= room]
+
+
 def _second_round(entries: DataFrame, percent: int, every: bool) -> DataFrame:
     """Candidate pairs of long lists whose components differ (or all, with ``every``), if their bitmaps leave room.
 
@@ -446,19 +509,12 @@ def _second_round(entries: DataFrame, percent: int, every: bool) -> DataFrame:
         order = np.lexsort((name, place, n))
         name, n, place, comp, role, strange = (x[order] for x in (name, n, place, comp, role, strange))
         width = np.asarray(pc.binary_length(maps).combine_chunks())[order]
-        # the bitmaps of each width, later also on fewer bytes: sets of a block differ by few widths
-        row, folded = np.zeros(len(n), np.int64), {}
+        row, own = np.zeros(len(n), np.int64), {}
         for w in np.unique(width).tolist():
             at = np.flatnonzero(width == w)
             row[at] = np.arange(len(at))
-            folded[w, w] = np.stack([np.frombuffer(maps[k].as_buffer(), np.uint8) for k in order[at].tolist()])
-
-        def on(w: int, fewer: int) -> np.ndarray:
-            if (w, fewer) not in folded:
-                x = folded[w, w]
-                folded[w, fewer] = np.bitwise_xor.reduce(x.reshape(len(x), -1, fewer), axis=1)
-            return folded[w, fewer]
-
+            own[w] = np.stack([np.frombuffer(maps[k].as_buffer(), np.uint8) for k in order[at].tolist()])
+        answers = Answers(n, width, row, own, percent)
         asks, lies = np.flatnonzero(role > 0), role != 1
         if not len(asks) or not lies.any():
             return
@@ -481,16 +537,10 @@ def _second_round(entries: DataFrame, percent: int, every: bool) -> DataFrame:
             ok = _possible(n[small], n[large], place[small], place[large], percent)
             if not every:
                 ok &= comp[j] != comp[i]
-            j = j[ok]
-            for w in np.unique(width[j]).tolist():
-                k = j[width[j] == w]
-                own = int(width[i])
-                fewer = min(w, own)
-                apart = np.bitwise_count(on(w, fewer)[row[k]] ^ on(own, fewer)[row[i]]).sum(axis=1, dtype=np.int64)
-                k = k[apart <= n[k] + n[i] - 2 * least_overlap(n[k], n[i], percent)]
-                got_a.append(name[k])
-                got_b.append(np.full(len(k), name[i]))
-                held += len(k)
+            k = answers.of(i, j[ok])
+            got_a.append(name[k])
+            got_b.append(np.full(len(k), name[i]))
+            held += len(k)
             if held >= CHUNK:
                 yield _found(0, *_pairs_of(np.concatenate(got_a), np.concatenate(got_b)))
                 got_a, got_b, held = [], [], 0

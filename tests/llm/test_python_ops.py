@@ -395,6 +395,38 @@ def test_every_link(spark):
     assert setjoin.links(df, names, every=True, block=4).count() == 30 * 29 // 2
 
 
+def test_answers_from_a_similar_set():
+    """What a set takes over from a similar one equals what computing every distance gives, for far fewer of them."""
+    rnd = np.random.default_rng(4)
+    sets = []
+    for _ in range(5):  # families of near copies, some of them near to one another, of 180 to 620 shingles
+        base = rnd.integers(0, 1 << 62, int(rnd.integers(180, 620)), dtype=np.uint64)
+        for kin in (base, np.r_[base[: len(base) * 17 // 20], rnd.integers(0, 1 << 62, len(base) // 7, dtype=np.uint64)]):
+            for _ in range(25):
+                own = kin.copy()
+                own[rnd.integers(0, len(own), 5)] = rnd.integers(0, 1 << 62, 5, dtype=np.uint64)
+                sets.append(np.unique(own))
+    sets.sort(key=len)
+    n = np.array([len(x) for x in sets])
+    maps = [np.frombuffer(setjoin._bitmap(x), np.uint8) for x in sets]
+    width = np.array([len(x) for x in maps])
+    row, own = np.zeros(len(n), np.int64), {}
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        row[at], own[w] = np.arange(len(at)), np.stack([maps[k] for k in at])
+    assert len(own) > 1
+    answers = setjoin.Answers(n, width, row, own, 75)
+    asked = linked = 0
+    for i in range(len(n)):
+        j = np.flatnonzero((n * 4 >= n[i] * 3) & (n * 3 <= n[i] * 4) & (np.arange(len(n)) != i))
+        want = [k for k in j.tolist() if setjoin._apart(maps[i].tobytes(), maps[k].tobytes()) <= n[i] + n[k] - 2 * setjoin.least_overlap(n[i], n[k])]
+        got = answers.of(i, j).tolist()
+        assert got == want
+        assert {k for k in j.tolist() if 100 * (both := len(np.intersect1d(sets[i], sets[k]))) >= 75 * (n[i] + n[k] - both)} <= set(got)
+        asked, linked = asked + len(j), linked + len(got)
+    assert linked > 0 and answers.computed < asked / 2
+
+
 @pytest.mark.parametrize("block", [2, 7])
 def test_long_lists_in_blocks(spark, block):
     """Components are exact where one list is cut into many blocks, with sizes of several classes in it."""
