@@ -1,6 +1,9 @@
 """Keyed tables: touched buckets only, versions, batches that come again."""
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.sources import keyed
 
@@ -85,3 +88,31 @@ def test_publish_once(spark, tmp_path):
     assert keyed.publish(make(spark, (2, "b", 1)), at, 1)
     assert rows(spark.read.parquet(at).drop("batch_id")) == [(1, "a", 1), (2, "b", 1)]
     assert sorted(p.name for p in (tmp_path / "p").iterdir()) == ["batch_id=0", "batch_id=1"]
+
+
+def test_a_batch_is_neither_kept_nor_left(spark, tmp_path):
+    """While a batch is merged it lies in files, not in the executors' memory; they are gone behind it."""
+    path, seen = str(tmp_path / "t"), []
+
+    def how(t, b):
+        seen.append((b.storageLevel.useMemory, len(b.inputFiles())))
+        return t.unionByName(b)
+
+    keyed.merge(make(spark, (1, "a", 1), (2, "b", 1)), path, ["k"], how)
+    assert seen[0][0] is False and seen[0][1] > 0
+    assert not list((tmp_path / "t").rglob("_staged-*")) and rows(keyed.read(spark, path)) == [(1, "a", 1), (2, "b", 1)]
+
+
+def test_shuffles_are_let_go(spark, tmp_path):
+    """A write's shuffle files go with its end, within the setting's scope; the setting is as before behind it."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, left = spark.conf.get(name), lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    with keyed.shuffles_let_go(spark):
+        n = left()
+        spark.range(10000).groupBy((F.col("id") % 1000).alias("k")).count().write.parquet(str(tmp_path / "x"))
+        for _ in range(100):  # files go a little later
+            if left() <= n:
+                break
+            time.sleep(0.1)
+        assert left() <= n
+    assert spark.conf.get(name) == before
