@@ -1,8 +1,10 @@
 """Operators on small literal tables: nulls, ties, repeats, empty tables and the golden values of the contracts."""
 
 import datetime as dt
+import io
 import json
 import os
+from contextlib import redirect_stdout
 
 import pytest
 from pyspark.sql import functions as F
@@ -209,6 +211,39 @@ def test_enrichment_prices_and_unknowns(spark):
     assert [(x.id, float(x.price), x.category) for x in p.products] == [("i", 7.0, "soup"), ("gone", 3.0, None)]
 
 
+def test_enrichment_reads_messages_once(spark, tmp_path):
+    """Their file is scanned once; messages without items keep their row, equal ones give one row."""
+    m = lambda i, items: json.dumps({"object_id": i, "object_type": "order", "payload": {"restaurant": {"id": "r"}, "user": {"id": "u"}, "final_status": "CLOSED", "order_items": items}})
+    item = {"id": "i", "name": "I", "price": 2, "quantity": 2}
+    spark.createDataFrame([(x,) for x in (m(1, [item, item]), m(1, [item, item]), m(2, []), m(3, None))], "v string").write.parquet(str(tmp_path / "m"))
+    good, _ = messages.parse(spark.read.parquet(str(tmp_path / "m")), "v", schemas.ORDER_MESSAGE)
+    rest = spark.createDataFrame([("r", "R", [("i", "I", 7.0, "soup")])], "_id string, name string, menu array<struct<_id: string, name: string, price: double, category: string>>")
+    users = spark.createDataFrame([("u", "U", "l")], "_id string, name string, login string")
+    e = messages.enrich_orders(good, rest, users)
+    text = io.StringIO()
+    with redirect_stdout(text):
+        e.explain()
+    assert text.getvalue().count("FileScan parquet") == 1
+    got = {r.object_id: r.payload.products for r in e.collect()}
+    assert e.count() == 3 and [len(got[1]), got[2], got[3]] == [2, None, None]
+
+
+def test_merge_days_computes_its_rows_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def each(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "day int, k int, v string")
+    sinks.merge_days(df, str(tmp_path / "t"), ["day", "k"], "day")
+    sinks.merge_days(spark.createDataFrame([(2, 1, "c"), (2, 2, "d")], df.schema).mapInPandas(each, df.schema), str(tmp_path / "t"), ["day", "k"], "day")
+    assert seen.value == 2
+    assert rows(spark.read.parquet(str(tmp_path / "t")).select("day", "k", "v")) == [(1, 1, "a"), (2, 1, "c"), (2, 2, "d")]
+    assert [x.name for x in tmp_path.iterdir()] == ["t"]
+
+
 def test_routing(spark):
     df = spark.createDataFrame([("order", "x"), ("order", None), ("other", "x"), (None, "x")], "object_type string, payload string")
     assert filters.routed(df, "order").count() == 1
