@@ -41,3 +41,32 @@ def test_pairs_are_not_shuffled(spark):
         made = next(i for i, x in enumerate(lines) if "Join" in x)
         assert "i#" in lines[made] and "j#" in lines[made]
         assert not [x for x in lines[:made] if "Exchange" in x or "Aggregate" in x]
+
+
+def _shuffled(spark, df):
+    """The result and the number of rows that its stages shuffle."""
+    sc = spark.sparkContext
+    store = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    wait = lambda: sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    each = lambda found: {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (found.apply(i) for i in range(found.size()))}
+    wait()
+    before = each(store())
+    rows = df.collect()
+    wait()
+    return rows, sum(n for k, n in each(store()).items() if k not in before)
+
+
+@pytest.mark.parametrize("known", [False, True])
+def test_what_is_shuffled_grows_with_the_users(spark, known):
+    """Twice the users of a channel are four times the pairs, but twice the rows that go to the tiles."""
+    sent, name = [], "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    for n in (100, 200):
+        rows = [(u, (u + 1) % n, "c" if kind == "subscription" else None, kind) for u in range(n) for kind in ("subscription", "message")]
+        ev = spark.createDataFrame(rows, SCHEMA)
+        out, k = _shuffled(spark, places.co_subscribers(ev, 5, places.contacts(ev) if known else None))
+        assert len({tuple(x) for x in out}) == len(out) == n * (n - 1) // 2 - n * known
+        sent.append(k)
+    spark.conf.set(name, before)
+    assert sent[1] < 2.3 * sent[0]
