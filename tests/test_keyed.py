@@ -116,3 +116,34 @@ def test_shuffles_are_let_go(spark, tmp_path):
             time.sleep(0.1)
         assert left() <= n
     assert spark.conf.get(name) == before
+
+
+def _shuffled(spark):
+    """How many rows each stage so far has shuffled."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (found.apply(i) for i in range(found.size()))}
+
+
+@pytest.mark.parametrize("into", [keyed.insert_into, keyed.upsert_into, keyed.newest_into])
+def test_a_merge_shuffles_its_rows_once(spark, tmp_path, into):
+    n, before = 4000, _shuffled(spark)
+    into(make(spark, *((i, f"v{i}", 1) for i in range(n))), str(tmp_path / "t"), ["k"], ["ts"], buckets=8)
+    assert keyed.read(spark, str(tmp_path / "t")).count() == n
+    assert sum(x for k, x in _shuffled(spark).items() if k not in before) < 1.2 * n
+
+
+@pytest.mark.parametrize("buckets", [3, 16])
+def test_large_batches_are_merged_part_by_part(spark, tmp_path, monkeypatch, buckets):
+    """No stage has a whole batch in its shuffle, the result is the same, and nothing is left of what was staged."""
+    monkeypatch.setattr(keyed, "LARGE", 0)
+    path, n = str(tmp_path / "t"), 4000
+    before = _shuffled(spark)
+    keyed.insert_into(make(spark, *((i, f"v{i}", 1) for i in range(n)), (None, "none", 1)), path, ["k"], ["ts"], batch_id=0, buckets=buckets)
+    assert max(x for k, x in _shuffled(spark).items() if k not in before) < 0.6 * n
+    keyed.upsert_into(make(spark, *((i, "new", 2) for i in range(0, n, 2))), path, ["k"], ["ts"], batch_id=1)
+    keyed.newest_into(make(spark, *((i, "late", 0) for i in range(n)), (n, "more", 0)), path, ["k"], ["ts"], batch_id=2)
+    want = [(i, "new" if i % 2 == 0 else f"v{i}", 2 if i % 2 == 0 else 1) for i in range(n)] + [(None, "none", 1), (n, "more", 0)]
+    assert rows(keyed.read(spark, path)) == sorted(want, key=repr)
+    assert not list((tmp_path / "t").rglob("_staged-*"))
